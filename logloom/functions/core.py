@@ -63,3 +63,12 @@ def squeeze(c: Column) -> Column:
 
 def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once inside an expression.
+
+    For cold, deeply nested expressions: the body is interpreted per row, but the value is not
+    copied into every place that uses it, so generated code stays small.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))

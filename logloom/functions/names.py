@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import ascii_lower, col, first_where, py_strip
+from .core import ascii_lower, col, first_where, let, py_strip
 
 # The shapes an entry name is made of.
 UUID_SHAPE = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 CALL_ID_TAIL = r"_([0-9a-f]{16})$"
 NO_FDI_PREFIX = "correlationId_vuoto_"
 REPEATED_KEY = r"^(.*?[^_])(.+)_\2$"
+UUID_TOKEN = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}_"
+# No FDI; a token ending with the key it repeats; token and key; key alone.
+NAME_SHAPES = (
+    r"(?s)^(?:correlationId_vuoto_(.*)|(?!" + UUID_TOKEN + r")(.*?[^_](.+))_\3|([^_]*)_(.*)|([^_]*))$"
+)
+WELL_FORMED = r"(?s)^" + UUID_TOKEN + r"(?:.*_)?[0-9a-f]{16}$"
 HEADER_PREFIX = "### "
 FDI_TOKEN = r"^[0-9a-f]{8}[0-9a-z-]*$"
 NO_FDI = "nofdi"
@@ -37,29 +43,22 @@ def repeated_key(rest: Column) -> Column:
 
 
 def entry_name(raw: Column | str) -> Column:
-    """STRUCT<raw, fdi, template_key, call_id, well_formed> of an entry name. Total."""
+    """STRUCT<raw, fdi, template_key, call_id, well_formed> of an entry name. Total.
+
+    One pattern holds the four shapes in their order of precedence; one replacement writes
+    ``fdi \\u0001 key``, so each name is matched a fixed few times whatever its shape.
+    """
     raw = col(raw)
-    has_id = raw.rlike(CALL_ID_TAIL)
-    call_id = F.when(has_id, F.regexp_extract(raw, CALL_ID_TAIL, 1))
     rest = F.regexp_replace(raw, CALL_ID_TAIL, "")
-    no_fdi = rest.startswith(NO_FDI_PREFIX)
-    rep = repeated_key(rest)
-    cut = F.instr(rest, "_")
-    fdi = (
-        F.when(no_fdi, F.lit(None))
-        .when(rep.isNotNull(), F.lower(F.left(rest, F.length(rest) - F.length(rep) - 1)))
-        .when(cut > 0, F.lower(F.left(rest, cut - 1)))
-    )
-    key = (
-        F.when(no_fdi, F.substring(rest, len(NO_FDI_PREFIX) + 1, 1 << 30))
-        .when(rep.isNotNull(), rep)
-        .when(cut > 0, F.substr(rest, cut + 1))
-        .otherwise(rest)
-    )
-    well = F.coalesce(fdi.rlike(UUID_SHAPE), F.lit(False)) & call_id.isNotNull()
+    parts = F.split(F.regexp_replace(rest, NAME_SHAPES, "$2$4\u0001$1$3$5$6"), "\u0001", 2)
+    call_id = F.nullif(F.regexp_extract(raw, CALL_ID_TAIL, 1), F.lit(""))
+    no_fdi = raw.startswith(NO_FDI_PREFIX) | ~rest.contains("_")
     return F.struct(
-        raw.alias("raw"), fdi.alias("fdi"), key.alias("template_key"),
-        call_id.alias("call_id"), well.alias("well_formed"),
+        raw.alias("raw"),
+        F.when(~no_fdi, F.lower(parts[0])).alias("fdi"),
+        parts[1].alias("template_key"),
+        call_id.alias("call_id"),
+        raw.rlike(WELL_FORMED).alias("well_formed"),
     )
 
 
@@ -67,18 +66,23 @@ def pasted_entry(text: Column | str) -> Column:
     """STRUCT<fdi, template_key> of a pasted header or entry name, else NULL."""
     lines = F.split(F.regexp_replace(col(text), r"\r\n?", "\n"), "\n")
     line = py_strip(F.coalesce(first_where(lines, lambda s: s.rlike(r"\S")), F.lit("")))
-    line = F.when(line.startswith(HEADER_PREFIX), py_strip(F.substring(line, 5, 1 << 30))).otherwise(line)
-    line = F.regexp_replace(line, r"(?i)\.json$", "")
-    n = entry_name(line)
-    odd = n["fdi"].isNotNull() & ~n["fdi"].rlike(FDI_TOKEN)
-    ok = (line != "") & ~line.rlike(r"(?U)\s") & n["call_id"].isNotNull() & (n["template_key"] != "")
-    return F.when(
-        ok,
-        F.struct(
-            F.when(~odd, n["fdi"]).alias("fdi"),
-            F.when(odd, F.left(line, F.length(line) - 17)).otherwise(n["template_key"]).alias("template_key"),
-        ),
-    )
+    line = F.regexp_replace(py_strip(F.regexp_replace(line, "^### ", "")), r"(?i)\.json$", "")
+
+    def read(line: Column) -> Column:
+        def decide(n: Column) -> Column:
+            odd = n["fdi"].isNotNull() & ~n["fdi"].rlike(FDI_TOKEN)
+            ok = (line != "") & ~line.rlike(r"(?U)\s") & n["call_id"].isNotNull() & (n["template_key"] != "")
+            return F.when(
+                ok,
+                F.struct(
+                    F.when(~odd, n["fdi"]).alias("fdi"),
+                    F.when(odd, F.left(line, F.length(line) - 17)).otherwise(n["template_key"]).alias("template_key"),
+                ),
+            )
+
+        return let(entry_name(line), decide)
+
+    return let(line, read)
 
 
 def typed_token(text: Column | str, prefer_key: bool = False) -> Column:
@@ -124,29 +128,34 @@ def output_name(day: Column | str, fdi: Column | str, key: Column | str, call_id
     return F.concat(stem, F.lit(".json"))
 
 
-def _ext(name: Column) -> Column:
-    ext = F.regexp_extract(name, r"^(?:.*[^.])(\.[^.]*)$", 1)
-    return F.when(F.length(ext) <= 16, ext).otherwise(F.lit(""))
+def _cut(c: Column) -> Column:
+    """At most 120 characters, the extension (up to 16) kept; NULL when nothing usable is left."""
+    raw_ext = F.regexp_extract(c, r"(?s)^(?:.*[^.])(\.[^.]*)$", 1)
+    ext = F.when(F.length(raw_ext) <= 16, raw_ext).otherwise(F.lit(""))
+
+    def join(e: Column) -> Column:
+        root = F.left(c, F.length(c) - F.length(e))
+        out = F.concat(F.regexp_replace(F.left(root, F.lit(COMPONENT_CAP) - F.length(e)), r"[ .]+$", ""), e)
+        return let(out, lambda o: F.when(~o.rlike(r"^\.*$") & (o != e), o))
+
+    return let(ext, join)
+
+
+def _clean_name(name: Column, invalid: str, fallback: str) -> Column:
+    c = F.regexp_replace(py_strip(F.regexp_replace(name, invalid, "_")), r"[ .]+$", "")
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit(fallback))
+
+
+def _spare_device(c: Column, tail: str) -> Column:
+    stem = F.rtrim(F.substring_index(c, ".", 1))
+    return F.when(
+        F.upper(stem).isin(*DEVICE_NAMES), F.concat(stem, F.lit(tail), F.substr(c, F.length(stem) + 1))).otherwise(c)
 
 
 def safe_component(name: Column | str, fallback: str = "_") -> Column:
     """One path component every file system accepts, at most 120 characters, extension kept."""
-    c = F.regexp_replace(py_strip(F.regexp_replace(col(name), INVALID_IN_NAME, "_")), r"[ .]+$", "")
-    c = F.when(c.rlike(r"^\.*$"), F.lit(fallback)).otherwise(c)
-    stem = F.substring_index(c, ".", 1)
-    device = F.rtrim(stem)
-    c = F.when(
-        F.upper(device).isin(*DEVICE_NAMES),
-        F.concat(device, F.lit("_"), F.substr(c, F.length(device) + 1)),
-    ).otherwise(c)
-    ext = _ext(c)
-    root = F.left(c, F.length(c) - F.length(ext))
-    cut = F.concat(
-        F.regexp_replace(F.left(root, F.lit(COMPONENT_CAP) - F.length(ext)), r"[ .]+$", ""), ext)
-    usable = ~cut.rlike(r"^\.*$") & (cut != ext)
-    return F.when(
-        F.length(c) > COMPONENT_CAP, F.when(usable, cut).otherwise(F.lit(fallback))
-    ).otherwise(c)
+    clean = let(_clean_name(col(name), INVALID_IN_NAME, fallback), lambda c: _spare_device(c, "_"))
+    return let(clean, lambda c: F.when(F.length(c) > COMPONENT_CAP, F.coalesce(_cut(c), F.lit(fallback))).otherwise(c))
 
 
 def slug(variant: Column | str) -> Column:
@@ -154,13 +163,7 @@ def slug(variant: Column | str) -> Column:
 
 
 def safe_folder(name: Column | str, fallback: str = "iniziativa") -> Column:
-    c = F.regexp_replace(py_strip(F.regexp_replace(col(name), INVALID_IN_FOLDER, "_")), r"[ .]+$", "")
-    c = F.when(c == "", F.lit(fallback)).otherwise(c)
-    stem = F.substring_index(c, ".", 1)
-    return F.when(
-        F.upper(stem).isin(*DEVICE_NAMES),
-        F.concat(stem, F.lit("_1"), F.substr(c, F.length(stem) + 1)),
-    ).otherwise(c)
+    return let(_clean_name(col(name), INVALID_IN_FOLDER, fallback), lambda c: _spare_device(c, "_1"))
 
 
 def key_ci(c: Column | str) -> Column:

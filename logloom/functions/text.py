@@ -20,6 +20,7 @@ TRACKING_PREFIX = "utm_"
 # What a URL and a signature look like inside text.
 URL_IN_TEXT = r"""(?i)https?://[^\s"'<>]+"""
 SIGNATURE = r"""(?i)sig(?:=|%3D|\\u003d|&#0*61;|&#x0*3d;|&equals;)[^&\s"'\\<>]+"""
+URL_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*:)?(//(?=[^/?#])([^/?#]*@)?([^/?#@]*)|//)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 SIG_MASK = "sig=***"
 SECRET_HEADERS = (
     "authorization", "proxy-authorization", "cookie", "x-api-key", "api-key", "apikey",
@@ -96,20 +97,12 @@ def is_tracking_key(key: Column | str) -> Column:
 
 
 def url_norm(url: Column | str, drop_tracking: bool = True, drop_keys: Sequence[str] = ()) -> Column:
-    """Comparison form of a URL: scheme and host lower, query parts sorted, dropped keys removed."""
+    """Comparison form of a URL: scheme and host lower, query parts sorted, dropped keys removed.
+
+    One pattern names the parts; each is read from the URL itself, so nothing is nested.
+    """
     u = py_strip(col(url))
-    has_scheme = u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    scheme = F.when(has_scheme, F.lower(F.substring_index(u, ":", 1))).otherwise(F.lit(""))
-    rest = F.when(has_scheme, F.substr(u, F.length(scheme) + 2)).otherwise(u)
-    has_net = rest.startswith("//")
-    net = F.when(has_net, F.regexp_extract(rest, r"^//([^/?#]*)", 1)).otherwise(F.lit(""))
-    after = F.when(has_net, F.regexp_extract(rest, r"(?s)^//[^/?#]*(.*)$", 1)).otherwise(rest)
-    frag = F.regexp_extract(after, r"(?s)#(.*)$", 1)
-    no_frag = F.substring_index(after, "#", 1)
-    path = F.substring_index(no_frag, "?", 1)
-    query = F.regexp_extract(no_frag, r"(?s)\?(.*)$", 1)
-    user = F.regexp_extract(net, r"^(.*@)?", 1)
-    host = F.lower(F.substr(net, F.length(user) + 1))
+    scheme, net, user, host, path, query, frag = (F.regexp_extract(u, URL_PARTS, i) for i in range(1, 8))
 
     def keep(part: Column) -> Column:
         raw = F.substring_index(part, "=", 1)
@@ -121,17 +114,12 @@ def url_norm(url: Column | str, drop_tracking: bool = True, drop_keys: Sequence[
 
     q = F.array_join(F.array_sort(F.filter(F.split(query, "&"), keep)), "&")
     full = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        F.when(net != "", F.concat(F.lit("//"), user, host)).otherwise(F.lit("")),
-        F.when((net != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path),
-        F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")),
-        F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(F.lit("")),
-    )
-    opaque = (scheme != "") & (net == "") & ~rest.startswith("//")
-    broken = net.rlike(r"\[") != net.rlike(r"\]")
+        F.lower(scheme), F.regexp_replace(net, r"(?s)^(//).*$", "$1"), user, F.lower(host), path,
+        F.regexp_replace(q, r"(?s)^(?=.)", "?"), F.regexp_replace(frag, r"(?s)^(?=.)", "#"))
+    opaque = u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:(?!//)")
     return (
-        F.when(broken, u)
-        .when(opaque, F.concat(scheme, F.lit(":"), rest))
+        F.when(u.rlike(r"^[^/?#]*//[^/?#]*[\[\]]") & ~u.rlike(r"^[^/?#]*//[^/?#\[\]]*\[[^/?#\[\]]*\][^/?#\[\]]*(?:[/?#]|$)"), u)
+        .when(opaque, F.concat(F.lower(scheme), F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")))
         .otherwise(full)
     )
 

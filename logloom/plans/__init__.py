@@ -1 +1 @@
-
+"""The registered queries and the flagship job."""

@@ -73,27 +73,38 @@ def utf8_text(latin1: Column) -> Column:
     return F.make_valid_utf8(F.encode(latin1, "ISO-8859-1").cast("string"))
 
 
-def body_facts(body: Column, valid: Column | None = None) -> Column:
-    """STRUCT of what one JSON body says; bad or non-object JSON falls back to the regex date."""
-    valid = F.lit(True) if valid is None else valid
-    v = F.when(valid, F.try_parse_json(body))
+def with_body_facts(df: DataFrame, body: Column, valid: Column | None = None, out: str = "facts") -> DataFrame:
+    """Adds STRUCT ``facts`` of what one JSON body says.
+
+    The body is parsed in a projection of its own, once per row, and every fact is read from
+    the parsed value. Bad or non-object JSON falls back to the regex date.
+    """
+    parsed = F.try_parse_json(body)
+    v = F.col("_v")
+    staged = df.withColumn("_v", parsed if valid is None else F.when(valid, parsed))
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    docs = F.coalesce(F.try_variant_get(v, "$.documents", "array<variant>"), F.array().cast("array<variant>"))
+    # Leaves are read as variants first: only a string leaf counts as text.
+    staged = staged.select(
+        "*", is_object.alias("_obj"),
+        F.coalesce(F.try_variant_get(v, "$.documents", "array<variant>"), F.array().cast("array<variant>")).alias("_docs"),
+        *[F.try_variant_get(v, f"$.dossier.{n}", "variant").alias(f"_{n}") for n in ("requestDate", "id", "number")],
+    )
 
-    def text_at(node: Column, path: str) -> Column:
-        leaf = F.try_variant_get(node, path, "variant")
-        return F.when(F.schema_of_variant(leaf) == "STRING", F.try_variant_get(node, path, "string"))
+    def text_of(leaf: Column) -> Column:
+        return F.when(F.schema_of_variant(leaf) == "STRING", F.try_variant_get(leaf, "$", "string"))
 
-    keys = F.array_compact(F.transform(docs, lambda d: text_at(d, "$.template.templateKey")))
+    keys = F.array_compact(F.transform("_docs", lambda d: text_of(F.try_variant_get(d, "$.template.templateKey", "variant"))))
     fast = F.when(body.rlike(REQUEST_DATE), F.regexp_extract(body, REQUEST_DATE, 1))
-    return F.struct(
-        F.when(is_object, text_at(v, "$.dossier.requestDate")).otherwise(fast).alias("request_date"),
-        F.when(is_object, F.size(docs)).alias("ndocs"),
-        F.when(is_object, text_at(v, "$.dossier.id")).alias("dossier_id"),
-        F.when(is_object, text_at(v, "$.dossier.number")).alias("dossier_number"),
-        F.when(is_object, keys).otherwise(F.array().cast("array<string>")).alias("doc_keys"),
-        is_object.alias("json_ok"),
+    obj = F.col("_obj")
+    facts = F.struct(
+        F.when(obj, text_of(F.col("_requestDate"))).otherwise(fast).alias("request_date"),
+        F.when(obj, F.size("_docs")).alias("ndocs"),
+        F.when(obj, text_of(F.col("_id"))).alias("dossier_id"),
+        F.when(obj, text_of(F.col("_number"))).alias("dossier_number"),
+        F.when(obj, keys).otherwise(F.array().cast("array<string>")).alias("doc_keys"),
+        obj.alias("json_ok"),
     )
+    return staged.withColumn(out, facts).drop("_v", "_obj", "_docs", "_requestDate", "_id", "_number")
 
 
 def fast_facts(body: Column) -> Column:
@@ -125,15 +136,18 @@ def scan_lines(files: DataFrame, parse_json: bool = True) -> DataFrame:
     )
     header = F.col("line").rlike(HEADER)
     blank = ~F.col("line").rlike(r"[^ \t\r\n]")
-    body = F.regexp_replace("line", r"\r+$", "")
-    raw = F.encode(body, "ISO-8859-1").cast("string")
-    facts = body_facts(F.make_valid_utf8(raw), F.is_valid_utf8(raw)) if parse_json else fast_facts(F.make_valid_utf8(raw))
     lines = lines.select(
         *keys, "line_no", "span", "skip", blank.alias("blank"), header.alias("is_header"),
-        F.length(body).alias("len"),
+        F.length(F.regexp_replace("line", r"\r+$", "")).alias("len"),
         F.when(header, F.regexp_extract("line", HEADER, 1)).alias("header_name"),
-        F.when(~header & ~blank, facts).alias("facts"),
+        F.when(~header & ~blank, F.encode(F.regexp_replace("line", r"\r+$", ""), "ISO-8859-1").cast("string")).alias("raw"),
     )
+    text_ = F.make_valid_utf8("raw")
+    if parse_json:
+        lines = with_body_facts(lines, text_, F.is_valid_utf8("raw"))
+    else:
+        lines = lines.withColumn("facts", fast_facts(text_))
+    lines = lines.drop("raw")
     w = Window.partitionBy("path").orderBy("line_no")
     start = F.sum("span").over(w) - F.col("span") + F.col("skip")
     return lines.withColumn("offset", start.cast("bigint")).where(~F.col("blank")).drop("span", "skip", "blank")
