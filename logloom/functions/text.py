@@ -56,7 +56,7 @@ def epoch_days(millis: Column | str) -> Column:
 
 
 def _one_decimal(v: Column) -> Column:
-    t = F.replace(F.format_string("%.1f", v), F.lit("."), F.lit(","))
+    t = F.replace(F.format_string("%.1f", F.bround(v, 1)), F.lit("."), F.lit(","))
     return F.regexp_replace(t, ",0$", "")
 
 
