@@ -108,92 +108,116 @@ def effective(diffs: DataFrame, not_variables: DataFrame) -> DataFrame:
     return diffs.join(listed, ["case", "anchor_id"], "left").withColumn("klass", klass).drop("_nv")
 
 
+DIFF_FIELDS = ("op", "klass", "tipo", "zone", "left_text", "right_text", "generated", "page", "pos")
+
+
+def _by_anchor(tobe: DataFrame, asis: DataFrame, tolerances: DataFrame, marks: DataFrame,
+               not_variables: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """One row per (case, anchor_id) with everything known about it, in a single shuffle.
+
+    The six inputs are stacked with one struct column each and aggregated together, map-side
+    first. Anchors are unique inside a case, so the keys spread however big a case is.
+    """
+    def part(df: DataFrame, name: str, *fields: Column | str) -> DataFrame:
+        return df.select("case", "anchor_id", F.struct(*fields).alias(name))
+
+    stack = part(tobe, "t", *DIFF_FIELDS)
+    for other in (
+        part(asis, "a", *DIFF_FIELDS),
+        part(tolerances, "tol", "ord", "generated", "note"),
+        part(marks, "mark", "version", "generated", "engine"),
+        part(not_variables, "nv", F.lit(True).alias("listed")),
+        part(unresolved, "un", "version", "generated"),
+    ):
+        stack = stack.unionByName(other, allowMissingColumns=True)
+    return stack.groupBy("case", "anchor_id").agg(
+        F.max("t").alias("t"), F.max("a").alias("a"), F.max("mark").alias("mark"), F.max("un").alias("un"),
+        F.max("nv").alias("nv"),
+        # The review keeps one tolerance per anchor; older files may hold a few.
+        F.array_sort(F.collect_set("tol")).alias("tols"))
+
+
 def judge(tobe: DataFrame, asis: DataFrame, cases: DataFrame, tolerances: DataFrame, marks: DataFrame,
           not_variables: DataFrame, unresolved: DataFrame) -> dict[str, DataFrame]:
     """judged, verification, marks, unresolved and summary tables of every case.
 
-    One three-way join on (case, anchor_id): anchors are unique inside a case, so the shuffle
-    keys are spread however many differences one case has.
+    Verdicts, marks and remembered entries are all decided on the row of one anchor; only the
+    facts of the case are joined in. Every returned table is a projection or a map-side
+    aggregation of that row. ``number`` adds the ids.
     """
     ok = cases.where("tobe_has_text").withColumn("two_way", ~(F.col("has_asis") & F.col("asis_has_text")))
-    facts = ok.select("case", "version", "profile", "two_way", "tolerated_tipi")
-    t = effective(tobe, not_variables).join(facts, "case")
-    a = effective(asis, not_variables).join(facts.where(~F.col("two_way")), "case")
-    key = ["case", "anchor_id"]
-
-    tol = tolerances.groupBy("case", "anchor_id", "generated").agg(
-        F.min_by(F.struct("note"), "ord").alias("_tol"))
-    before = a.select(*key, F.col("generated").alias("_before"), F.col("right_text").alias("_before_text"))
-    j = t.join(before, key, "left").join(tol, [*key, "generated"], "left")
-    silent = F.array_contains("tolerated_tipi", F.col("tipo"))
-    verdict = (
-        F.when(F.col("klass").isin(*NO_VERDICT), F.lit(None))
-        .when(~counts(F.col("klass"), F.col("profile")) | silent | F.col("_tol").isNotNull(), "tollerata")
-        .when(F.col("two_way"), "da_fare").when(F.col("_before").isNull(), "regressione")
-        .when(F.col("_before") == F.col("generated"), "da_fare").otherwise("in_corso"))
-    counts_here = ~F.col("klass").isin(*NO_VERDICT) & counts(F.col("klass"), F.col("profile"))
-    note = F.when(counts_here & silent, F.concat(F.lit("Tollera tutte: solo "), F.col("tipo"))).when(
-        counts_here & F.col("_tol").isNotNull(), F.col("_tol.note")).otherwise("")
-    j = j.withColumn("verdict", verdict).withColumn("tolerated_note", note).withColumn(
-        "previous_text", F.when(F.col("verdict") == "in_corso", F.col("_before_text")).otherwise(""))
-
-    done = a.join(tobe.select(*key), key, "left_anti").where(
-        counts(F.col("klass"), F.col("profile")) & ~F.array_contains("tolerated_tipi", F.col("tipo")))
-
-    # Marks of an earlier version are verified against this one.
-    mk = last_by(marks.select("case", "anchor_id", "generated", F.col("version").alias("made_in"), "engine"),
-                 key, "made_in")
-    mk = mk.join(facts.select("case", "version"), "case")
-    at = j.select(*key, F.col("verdict").alias("_v"), F.col("generated").alias("_now"))
-    checked = mk.where(F.col("made_in") < F.col("version")).join(at.withColumn("_at", F.lit(True)), key, "left")
-    fate = (
-        F.when(F.col("_at").isNull(), F.when(F.col("engine") < MARK_ENGINE, "dormant").otherwise("resolved"))
-        .when(~F.coalesce(F.col("_v").isin(*OPEN), F.lit(False)), "dormant")
-        .when(F.col("_now") == F.col("generated"), "unresolved").otherwise("changed"))
-    fates = checked.withColumn("fate", fate)
-    live = mk.where(F.col("made_in") >= F.col("version"))
-
-    changed = fates.where(F.col("fate") == "changed").select(*key, F.col("generated").alias("_promised"))
-    stuck = fates.where(F.col("fate") == "unresolved").select(*key, F.col("made_in"), F.col("_now").alias("generated"))
-    remembered = unresolved.select("case", "anchor_id", "generated", F.col("version").alias("made_in"))
-    merged = remembered.join(stuck, key, "left_anti").unionByName(stuck)
-    still = merged.join(at, key).where(F.col("generated").isin("") | (F.col("generated") == F.col("_now"))).select(
-        *key, "made_in", F.col("_now").alias("generated"))
-
-    yes = F.lit(True)
-    j = (
-        j.join(changed, key, "left").join(live.select(*key).withColumn("_mark", yes), key, "left")
-        .join(still.select(*key).distinct().withColumn("_still", yes), key, "left")
-    )
-    verdict2 = F.when(F.col("_promised").isNotNull(), "in_corso").otherwise(F.col("verdict"))
-    is_open = F.coalesce(F.col("verdict").isin(*OPEN), F.lit(False))
-    j = (
-        j.withColumn("previous_text", F.coalesce("_promised", "previous_text")).withColumn("verdict", verdict2)
-        .withColumn("marked", is_open & F.col("_mark").isNotNull())
-        .withColumn("unresolved", is_open & F.col("_still").isNotNull())
-    )
-    cols = ["case", "version", "anchor_id", "op", "klass", "tipo", "zone", "left_text", "right_text", "generated",
-            "page", "pos", "verdict", "marked", "unresolved", "tolerated_note", "previous_text"]
-    no = F.lit(False)
-    fatte = done.withColumn("verdict", F.lit("fatta")).withColumn("marked", no).withColumn("unresolved", no).withColumn(
-        "tolerated_note", F.lit("")).withColumn("previous_text", F.lit(""))
-    judged = j.select(*cols).withColumn("_part", F.lit(0)).unionByName(fatte.select(*cols).withColumn("_part", F.lit(1)))
-    judged = judged.withColumn("_bucket", F.col("_part") * 1_000_000_000 + F.coalesce("page", F.lit(0)))
-    numbered = two_level_rank(judged, ["case"], "_bucket", [F.asc("pos")], out="id").drop("_part", "_bucket")
+    facts = ok.select("case", F.col("version").alias("now"), "profile", "two_way", "tolerated_tipi")
+    r = _by_anchor(tobe, asis, tolerances, marks, not_variables, unresolved).join(facts, "case")
+
+    def klass_of(side: str) -> Column:
+        k = F.col(f"{side}.klass")
+        return F.when((k == "variabile") & F.col("nv").isNotNull(), "testo").otherwise(k)
+
+    r = r.withColumn("a", F.when(~F.col("two_way"), F.col("a")))
+    r = r.withColumn("kt", klass_of("t")).withColumn("ka", klass_of("a"))
+    r = r.withColumn("tol", F.get(F.filter("tols", lambda x: x["generated"] == F.col("t.generated")), F.lit(0))).drop("tols")
+    text, before = F.col("t.generated"), F.col("a.generated")
+    silent = F.array_contains("tolerated_tipi", F.col("t.tipo"))
+    counted = counts(F.col("kt"), F.col("profile"))
+    base = (
+        F.when(F.col("t").isNull() | F.col("kt").isin(*NO_VERDICT), F.lit(None))
+        .when(~counted | silent | F.col("tol").isNotNull(), "tollerata")
+        .when(F.col("two_way"), "da_fare").when(before.isNull(), "regressione")
+        .when(before == text, "da_fare").otherwise("in_corso"))
+    note = (
+        F.when(~counted | F.col("kt").isin(*NO_VERDICT), "").when(silent, F.concat(F.lit("Tollera tutte: solo "), F.col("t.tipo")))
+        .when(F.col("tol").isNotNull(), F.col("tol.note")).otherwise(""))
+    r = r.withColumn("base", base).withColumn("tolerated_note", note)
+    r = r.withColumn("open", F.coalesce(F.col("base").isin(*OPEN), F.lit(False)))
+
+    due = F.col("mark").isNotNull() & (F.col("mark.version") < F.col("now"))
+    fate = F.when(
+        due,
+        F.when(F.col("t").isNull(), F.when(F.col("mark.engine") < MARK_ENGINE, "dormant").otherwise("resolved"))
+        .when(~F.col("open"), "dormant").when(F.col("mark.generated") == text, "unresolved").otherwise("changed"))
+    r = r.withColumn("fate", fate)
+    stuck = F.coalesce(F.col("fate") == "unresolved", F.lit(False))
+    kept = F.col("t").isNotNull() & F.col("un").isNotNull() & ((F.col("un.generated") == "") | (F.col("un.generated") == text))
+    r = r.withColumn("still", stuck | F.coalesce(kept, F.lit(False)))
+    r = r.withColumn("made_in", F.when(stuck, F.col("mark.version")).otherwise(F.col("un.version")))
+    changed = F.coalesce(F.col("fate") == "changed", F.lit(False))
+    live = F.coalesce(F.col("mark.version") >= F.col("now"), F.lit(False))
+    verdict = F.when(changed, "in_corso").otherwise(F.col("base"))
+    previous = F.when(changed, F.col("mark.generated")).when(F.col("base") == "in_corso", F.col("a.right_text")).otherwise("")
+
+    def row(side: str, klass: str, part: int, verdict: Column, marked: Column, unres: Column, note: Column, prev: Column) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), *[F.col(f"{side}.{f}").alias(f) for f in DIFF_FIELDS if f != "klass"],
+            F.col(klass).alias("klass"), verdict.alias("verdict"), marked.alias("marked"), unres.alias("unresolved"),
+            note.alias("tolerated_note"), prev.alias("previous_text"))
+
+    no, empty = F.lit(False), F.lit("")
+    done = (
+        F.col("a").isNotNull() & F.col("t").isNull() & counts(F.col("ka"), F.col("profile"))
+        & ~F.array_contains("tolerated_tipi", F.col("a.tipo")))
+    out = F.when(F.col("t").isNotNull(), row("t", "kt", 0, verdict, F.col("open") & live, F.col("open") & F.col("still"),
+                                             F.col("tolerated_note"), previous)).when(
+        done, row("a", "ka", 1, F.lit("fatta"), no, no, empty, empty))
+    judged = r.withColumn("j", out).where(F.col("j").isNotNull()).select("case", F.col("now").alias("version"), "anchor_id", "j.*")
 
     f = F.col("fate")
-    verification = fates.where(f != "dormant").groupBy("case", "version").agg(
+    verification = r.where(f.isNotNull() & (f != "dormant")).groupBy("case", F.col("now").alias("version")).agg(
         F.count("*").alias("checked"), F.count_if(f == "resolved").alias("resolved"),
         F.count_if(f == "unresolved").alias("unresolved"), F.count_if(f == "changed").alias("changed"))
-    kept = fates.where(f == "dormant").select("case", "anchor_id", "generated", "made_in", "engine").unionByName(
-        live.select("case", "anchor_id", "generated", "made_in", "engine")).withColumnRenamed("made_in", "version")
+    kept_marks = r.where(F.col("mark").isNotNull() & (f.isNull() | (f == "dormant"))).select("case", "anchor_id", "mark.*")
+    still = r.where("still").select("case", "anchor_id", F.col("made_in").alias("version"), text.alias("generated"))
     return {
-        "judged": numbered, "verification": verification, "marks": kept, "fates": fates,
-        "unresolved": still.withColumnRenamed("made_in", "version"),
-        "summary": summarise(numbered, cases),
+        "judged": judged, "verification": verification, "marks": kept_marks, "unresolved": still,
+        "fates": r.where(f.isNotNull()).select("case", "anchor_id", "fate"), "summary": summarise(judged, cases),
     }
 
 
+def number(judged: DataFrame) -> DataFrame:
+    """ids 1..n per case: the TO-BE differences in page order, then the done ones."""
+    b = judged.withColumn("_bucket", F.col("part") * 1_000_000_000 + F.coalesce("page", F.lit(0)))
+    return two_level_rank(b, ["case"], "_bucket", [F.asc("pos")], out="id").drop("part", "_bucket")
+
+
 def summarise(judged: DataFrame, cases: DataFrame) -> DataFrame:
     """case_summary: counts per verdict and class, progress, one row per case."""
     v, k = F.col("verdict"), F.col("klass")
@@ -431,17 +455,12 @@ def same_as_asis(tobe: DataFrame, asis: DataFrame, pages: DataFrame, profile: st
 
 def follow(followed: DataFrame, rows: DataFrame) -> DataFrame:
     """Where each followed difference is now: same id and place, else same anchor, else same place."""
-    place = ["op", "context", "target_text"]
-    f = followed.withColumn("_fid", F.monotonically_increasing_id() if "follow_id" not in followed.columns else F.col("follow_id"))
-    j = f.alias("f").join(
-        rows.alias("r"),
-        (F.col("f.case") == F.col("r.case")) & (F.col("f.op") == F.col("r.op"))
-        & (F.col("f.context") == F.col("r.context")) & (F.col("f.target_text") == F.col("r.target_text")))
-    rule = F.when(F.col("f.id") == F.col("r.id"), 1).when(F.col("f.klass") == F.col("r.klass"), 2).otherwise(3)
-    best = j.groupBy("f._fid").agg(
-        F.min_by(F.struct(F.col("r.id").alias("now_id"), rule.alias("rule")), F.struct(rule.alias("a"), F.col("r.id").alias("b"))).alias("b"))
-    return f.join(best, "_fid", "left").select("case", "_fid", F.col("b.now_id").alias("now_id"), F.col("b.rule").alias("rule")) \
-        .withColumnRenamed("_fid", "follow_id")
+    f = followed if "follow_id" in followed.columns else followed.withColumn("follow_id", F.monotonically_increasing_id())
+    now = rows.select("case", "op", "context", "target_text", F.col("id").alias("now_id"), F.col("klass").alias("now_klass"))
+    j = f.join(now, ["case", "op", "context", "target_text"], "left")
+    rule = F.when(F.col("id") == F.col("now_id"), 1).when(F.col("klass") == F.col("now_klass"), 2).otherwise(3)
+    ranked = j.withColumn("_r", F.when(F.col("now_id").isNotNull(), F.struct(rule.alias("rule"), F.col("now_id").alias("now_id"))))
+    return ranked.groupBy("case", "follow_id").agg(F.min("_r").alias("b")).select("case", "follow_id", "b.now_id", "b.rule")
 
 
 def live_marks(marks: DataFrame, summary: DataFrame, cases: DataFrame) -> DataFrame:

@@ -37,9 +37,9 @@ ja AS (SELECT c, ln, klass, tipo, zone, left_text, ag AS right_text, page, 1 AS
 j AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY part, page, ln) AS id FROM (SELECT * FROM jt UNION ALL SELECT * FROM ja)),
 st AS (SELECT *, CASE WHEN verdict IS NULL THEN klass WHEN marked AND verdict IN ('da_fare','in_corso','regressione') THEN 'da_verificare'
   WHEN unresolved AND verdict IN ('da_fare','in_corso') THEN 'non_risolta' ELSE verdict END AS state FROM j),
-sm AS (SELECT cs.c, count_if(verdict='fatta') AS fatte, count_if(verdict='da_fare') AS da_fare, count_if(verdict='in_corso') AS in_corso, count_if(verdict='regressione') AS regressioni,
-  count_if(marked) AS da_verificare, count_if(unresolved) AS non_risolte, count_if(verdict='tollerata') AS tollerate, count_if(klass='variabile') AS variabili,
-  count_if(klass='rumore') AS rumore, count_if(klass='arredo') AS arredo, any_value(tt) AS tt, any_value(NOT (has_asis AND att)) AS two_way
+sm AS (SELECT cs.c, count_if(coalesce(verdict='fatta', false)) AS fatte, count_if(coalesce(verdict='da_fare', false)) AS da_fare, count_if(coalesce(verdict='in_corso', false)) AS in_corso, count_if(coalesce(verdict='regressione', false)) AS regressioni,
+  count_if(coalesce(marked, false)) AS da_verificare, count_if(coalesce(unresolved, false)) AS non_risolte, count_if(coalesce(verdict='tollerata', false)) AS tollerate, count_if(coalesce(klass='variabile', false)) AS variabili,
+  count_if(coalesce(klass='rumore', false)) AS rumore, count_if(coalesce(klass='arredo', false)) AS arredo, any_value(tt) AS tt, any_value(NOT (has_asis AND att)) AS two_way
   FROM cs LEFT JOIN j ON j.c = cs.c GROUP BY cs.c)
 """
 
@@ -87,7 +87,7 @@ def _judge(spark, sf):
 @query("three_way_verdicts", BASE + """
 SELECT c AS "case", id, CAST(ln AS INTEGER) AS pos, klass, verdict, marked, unresolved, tolerated_note, previous_text FROM j""")
 def three_way_verdicts(spark, sf):
-    return _judge(spark, sf)["judged"].select(
+    return V.number(_judge(spark, sf)["judged"]).select(
         "case", "id", "pos", "klass", "verdict", "marked", "unresolved", "tolerated_note", "previous_text")
 
 
@@ -417,9 +417,9 @@ def occurrences_set_aside(spark, sf):
     return R.filtered_count(R.filter_panel(R.filter_found(d), sw))
 
 
-@query("display_states", BASE + 'SELECT c AS "case", id, state, coalesce(unresolved AND NOT marked AND verdict IN (\'da_fare\',\'in_corso\',\'regressione\'), false) AS flagged FROM st')
+@query("display_states", BASE + 'SELECT c AS "case", CAST(ln AS INTEGER) AS pos, state, coalesce(unresolved AND NOT marked AND verdict IN (\'da_fare\',\'in_corso\',\'regressione\'), false) AS flagged FROM st')
 def display_states(spark, sf):
-    return _judge(spark, sf)["judged"].select("case", "id", R.state_of().alias("state"), R.flagged().alias("flagged"))
+    return _judge(spark, sf)["judged"].select("case", "pos", R.state_of().alias("state"), R.flagged().alias("flagged"))
 
 
 @query("tab_counts", BASE + """
@@ -431,10 +431,10 @@ def tab_counts(spark, sf):
 
 
 @query("tab_rows", BASE + """
-SELECT c AS "case", id, state FROM st WHERE state IN ('non_risolta','regressione','da_fare','in_corso','da_verificare')""")
+SELECT c AS "case", CAST(ln AS INTEGER) AS pos, state FROM st WHERE state IN ('non_risolta','regressione','da_fare','in_corso','da_verificare')""")
 def tab_rows(spark, sf):
-    j = _judge(spark, sf)["judged"].withColumn("y0", F.lit(0.0)).withColumn("x0", F.col("pos").cast("double"))
-    return R.tab_rows(j, "guardare").select("case", "id", "state")
+    j = _judge(spark, sf)["judged"].withColumn("y0", F.lit(0.0)).withColumn("x0", F.col("pos").cast("double")).withColumn("id", F.col("pos"))
+    return R.tab_rows(j, "guardare").select("case", "pos", "state")
 
 
 @query("type_counts", BASE + """
@@ -454,7 +454,7 @@ def type_groups(spark, sf):
 
 @query("zones_summary", BASE + """
 , z AS (SELECT DISTINCT c, zone FROM j WHERE zone <> 'corpo' UNION SELECT c, 'titolo' FROM cs)
-SELECT z.c AS "case", z.zone, CAST(count_if(st.state IN ('non_risolta','regressione','da_fare','in_corso')) AS BIGINT) AS n_open,
+SELECT z.c AS "case", z.zone, CAST(count_if(coalesce(st.state IN ('non_risolta','regressione','da_fare','in_corso'), false)) AS BIGINT) AS n_open,
  z.zone = 'numero_pagina' AND NOT coalesce(bool_or(st.klass <> 'arredo'), false) AS ignored FROM z LEFT JOIN st ON st.c = z.c AND st.zone = z.zone GROUP BY 1, 2""")
 def zones_summary(spark, sf):
     boxes = _lines(spark, sf).select("case").distinct().withColumn("zone", F.lit("titolo"))
@@ -482,7 +482,7 @@ def board_rollup(spark, sf):
 
 
 @query("pill_counts", BASE + """
-SELECT c AS "case", CAST(count_if(state = 'da_verificare') AS BIGINT) AS da_verificare, CAST(count_if(state <> 'da_verificare' AND verdict = 'da_fare') AS BIGINT) AS da_fare, CAST(count_if(state <> 'da_verificare' AND verdict = 'in_corso') AS BIGINT) AS in_corso,
+SELECT c AS "case", CAST(count_if(state = 'da_verificare') AS BIGINT) AS da_verificare, CAST(count_if(coalesce(state <> 'da_verificare' AND verdict = 'da_fare', false)) AS BIGINT) AS da_fare, CAST(count_if(coalesce(state <> 'da_verificare' AND verdict = 'in_corso', false)) AS BIGINT) AS in_corso,
  CAST(count_if(unresolved) AS BIGINT) AS non_risolta, CAST(count_if(state = 'variabile') AS BIGINT) AS variabile FROM st GROUP BY c""")
 def pill_counts(spark, sf):
     return R.pill_counts(_judge(spark, sf)["judged"]).select("case", "da_verificare", "da_fare", "in_corso", "non_risolta", "variabile")
@@ -508,10 +508,10 @@ def remaining_work(spark, sf):
 
 
 @query("minimap_segments", BASE + """
-, s AS (SELECT c, id, page, state FROM st WHERE state <> 'fatta')
+, s AS (SELECT c, CAST(ln AS INTEGER) AS id, page, state FROM st WHERE state <> 'fatta')
 SELECT c AS "case", id, page, round((page * 842.0 + 10.0 * id) / (3 * 842.0), 6) AS top, round((page * 842.0 + 10.0 * id + 8) / (3 * 842.0), 6) AS bottom FROM s""")
 def minimap_segments(spark, sf):
-    j = _judge(spark, sf)["judged"]
+    j = _judge(spark, sf)["judged"].withColumn("id", F.col("pos"))
     words = j.select("case", "id", F.lit("left").alias("side"), "page", (F.col("id") * 10.0).alias("y0"), (F.col("id") * 10.0 + 8).alias("y1"))
     sizes = _lines(spark, sf).select("case").distinct().select("case", F.lit("left").alias("side"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("page"), F.lit(842.0).alias("height"))
     m = R.minimap(words, j, sizes)
@@ -519,18 +519,18 @@ def minimap_segments(spark, sf):
 
 
 @query("difference_lines", BASE + """
-SELECT c AS "case", id, 'pag. '||(page + 1)||' · cambiato'||CASE WHEN klass <> 'testo' THEN ' · '||klass ELSE '' END AS where_line,
+SELECT c AS "case", CAST(ln AS INTEGER) AS pos, 'pag. '||(page + 1)||' · cambiato'||CASE WHEN klass <> 'testo' THEN ' · '||klass ELSE '' END AS where_line,
  CASE WHEN klass = 'stile' THEN '«'||left_text||'»' ELSE '«'||left_text||'» → «'||right_text||'»' END AS what_line FROM j""")
 def difference_lines(spark, sf):
     j = _judge(spark, sf)["judged"].withColumn("detail", F.lit(""))
-    return R.difference_lines(j).select("case", "id", "where_line", "what_line")
+    return R.difference_lines(j).select("case", "pos", "where_line", "what_line")
 
 
 @query("difference_snippets", BASE + """
-SELECT c AS "case", id, '… b c d e ['||left_text||'→'||right_text||'] f' AS snippet FROM j""")
+SELECT c AS "case", CAST(ln AS INTEGER) AS pos, '… b c d e ['||left_text||'→'||right_text||'] f' AS snippet FROM j""")
 def difference_snippets(spark, sf):
     s = R.snippet(F.lit("a b c d e"), F.col("left_text"), F.col("right_text"), F.lit("f"))
-    return _judge(spark, sf)["judged"].select("case", "id", s.alias("snippet"))
+    return _judge(spark, sf)["judged"].select("case", "pos", s.alias("snippet"))
 
 
 @query("invisible_text_lines", """

@@ -56,8 +56,9 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> tuple[bo
     idx = [names.index(c) for c in cols]
     want = sorted((tuple(norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     if got != want:
-        extra = [g for g in got if g not in set(want)][:3]
-        gone = [w for w in want if w not in set(got)][:3]
+        in_got, in_want = set(got), set(want)
+        extra = [g for g in got if g not in in_want][:3]
+        gone = [w for w in want if w not in in_got][:3]
         return False, f"rows {len(got)} vs {len(want)} cols {cols}\n   spark only {extra}\n   sql only {gone}"
     types = {c: str(t) for c, t in zip(names, [d[1] for d in res.description])}
     odd = [(f.name, f.dataType.simpleString(), types[f.name]) for f in df.schema.fields
