@@ -37,31 +37,29 @@ def leaves(payloads: DataFrame, column: str = "payload", depth: int = 8) -> Data
     ``depth`` bounds the nesting opened; ``ord`` follows the document order of the parsed value.
     """
     keep = [c for c in payloads.columns if c != column]
-    v = F.try_parse_json(column)
-    level = payloads.select(*keep, F.lit("").alias("path"), F.lit("").alias("name"), v.alias("v"),
-                            F.array().cast("array<int>").alias("ord")).where(F.col("v").isNotNull())
-    out = None
-    for _ in range(depth + 1):
-        kind = F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0)
-        level = level.withColumn("kind", kind)
-        done = level.where(~F.col("kind").isin("OBJECT", "ARRAY")).select(
-            *keep, "path", "name", F.try_variant_get("v", "$", "string").alias("value"), "kind", "ord")
-        out = done if out is None else out.unionByName(done)
-        opened = level.where(F.col("kind").isin("OBJECT", "ARRAY"))
-        level = _open(opened, keep)
-    return out
-
-
-def _open(level: DataFrame, keep: list[str]) -> DataFrame:
-    obj = F.try_variant_get("v", "$", "map<string,variant>")
-    arr = F.try_variant_get("v", "$", "array<variant>")
-    o = level.where(F.col("kind") == "OBJECT").select(*keep, "path", "name", "ord", F.posexplode(F.map_entries(obj)).alias("i", "e"))
-    o = o.select(*keep, F.when(F.col("path") == "", F.col("e.key")).otherwise(F.concat_ws(".", "path", "e.key")).alias("path"),
-                 F.col("e.key").alias("name"), F.col("e.value").alias("v"), F.concat("ord", F.array("i")).alias("ord"))
-    a = level.where(F.col("kind") == "ARRAY").select(*keep, "path", "name", "ord", F.posexplode(arr).alias("i", "e"))
-    a = a.select(*keep, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), "name",
-                 F.col("e").alias("v"), F.concat("ord", F.array("i")).alias("ord"))
-    return o.unionByName(a)
+    node = F.struct(F.lit("").alias("path"), F.lit("").alias("name"), F.array().cast("array<int>").alias("ord"),
+                    F.try_parse_json(column).alias("v"))
+    level = payloads.select(*keep, node.alias("n")).where(F.col("n.v").isNotNull())
+    for _ in range(depth):
+        level = level.select(*keep, F.explode(_children(F.col("n"))).alias("n"))
+    kind = F.regexp_extract(F.schema_of_variant("n.v"), r"^[A-Z]+", 0)
+    out = level.select(*keep, "n.path", "n.name", F.try_variant_get("n.v", "$", "string").alias("value"), kind.alias("kind"), "n.ord")
+    return out.where(~F.col("kind").isin("OBJECT", "ARRAY"))
+
+
+def _children(n: Column) -> Column:
+    """The children of an object or array node; a leaf is its own child, so levels need no union."""
+    kind = F.schema_of_variant(n["v"])
+    obj = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
+    arr = F.try_variant_get(n["v"], "$", "array<variant>")
+
+    def child(path: Column, name: Column, i: Column, v: Column) -> Column:
+        return F.struct(path.alias("path"), name.alias("name"), F.concat(n["ord"], F.array(i)).alias("ord"), v.alias("v"))
+
+    of_obj = F.transform(obj, lambda e, i: child(
+        F.concat(F.when(n["path"] == "", F.lit("")).otherwise(F.concat(n["path"], F.lit("."))), e["key"]), e["key"], i, e["value"]))
+    of_arr = F.transform(arr, lambda v, i: child(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), n["name"], i, v))
+    return F.when(kind.startswith("OBJECT"), of_obj).when(kind.startswith("ARRAY"), of_arr).otherwise(F.array(n))
 
 
 def payload_index(found: DataFrame, by: list[str]) -> DataFrame:

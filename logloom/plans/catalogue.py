@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_batch, q_calls, q_catalog, q_docs, q_review  # noqa: F401
+from . import q_batch, q_calls, q_catalog, q_docs, q_layout, q_review  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
