@@ -98,7 +98,9 @@ class EntryStore:
             .partitionBy("env", "day").parquet(f"{self.path}/entries")
         )
         stats = daily_log.scan_stats(content).select("env", "day", "n_entries", "n_orphans")
-        scanned = disk.join(stats, ["env", "day"])
+        zero = F.lit(0).cast("bigint")
+        scanned = disk.join(todo, ["env", "day"], "left_semi").join(stats, ["env", "day"], "left").withColumn(
+            "n_entries", F.coalesce("n_entries", zero)).withColumn("n_orphans", F.coalesce("n_orphans", zero))
         cols = ["env", "day", "rel_path", "path", "size", "mtime", "n_entries", "n_orphans"]
         gone = plan.where(F.col("action") != "keep").select("env", "day")
         kept = index.join(gone, ["env", "day"], "left_anti")

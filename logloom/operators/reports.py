@@ -262,15 +262,12 @@ def snippet(before: Column, left: Column, right: Column, after: Column, n: int =
 
 def spliced(text: Column, spans: Column) -> Column:
     """Text with each [start, end) span in brackets, spans in order."""
-    from pyspark.sql.types import StructType
-
     pieces = F.aggregate(
         F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             s["end"].cast("int").alias("at"),
             F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"].cast("int") - acc["at"]), F.lit("["),
                      F.substr(text, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")), F.lit("]")).alias("out")))
-    del StructType
     return F.concat(pieces["out"], F.substr(text, pieces["at"] + 1))
 
 

@@ -8,6 +8,8 @@ the file; only the narrow per-line facts are shuffled to pair headers with bodie
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,23 @@ ENTRY_COLUMNS = (
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under ``root`` (path, modificationTime, length, content)."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    )
+    """Every file under ``root`` (path, modificationTime, length, content), 0-byte files included."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _with_empty(files.withColumn("path", _plain_path(F.col("path"))), files)
+
+
+def _with_empty(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """The file reader skips 0-byte files; the file index it lists anyway still names them.
+
+    A quiet day is a 0-byte file, so the names the rows lack come back with no content and no
+    time. Only names travel: one per file, the size of the listing itself.
+    """
+    names_ = source.sparkSession.createDataFrame([(unquote(p),) for p in source.inputFiles()], "path string")
+    names_ = names_.select(_plain_path(F.col("path")).alias("path"))
+    missing = names_.join(rows.select("path"), "path", "left_anti")
+    empty = {"length": F.lit(0).cast("bigint"), "content": F.lit(b"").cast("binary")}
+    return rows.unionByName(missing.select("path", *[
+        empty.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema.fields if f.name != "path"]))
 
 
 def _plain_path(path: Column) -> Column:
@@ -58,8 +73,9 @@ def list_days(spark: SparkSession, root: str, env: str | None = None) -> DataFra
     glob = f"{root.rstrip('/')}/{env or '*'}/*/*"
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(glob)
-        .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+        .select(_plain_path(F.col("path")).alias("path"), "length", F.col("modificationTime").alias("mtime"))
     )
+    files = _with_empty(files, files).withColumnRenamed("length", "size")
     out = with_day_columns(files).select("env", "day", "rel_path", "path", "size", "mtime")
     return out.where(~F.col("env").startswith("."))
 
