@@ -24,4 +24,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A table read in fewer splits than there are cores is spread over them.
+
+    The count is the scan's own number of splits, so a table of any real size is read as it
+    is, with no exchange.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and df.rdd.getNumPartitions() < cores // 2:
+        return df.repartition(cores)
+    return df
+
+
+# Tables whose rows carry texts that are parsed or matched row by row.
+SPREAD = ("events", "documents", "pages")
