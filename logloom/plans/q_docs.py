@@ -275,15 +275,18 @@ def document_differences(spark, sf):
 
 @query("block_moves")
 def block_moves(spark, sf):
-    b = _blocks(spark, sf)
-    # Every ninth block of the copy is read at the end: those are the moves.
-    moved = b.withColumn("block", F.when((F.col("side") == "R") & (F.col("block") % 9 == 4), F.col("block") + 1_000_000).otherwise(F.col("block")))
-    return D.block_moves(D.exact_matches(moved))
+    return D.block_moves(D.exact_matches(_moved(_blocks(spark, sf))))
+
+
+def _moved(b):
+    """Every ninth block of the copy is read at the end: those are the moves."""
+    late = (F.col("side") == "R") & (F.col("block") % 9 == 4)
+    return b.withColumn("block", F.when(late, F.col("block") + 1_000_000).otherwise(F.col("block")))
 
 
 @query("text_moves")
 def text_moves(spark, sf):
-    b = _blocks(spark, sf)
+    b = _moved(_blocks(spark, sf))
     fixed = D.monotone(D.exact_matches(b)).where("kept").select("pair_id", "l", "r")
     return D.text_moves(D.word_changes(_words(b), fixed))
 
