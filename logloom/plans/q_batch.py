@@ -88,12 +88,13 @@ SPREAD = W + """
 d AS (SELECT lk, env, day, seq, template_key FROM (SELECT lower(template_key) AS lk, *, row_number() OVER (PARTITION BY lower(template_key), env, day
   ORDER BY request_date IS NULL, request_date DESC, seq DESC) AS rn FROM calls) WHERE rn = 1),
 a AS (SELECT lk, env, max(day) AS d0 FROM d GROUP BY 1, 2),
-k AS (SELECT d.lk, d.env, d.day, d.seq, d.template_key, CASE WHEN d.env = 'coll' THEN 0 ELSE 1 END AS eno FROM d JOIN a ON a.lk = d.lk AND a.env = d.env
-  WHERE d.day = a.d0
-   OR d.day = (SELECT max(day) FROM d x WHERE x.lk = d.lk AND x.env = d.env AND x.day <= a.d0 - 1)
-   OR d.day = (SELECT max(day) FROM d x WHERE x.lk = d.lk AND x.env = d.env AND x.day <= a.d0 - 3)
-   OR d.day = (SELECT max(day) FROM d x WHERE x.lk = d.lk AND x.env = d.env AND x.day <= a.d0 - 7)
-   OR d.day = (SELECT max(day) FROM d x WHERE x.lk = d.lk AND x.env = d.env AND x.day <= a.d0 - 15)),
+-- Each kept day is the newest one old enough and older than the one kept before it.
+k1 AS (SELECT a.*, (SELECT max(day) FROM d x WHERE x.lk = a.lk AND x.env = a.env AND x.day <= a.d0 - 1) AS d1 FROM a),
+k2 AS (SELECT k1.*, (SELECT max(day) FROM d x WHERE x.lk = k1.lk AND x.env = k1.env AND x.day <= k1.d0 - 3 AND x.day < k1.d1) AS d2 FROM k1),
+k3 AS (SELECT k2.*, (SELECT max(day) FROM d x WHERE x.lk = k2.lk AND x.env = k2.env AND x.day <= k2.d0 - 7 AND x.day < k2.d2) AS d3 FROM k2),
+k4 AS (SELECT k3.*, (SELECT max(day) FROM d x WHERE x.lk = k3.lk AND x.env = k3.env AND x.day <= k3.d0 - 15 AND x.day < k3.d3) AS d4 FROM k3),
+k AS (SELECT d.lk, d.env, d.day, d.seq, d.template_key, CASE WHEN d.env = 'coll' THEN 0 ELSE 1 END AS eno FROM d JOIN k4 ON k4.lk = d.lk AND k4.env = d.env
+  WHERE d.day IN (d0, d1, d2, d3, d4)),
 h AS (SELECT lk, arg_min(seq, (eno, -epoch(day))) AS seq, arg_min(template_key, (eno, -epoch(day))) AS key,
   string_agg(env||' '||strftime(day,'%Y-%m-%d'), '|' ORDER BY eno, day DESC) AS every FROM k GROUP BY lk)
 SELECT t.ord, coalesce(h.key, t.value) AS key, h.seq, coalesce(every, '') AS tried FROM t LEFT JOIN h ON h.lk = t.lk"""
