@@ -28,13 +28,15 @@ def build_session(app: str = "logloom", cores: str | None = None) -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where it names none."""
+    """The shared folder the cluster names; a private one only in local mode, where it may name none."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="logloom-ckpt-")
     sc.setCheckpointDir(named)
     return named
