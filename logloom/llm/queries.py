@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import pii, quality, secrets
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest, threshold = quality.train(stats, _table(spark, sf_dir, "labels"))
     return quality.verdicts(stats, forest, threshold).select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
 
+@_query("op1_secret_scans")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.digest(secrets.find(_table(spark, sf_dir, "documents")))
+
+
+@_query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
