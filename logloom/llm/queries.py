@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, secrets
+from . import mixing, pii, quality, secrets
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
+@_query("op9_source_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    return mixing.taken(mixing.mix(_table(spark, sf_dir, "documents"), Scratch(spark, "op9")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
