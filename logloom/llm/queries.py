@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality, secrets
+from . import html_main, mixing, packing, pii, quality, secrets, warc
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,25 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+@_query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_main.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query("op4_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+    FROM m""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to archives and read back."""
+    return warc.read(warc.write(_table(spark, sf_dir, "pages"), Scratch(spark, "op4")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
