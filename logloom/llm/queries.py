@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, mixing, packing, pii, quality, secrets, warc
+from . import html_main, jaccard_join, mixing, packing, pii, quality, secrets, warc
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(_table(spark, sf_dir, "pages"), Scratch(spark, "op4")))
 
 
+@_query("op10_jaccard_join", r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+      FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g
+      FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    l AS (
+      SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+      JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+    r AS (SELECT doc_id AS x, doc_id AS c FROM w UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x)
+    SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+    FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.x = w.doc_id GROUP BY w.doc_id, n.n""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar shingle sets."""
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
