@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, jaccard_join, mixing, packing, pii, quality, secrets, warc
+from . import html_main, jaccard_join, mixing, nn_descent, packing, pii, quality, secrets, warc
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
+@_query("op7_embedding_near_dedup", """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+    l AS (
+      SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    r AS (SELECT vec_id AS x, vec_id AS c FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x),
+    c AS (SELECT x, min(c) AS component_id FROM r GROUP BY x)
+    SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+    FROM embeddings e JOIN c ON c.x = e.vec_id""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate embeddings."""
+    return nn_descent.near_duplicates(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))[0]
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
