@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, jaccard_join, mixing, nn_descent, packing, pii, quality, secrets, warc
+from . import html_main, jaccard_join, mixing, nn_descent, packing, pii, quality, recurrent_lm, secrets, warc
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))[0]
 
 
+@_query("op5_recurrent_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and network log probabilities of every document."""
+    return recurrent_lm.score(_table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
