@@ -12,7 +12,7 @@ similarity of their sets is at least ``PERCENT`` / 100.
   signature. Spare segments pay for the empty ones. A set whose budgets still fall short of H + 1 raises its segments of two
   and more tokens to 2: their one-deletion neighbourhoods are indexed too. What is short even then meets in one list.
 * **Filter.** A set with more than H segments that nobody else has links with nothing. Most documents go here, after one
-  shuffle of signatures packed per task and bucket (8 bytes each) and counted in numpy.
+  shuffle of signatures packed per task and bucket (16 bytes each) and counted in numpy.
 * **Verify.** Among the remaining sets, those that share signatures form clusters; each cluster is verified exactly, in blocks
   of ``block`` sets, and a block pair returns a spanning forest of its links, never all pairs.
 
@@ -156,24 +156,21 @@ def deletions(sets: list[np.ndarray], size, band, value, parts) -> tuple[np.ndar
     return np.concatenate(keys), np.concatenate(whose), np.array(flags)
 
 
-PACKED = "bucket int, sigs binary, sets binary, counts binary"
+PACKED = "bucket int, sigs binary, sets binary, sizes binary"
 
 
 def packed(sig: np.ndarray, ident: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Signatures and their sets as one row per bucket, ordered by set."""
-    bucket = (sig >> np.uint64(33)) % np.uint64(buckets)
-    order = np.lexsort((ident, bucket))
-    sig, ident, bucket = sig[order], ident[order], bucket[order]
+    """Signatures and their sets as one row per bucket, 16 bytes a signature whatever the number of buckets."""
+    order = np.argsort(sig)
+    sig, ident = sig[order], ident[order]
+    bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(sig) else []
     for a, b in zip(cuts, [*cuts[1:], len(sig)]):
-        who, n = np.unique(ident[a:b], return_counts=True)
-        yield int(bucket[a]), sig[a:b].tobytes(), who.tobytes(), n.astype(np.uint32).tobytes()
+        yield int(bucket[a]), sig[a:b].tobytes(), ident[a:b].tobytes(), b""
 
 
 def unpacked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    sig = np.frombuffer(b"".join(r[0] for r in rows), np.uint64)
-    who = np.frombuffer(b"".join(r[1] for r in rows), np.int64)
-    return sig, np.repeat(who, np.frombuffer(b"".join(r[2] for r in rows), np.uint32))
+    return np.frombuffer(b"".join(r[0] for r in rows), np.uint64), np.frombuffer(b"".join(r[1] for r in rows), np.int64)
 
 
 def batch_of(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -254,7 +251,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Dat
                     rows += packed(key, ids[whose] | below, buckets)
                     some = m > 0
                     rows.append((-1 - int(ids[0] % buckets), (ids[some] | below).tobytes(), size[some].tobytes(), full_n[some].tobytes()))
-                yield batch_of(rows, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "sigs", "sets", "counts"])
+                yield batch_of(rows, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "sigs", "sets", "sizes"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["ident", "shared", "full_n", "size"]
@@ -278,18 +275,67 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Dat
         F.col("ident").bitwiseAND(F.lit(-2)).alias("cls")).distinct()
 
 
+def places(h: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of hashed ids in a Bloom filter: (hashes, 5)."""
+    one = mix64(h.astype(np.int64).view(np.uint64))
+    two = mix64(one + _STEP) | np.uint64(1)
+    return ((one[:, None] + two[:, None] * np.arange(5, dtype=np.uint64)[None, :]) % np.uint64(bits)).astype(np.int64)
+
+
+def bloom(hashed: DataFrame, count: int, most_bits: int = 1 << 26) -> np.ndarray:
+    """A Bloom filter over the long column of ``hashed``: 16 bits a key, but at most ``most_bits`` (8 MB by default).
+
+    Tasks set bits of their own rows; the parts of the filter are merged on the executors.
+    """
+    bits = min(most_bits, max(1 << 16, 16 * count))
+    bits += -bits % (1 << 16)
+    part = 1 << 13
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(bits, bool)
+        for batch in batches:
+            flags[places(batch.column(0).to_numpy(), bits).ravel()] = True
+        packed_bits = np.packbits(flags)
+        yield batch_of([(i // part, packed_bits[i:i + part].tobytes()) for i in range(0, len(packed_bits), part) if packed_bits[i:i + part].any()],
+                       [pa.int32(), pa.binary()], ["part", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for no, rows in by_bucket(batches):
+            all_ = np.bitwise_or.reduce([np.frombuffer(r[0], np.uint8) for r in rows])
+            yield batch_of([(no, all_.tobytes())], [pa.int32(), pa.binary()], ["part", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in hashed.mapInArrow(mark, "part int, bits binary").repartition("part").sortWithinPartitions("part").mapInArrow(
+            merge, "part int, bits binary").collect():
+        out[r["part"] * part:(r["part"] + 1) * part] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cls, shingles) of the wanted classes; ``wanted`` has (id, cls) with one id per class."""
+    """(cls, shingles) of the wanted classes; ``wanted`` has (id, cls) with one id per class.
+
+    Texts are not shuffled: a Bloom filter of bounded size tells most other documents apart where they are read, and
+    the join on the class takes out the rest.
+    """
+    sc = docs.sparkSession.sparkContext
+    filter_ = sc.broadcast(bloom(wanted.select(F.xxhash64("id").alias("h")), wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, flags, seen = WordHashes(), filter_.value, set()
+        bits = 8 * len(flags)
         for batch in batches:
-            rows = [(c, s.tobytes()) for s, c in zip(shingle_sets(utf8(batch.column(0)), hashes), batch.column(1).to_pylist()) if class_of(s) == c]
+            at = places(batch.column(0).to_numpy(), bits)
+            hit = ((flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+            rows = []
+            for s in shingle_sets(utf8(batch.filter(pa.array(hit)).column(1)), hashes) if hit.any() else []:
+                c = class_of(s)
+                if len(s) >= LEAST and c not in seen:
+                    seen.add(c)
+                    rows.append((c, s.tobytes()))
             yield batch_of(rows, [pa.int64(), pa.binary()], ["cls", "shingles"])
 
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    joined = texts.join(wanted, F.col("_id") == F.col("id")).select("text", "cls")
-    return joined.mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, "cls long, shingles binary").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def clusters(sets: DataFrame, buckets: int) -> DataFrame:
@@ -308,7 +354,7 @@ def clusters(sets: DataFrame, buckets: int) -> DataFrame:
                 whose = np.concatenate([p[1] for p in parts])
                 more, of, _ = deletions(own, size, band, value, parts)
                 yield batch_of(list(packed(np.concatenate([key, more]), ids[np.concatenate([whose, of])], buckets)),
-                               [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "sigs", "sets", "counts"])
+                               [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "sigs", "sets", "sizes"])
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
