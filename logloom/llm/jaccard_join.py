@@ -456,3 +456,35 @@ def join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     return table.join(final, F.col("cls") == F.col("_cls"), "left").select(
         F.col("id").alias(id_col), "n_shingles",
         F.when(F.col("cls").isNull(), F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, joined: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents whose component has a smaller id, and with one of the rows equal in id and text.
+
+    Only rows that the Bloom filter of removed and repeated ids takes for such are joined; the others pass where they lie.
+    Rows with a null id stay.
+    """
+    from pyspark.sql import Window
+
+    found = scratch.write(joined.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(
+        F.min("component_id").alias("least"), F.count("*").alias("n")).where((F.col("least") != F.col(id_col)) | (F.col("n") > 1)), "suspects")
+    sc = docs.sparkSession.sparkContext
+    filter_ = sc.broadcast(bloom(found.select(F.xxhash64(id_col).alias("h")), found.count()))
+    keyed = docs.withColumn("_h", F.xxhash64(id_col))
+    at_h = len(docs.columns)
+
+    def split(hits: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags = filter_.value
+            for batch in batches:
+                at = places(batch.column(at_h).to_numpy(), 8 * len(flags))
+                hit = ((flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+                yield batch.filter(pa.array(hit == hits)).select(list(range(at_h)))
+
+        return keyed.mapInArrow(run, docs.schema)
+
+    removed = found.where(F.col("least") != F.col(id_col)).select(F.col(id_col).alias("_id"))
+    maybe = split(True).join(removed, F.col(id_col) == F.col("_id"), "left_anti")
+    first = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(*docs.columns))
+    repeated = maybe.where(F.col(id_col).isNotNull()).withColumn("_no", F.row_number().over(first)).where("_no = 1").select(*docs.columns)
+    return split(False).unionByName(repeated).unionByName(maybe.where(F.col(id_col).isNull()))
