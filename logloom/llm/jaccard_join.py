@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, mix64, shuffle_partitions, utf8, with_columns_checked
+from .common import Scratch, components, free_name, mix64, shuffle_partitions, utf8, with_columns_checked
 
 #: Words of a shingle, similarity in percent.
 WORDS = 5
@@ -470,8 +470,9 @@ def one_per_group(docs: DataFrame, joined: DataFrame, scratch: Scratch, id_col:
         F.min("component_id").alias("least"), F.count("*").alias("n")).where((F.col("least") != F.col(id_col)) | (F.col("n") > 1)), "suspects")
     sc = docs.sparkSession.sparkContext
     filter_ = sc.broadcast(bloom(found.select(F.xxhash64(id_col).alias("h")), found.count()))
-    keyed = docs.withColumn("_h", F.xxhash64(id_col))
+    keyed = docs.withColumn(free_name(docs, "h"), F.xxhash64(id_col))
     at_h = len(docs.columns)
+    gone, no = free_name(docs, "gone"), free_name(docs, "no")
 
     def split(hits: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,8 +484,8 @@ def one_per_group(docs: DataFrame, joined: DataFrame, scratch: Scratch, id_col:
 
         return keyed.mapInArrow(run, docs.schema)
 
-    removed = found.where(F.col("least") != F.col(id_col)).select(F.col(id_col).alias("_id"))
-    maybe = split(True).join(removed, F.col(id_col) == F.col("_id"), "left_anti")
+    removed = found.where(F.col("least") != F.col(id_col)).select(F.col(id_col).alias(gone))
+    maybe = split(True).join(removed, F.col(id_col) == F.col(gone), "left_anti")
     first = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(*docs.columns))
-    repeated = maybe.where(F.col(id_col).isNotNull()).withColumn("_no", F.row_number().over(first)).where("_no = 1").select(*docs.columns)
+    repeated = maybe.where(F.col(id_col).isNotNull()).withColumn(no, F.row_number().over(first)).where(F.col(no) == 1).select(*docs.columns)
     return split(False).unionByName(repeated).unionByName(maybe.where(F.col(id_col).isNull()))

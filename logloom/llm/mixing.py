@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, with_columns_checked
+from .common import Scratch, free_name, with_columns_checked
 
 #: Weights by the source's place, repeating; words of the mix per word of the input; repeats allowed.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -209,14 +209,14 @@ def excerpts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col
     White space after a taken word stays. The column ``n_chars``, where there is one, is the length of the new text.
     Rows equal in id, source and text share one plan.
     """
-    plan = mixed.where(F.size("draws") > 0).select(F.col("h").alias("_h"), F.col("draws").alias("_draws")).dropDuplicates(["_h"])
-    key = row_hash(docs, id_col, text_col, source_col, seed)
-    got = docs.withColumn("_h", key).join(plan, "_h")
-    parts = F.regexp_extract_all(F.col(text_col), F.lit(f"[^{GAP}]++[{GAP}]*+"), F.lit(0))
-    got = got.withColumn("_epoch", F.explode(F.array_distinct(F.transform("_draws", lambda x: x["epoch"])))).withColumn("_parts", parts)
-    mine = F.array_sort(F.transform(F.filter("_draws", lambda x: x["epoch"] == F.col("_epoch")), lambda x: F.struct(
+    h, draws, epoch, parts = (free_name(docs, x) for x in ("h", "draws", "epoch", "parts"))
+    plan = mixed.where(F.size("draws") > 0).select(F.col("h").alias(h), F.col("draws").alias(draws)).dropDuplicates([h])
+    got = docs.withColumn(h, row_hash(docs, id_col, text_col, source_col, seed)).join(plan, h)
+    got = got.withColumn(epoch, F.explode(F.array_distinct(F.transform(draws, lambda x: x["epoch"])))).withColumn(
+        parts, F.regexp_extract_all(F.col(text_col), F.lit(f"[^{GAP}]++[{GAP}]*+"), F.lit(0)))
+    mine = F.array_sort(F.transform(F.filter(draws, lambda x: x["epoch"] == F.col(epoch)), lambda x: F.struct(
         x["a"].cast("int").alias("a"), x["b"].cast("int").alias("b"))))
-    text = F.array_join(F.flatten(F.transform(mine, lambda x: F.slice(F.col("_parts"), x["a"] + 1, x["b"] - x["a"]))), "")
+    text = F.array_join(F.flatten(F.transform(mine, lambda x: F.slice(F.col(parts), x["a"] + 1, x["b"] - x["a"]))), "")
     got = got.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))

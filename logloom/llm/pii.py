@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns_checked
+from .common import free_name, with_columns_checked
 from .spans import listing, located, masked, matches
 
 #: The patterns of the base kinds and of the added ones, in the order of their ranks.
@@ -128,8 +128,9 @@ def digest(found: DataFrame, id_col: str = "doc_id", spans: str = "pii") -> Data
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; same columns. A null text stays null."""
-    found = find(docs, text_col, out="_pii")
-    clean = masked(F.col(text_col), F.col("_pii"), lambda x: F.concat(F.lit("<"), x["kind"], F.lit(">")))
+    out = free_name(docs, "pii")
+    found = find(docs, text_col, out=out)
+    clean = masked(F.col(text_col), F.col(out), lambda x: F.concat(F.lit("<"), x["kind"], F.lit(">")))
     return found.withColumn(text_col, clean).select(*docs.columns)
 
 
