@@ -3,7 +3,6 @@
 import itertools
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,13 +13,20 @@ from logloom.sources import html, packages
 
 def test_assignment_is_optimal():
     rnd = random.Random(7)
-    for _ in range(60):
-        n = rnd.randint(1, 5)
-        m = rnd.randint(n, 6)
-        cost = np.array([[rnd.randint(-9, 9) for _ in range(m)] for _ in range(n)], dtype=float)
-        got = sum(cost[i, j] for i, j in diff._solve(cost))
-        best = min(sum(cost[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(m), n))
-        assert got == pytest.approx(best)
+    for _ in range(300):
+        n, m = rnd.randint(1, 5), rnd.randint(1, 5)
+        gain = {(i, j): rnd.randint(1, 9) for i in range(n) for j in range(m) if rnd.random() < 0.7}
+        got = diff.best_pairs([(i, j, g) for (i, j), g in gain.items()])
+        assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+        best = max(sum(gain.get((i, c), 0) for i, c in enumerate(p) if c < m) for p in itertools.permutations(range(m + n), n))
+        assert sum(gain[p] for p in got) == best
+
+
+def test_changed_ranges_of_long_texts():
+    a, b = "parola " * 3000 + "dodici mesi", "parola " * 3000 + "sei mesi"
+    left, right = diff.changed_ranges(a, b)
+    assert "".join(a[s["start"]:s["end"]] for s in left) in ("dodici", "dodc") and left[0]["start"] >= 21000
+    assert right and right[-1]["end"] <= len(b) - len(" mesi")
 
 
 def test_opcodes_turn_left_into_right():
