@@ -50,7 +50,8 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 # --- counts ---------------------------------------------------------------------------------------------------------------
 
-PACKED = "bucket int, words binary, lengths binary, counts binary, docs binary, tfs binary, rows binary, trained binary"
+PACKED = "bucket int, first long, n int, words binary, lengths binary, counts binary, docs binary, tfs binary, trained binary"
+LEAST_BUCKETS = 64
 
 
 def postings(docs: DataFrame, buckets: int) -> DataFrame:
@@ -58,11 +59,12 @@ def postings(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                if not part.num_rows:
-                    continue
-                rows = np.array(part.column(0).to_pylist(), np.int64)
+            rows = batch.column(0).to_numpy()
+            # chunks of rows with consecutive numbers: the first number and the length name them all
+            breaks = [*(np.flatnonzero(np.diff(rows) != 1) + 1).tolist(), len(rows)] if len(rows) else []
+            starts = [i for a, b in zip([0, *breaks], breaks) for i in range(a, b, 2048)]
+            for i, stop in zip(starts, [*starts[1:], len(rows)]):
+                part = batch.slice(i, stop - i)
                 trained = in_training(part.column(1).to_pylist())
                 number: dict[bytes, int] = {}
                 keys = []
@@ -82,31 +84,31 @@ def postings(docs: DataFrame, buckets: int) -> DataFrame:
                     n = first[mine + 1] - first[mine]
                     at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     ws = [words[x] for x in mine]
-                    out.append((int(bucket[mine[0]]), b"".join(ws), np.array([len(w) for w in ws], np.uint32).tobytes(),
-                                n.astype(np.uint32).tobytes(), doc[at].tobytes(), tf[at].astype(np.uint32).tobytes(), rows.tobytes(),
-                                trained.tobytes()))
-                yield batch_of(out, [pa.int32(), *[pa.binary()] * 7], [c.split()[0] for c in PACKED.split(", ")])
+                    out.append((int(bucket[mine[0]]), int(rows[i]), stop - i, b"".join(ws), np.array([len(w) for w in ws], np.uint32).tobytes(),
+                                n.astype(np.uint32).tobytes(), doc[at].tobytes(), tf[at].astype(np.uint32).tobytes(),
+                                np.packbits(trained).tobytes()))
+                yield batch_of(out, [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6], [c.split()[0] for c in PACKED.split(", ")])
 
     return docs.mapInArrow(run, PACKED)
 
 
-COUNTED = "kind string, row long, a double, n long, word binary, class long"
+COUNTED = "kind string, row long, a double, n long, word binary, class long, docs binary, sums binary, known binary"
 
 
 def counted(packed: DataFrame, buckets: int, head: int, tails: int) -> DataFrame:
-    """Per document and bucket (kind ``doc``): sum of log10(c + 0.1), known tokens; per bucket: totals and frequent words.
+    """Per chunk and bucket (kind ``doc``): packed sums of log10(c + 0.1) and known tokens; per bucket: totals and frequent words.
 
     ``total``: tokens and distinct words in training (a, n), per tail class (``class``); ``head``: the bucket's words with
     their counts (n), the ``head`` most frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.binary(), pa.int64()]
+        kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 3]
         names = [c.split()[0] for c in COUNTED.split(", ")]
         for _, rows in by_bucket(batches):
             number: dict[bytes, int] = {}
             blocks = []
-            for words, lengths, counts, docs, tfs, ids, trained in rows:
+            for at, size, words, lengths, counts, docs, tfs, trained in rows:
                 ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
                 own, a = [], 0
                 for b in ends:
@@ -114,31 +116,47 @@ def counted(packed: DataFrame, buckets: int, head: int, tails: int) -> DataFrame
                     a = b
                 word = np.repeat(np.array(own, np.int64), np.frombuffer(counts, np.uint32))
                 blocks.append((word, np.frombuffer(docs, np.uint16), np.frombuffer(tfs, np.uint32).astype(np.int64),
-                               np.frombuffer(ids, np.int64), np.frombuffer(trained, bool)))
+                               at, size, np.unpackbits(np.frombuffer(trained, np.uint8), count=size).astype(bool)))
             c = np.zeros(len(number), np.int64)
-            for word, doc, tf, _, trained in blocks:
+            for word, doc, tf, _, _, trained in blocks:
                 use = trained[doc]
                 c += np.bincount(word[use], tf[use], len(c)).astype(np.int64)
             value = np.log10(c + SMOOTH)
-            for word, doc, tf, ids, _ in blocks:
-                s = np.bincount(doc, tf * value[word], len(ids))
-                k = np.bincount(doc, tf * (c[word] > 0), len(ids)).astype(np.int64)
-                some = np.flatnonzero(np.bincount(doc, minlength=len(ids)))
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["doc"] * n), pa.array(ids[some]), pa.array(s[some]), pa.array(k[some]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
+            out = []
+            for word, doc, tf, at, size, _ in blocks:
+                some = np.flatnonzero(np.bincount(doc, minlength=size))
+                sums = np.bincount(doc, tf * value[word], size)[some]
+                known = np.bincount(doc, tf * (c[word] > 0), size)[some].astype(np.int64)
+                out.append(("doc", at, None, size, None, None, some.astype(np.uint16).tobytes(), sums.tobytes(), known.tobytes()))
             words = list(number)
             seen = np.flatnonzero(c > 0)
             cls = tail_class([words[i] for i in seen], tails)
             tot, dis = np.bincount(cls, c[seen], tails), np.bincount(cls, minlength=tails)
-            out = [("total", None, float(tot[i]), int(dis[i]), None, i) for i in range(tails) if dis[i]]
+            out += [("total", None, float(tot[i]), int(dis[i]), None, i, None, None, None) for i in range(tails) if dis[i]]
             top = seen[np.argsort(-c[seen], kind="stable")[:head]]
-            out += [("head", None, None, int(c[i]), words[i], None) for i in top]
+            out += [("head", None, None, int(c[i]), words[i], None, None, None, None) for i in top]
             yield batch_of(out, kinds, names)
 
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, COUNTED)
 
 
+def per_document(found: DataFrame) -> DataFrame:
+    """(row, logs, known): the packed sums of all buckets, chunk by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, rows in by_bucket(batches):
+            size = rows[0][0]
+            logs, known = np.zeros(size), np.zeros(size, np.int64)
+            for _, docs, sums, n in rows:
+                at = np.frombuffer(docs, np.uint16)
+                logs[at] += np.frombuffer(sums, np.float64)
+                known[at] += np.frombuffer(n, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + size)), pa.array(logs), pa.array(known)], names=["row", "logs", "known"])
+
+    return (found.where("kind = 'doc'").select("row", "n", "docs", "sums", "known").repartition("row").sortWithinPartitions("row", "docs", "sums")
+            .mapInArrow(run, "row long, logs double, known long"))
+
+
 # --- network --------------------------------------------------------------------------------------------------------------
 
 class Vocabulary:
@@ -430,13 +448,13 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     # Rows are numbered once, in a written table, so that every pass speaks of the same rows.
     rows = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rows")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), -(-size // (8 * words_per_bucket)))
+    buckets = max(LEAST_BUCKETS, shuffle_partitions(spark), -(-size // (8 * words_per_bucket)))
     found = scratch.write(counted(postings(rows, buckets), buckets, head, tails), "counts")
     sums = {r["class"]: (r["a"], r["n"]) for r in found.where("kind = 'total'").groupBy("class").agg(
         F.sum("a").alias("a"), F.sum("n").alias("n")).collect()}
     top = [(bytes(r["word"]), r["n"]) for r in found.where("kind = 'head'").orderBy(F.desc("n"), "word").limit(head).collect()]
     n_all, v_all = int(sum(a for a, _ in sums.values())), sum(n for _, n in sums.values())
-    per_doc = found.where("kind = 'doc'").groupBy("row").agg(F.sum("a").alias("logs"), F.sum("n").alias("known"))
+    per_doc = per_document(found)
     if not top:  # nothing to learn from
         top = [(END, 0)]
     v = Vocabulary(top, tails)
