@@ -439,8 +439,8 @@ def scores(docs: DataFrame, p: dict, v: Vocabulary, hidden: int, tail_logs: np.n
     return docs.mapInArrow(run, "row long, tokens long, part double")
 
 
-def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", head: int = 1024, tails: int = 32, hidden: int = 16,
-          steps: int = 16, windows: int = 4, rounds: int = 3, rate: float = 0.1, batch_rows: int = 32, words_per_bucket: int = 8_000_000,
+def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", head: int = 512, tails: int = 16, hidden: int = 16,
+          steps: int = 16, windows: int = 4, rounds: int = 2, rate: float = 0.1, batch_rows: int = 96, words_per_bucket: int = 8_000_000,
           seed: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     with_columns_checked(docs, id_col, text_col)
