@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,10 @@ def pending_count(plan: DataFrame) -> DataFrame:
 class EntryStore:
     """The ``entries`` and ``files`` tables of an archive, kept up to date day by day.
 
-    ``entries`` is partitioned by (env, day); an update overwrites just the partitions it
-    rescans. ``files`` is one row per day file, written as numbered snapshots; the newest
-    snapshot decides which partitions are visible, so a vanished day needs no rewrite.
+    ``entries`` is partitioned by (scan, env, day); an update adds the days it rescans under a scan id of its own.
+    ``files`` is one row per day file with the scan that holds its entries, written as numbered snapshots. The newest
+    snapshot decides what is visible: a vanished day needs no rewrite, a day that lost its entries keeps none of them,
+    and an update that dies before its snapshot leaves nothing behind that a reader would see.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -67,7 +69,7 @@ class EntryStore:
         files = self.files()
         if found is None or files is None:
             return None
-        return found.join(files.select("env", "day"), ["env", "day"], "left_semi")
+        return found.join(files.select("env", "day", "scan"), ["env", "day", "scan"], "left_semi").drop("scan")
 
     def _snapshot(self, files: DataFrame) -> None:
         snaps = self._read("files")
@@ -80,7 +82,8 @@ class EntryStore:
         index = None if rebuild else self.files()
         if index is None:
             index = disk.limit(0).withColumn("n_entries", F.lit(0).cast("bigint")).withColumn(
-                "n_orphans", F.lit(0).cast("bigint"))
+                "n_orphans", F.lit(0).cast("bigint")).withColumn("scan", F.lit(""))
+        scan = f"s{uuid.uuid4().hex}"
         plan = index_plan(disk, index)
         if only is not None:
             plan = plan.join(only.select("env", "day"), ["env", "day"], "left_semi").withColumn(
@@ -94,14 +97,15 @@ class EntryStore:
             daily_log.scan_entries(content)
             .repartition("env", "day")
             .sortWithinPartitions("env", "day", "fdi")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("env", "day").parquet(f"{self.path}/entries")
+            .withColumn("scan", F.lit(scan))
+            .write.mode("append")
+            .partitionBy("scan", "env", "day").parquet(f"{self.path}/entries")
         )
         stats = daily_log.scan_stats(content).select("env", "day", "n_entries", "n_orphans")
         zero = F.lit(0).cast("bigint")
         scanned = disk.join(todo, ["env", "day"], "left_semi").join(stats, ["env", "day"], "left").withColumn(
-            "n_entries", F.coalesce("n_entries", zero)).withColumn("n_orphans", F.coalesce("n_orphans", zero))
-        cols = ["env", "day", "rel_path", "path", "size", "mtime", "n_entries", "n_orphans"]
+            "n_entries", F.coalesce("n_entries", zero)).withColumn("n_orphans", F.coalesce("n_orphans", zero)).withColumn("scan", F.lit(scan))
+        cols = ["env", "day", "rel_path", "path", "size", "mtime", "n_entries", "n_orphans", "scan"]
         gone = plan.where(F.col("action") != "keep").select("env", "day")
         kept = index.join(gone, ["env", "day"], "left_anti")
         self._snapshot(kept.select(*cols).unionByName(scanned.select(*cols)))

@@ -218,26 +218,46 @@ def hit_counts(lines: DataFrame, rules: list[tuple[str, str]], by: list[str]) ->
     return wide.select(*by, F.inline(names))
 
 
+def _placed(text: Column, pattern: str) -> Column:
+    """(s, e) of every match: what ``split`` leaves before a match tells where it begins."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.length(x["gap"])
+        e = s + F.length(x["hit"])
+        return F.struct(e.alias("at"), F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("spans"))
+
+    both = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("hit")))
+    return F.filter(F.aggregate(both, start, step, lambda acc: acc["spans"]), lambda x: x["e"] > x["s"])
+
+
 def apply_rules(lines: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Lines with each match replaced by its rule's placeholder, rules in order; ``hits`` per line.
+    """Lines with each match replaced by its rule's placeholder; ``hits`` per line.
 
-    A placeholder starts with a guard no rule's text holds, so a later rule never matches text
-    already taken. Counts are taken before each replacement.
+    The first rule wins: a match that touches text an earlier rule took is no match. All rules read the line as it
+    was, so none ever sees a placeholder; the line is put together once, from the spans.
     """
-    text, out = F.col("line"), lines
-    hits = []
-    for i, (name, pattern) in enumerate(rules):
-        # The replacement is staged: the next rule reads the column, not a nested copy.
-        safe = f"(?m)(?:{pattern})"
-        out = out.withColumn(f"_h{i}", F.regexp_count(text, F.lit(safe)))
-        mark = GUARD + chr(0xE000 + i) + GUARD
-        out = out.withColumn("line", F.regexp_replace(text, safe, mark))
-        hits.append((i, name))
-    line = F.col("line")
-    for i, name in hits:
-        line = F.replace(line, F.lit(GUARD + chr(0xE000 + i) + GUARD), F.lit(f"{GUARD}NOISE:{name}"))
-    total = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_h{i}").alias("n")) for i, n in hits])
-    return out.withColumn("noise_line", line).withColumn("hits", total).drop("line", *[f"_h{i}" for i, _n in hits])
+    out = lines.withColumn("_line", F.coalesce("line", F.lit(""))).withColumn(
+        "_t", F.expr("cast(array() as array<struct<s:int,e:int,rule:int>>)"))
+    line = F.col("_line")
+    for i, (_name, pattern) in enumerate(rules):
+        out = out.withColumn("_m", _placed(line, f"(?m)(?:{pattern})"))
+        free = F.filter("_m", lambda x: ~F.exists("_t", lambda y: (x["s"] < y["e"]) & (x["e"] > y["s"])))
+        out = out.withColumn("_t", F.concat("_t", F.transform(free, lambda x: F.struct(
+            x["s"].alias("s"), x["e"].alias("e"), F.lit(i).alias("rule"))))).drop("_m")
+    marks = F.array(*[F.lit(f"{GUARD}NOISE:{name}") for name, _p in rules])
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    told = F.aggregate(F.array_sort("_t"), start, lambda acc, x: F.struct(x["e"].alias("at"), F.concat(
+        acc["text"], F.substring(line, acc["at"] + 1, x["s"] - acc["at"]), F.get(marks, x["rule"])).alias("text")),
+        lambda acc: F.concat(acc["text"], F.substring(line, acc["at"] + 1, F.length(line))))
+    total = F.array(*[F.struct(F.lit(n).alias("rule"), _taken_by(i).alias("n")) for i, (n, _p) in enumerate(rules)])
+    return out.withColumn("noise_line", F.when(F.col("line").isNotNull(), told)).withColumn("hits", total).drop("line", "_line", "_t")
+
+
+def _taken_by(rule: int) -> Column:
+    return F.size(F.filter("_t", lambda x: x["rule"] == rule))
 
 
 def match_spans(pattern: str):
@@ -262,19 +282,26 @@ def noise_ranges(hits: DataFrame) -> DataFrame:
     return isl.groupBy("doc", "_g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_g")
 
 
-def rewrite_braces(keys: Column, depth: int = 4) -> Column:
-    """Text of target keys with each ``{{…}}`` value a leader and conditional braces dropped.
+INNERMOST = r"(?s)\{\{((?:(?!\{\{|\}\}).)*+)\}\}"
+#: Stands where braces were rewritten, so that the pair around them is known to hold others; no text holds it.
+REWRITTEN = "\ue0ff"
 
-    Inner pairs first, a fixed number of levels deep.
+
+def rewrite_braces(keys: Column) -> Column:
+    """Text of target keys with each ``{{…}}`` value a leader per key, and conditional braces dropped.
+
+    Inner pairs first, each match decided by itself, as many levels as there are; a pair around others is conditional.
     """
     from ..functions.text import is_conditional
 
+    def decided(inner: Column) -> Column:
+        leaders = F.regexp_replace(F.concat(F.lit("{{"), inner, F.lit("}}")), r"\S+", "....")
+        return F.concat(F.when(inner.contains(REWRITTEN) | is_conditional(inner), inner).otherwise(leaders), F.lit(REWRITTEN))
+
     def one(acc: Column, _level: Column) -> Column:
-        inner = F.regexp_extract(acc, r"\{\{((?:(?!\{\{|\}\}).)*)\}\}", 1)
-        found = acc.rlike(r"\{\{(?:(?!\{\{|\}\}).)*\}\}")
-        # A kept conditional text is not a value again for the level around it.
-        value = F.regexp_replace(acc, r"\{\{(?:(?!\{\{|\}\}).)*\}\}", "....")
-        kept = F.regexp_replace(acc, r"\{\{((?:(?!\{\{|\}\}).)*)\}\}", "$1")
-        return F.when(~found, acc).when(is_conditional(inner), kept).otherwise(value)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), keys, one)
+        found = F.transform(F.regexp_extract_all(acc, F.lit(INNERMOST), F.lit(1)), decided)
+        parts = F.zip_with(F.split(acc, INNERMOST, -1), found, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+        return F.when(acc.contains("{{"), F.array_join(parts, "")).otherwise(acc)
+
+    levels = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(keys, F.lit(r"\{\{"))))
+    return F.replace(F.aggregate(levels, keys, one), F.lit(REWRITTEN), F.lit(""))

@@ -31,16 +31,30 @@ MIN_TEXT, MAX_CELL = 4, 60
 SECTION_OPS = ("pagine", "sezione_assente", "sezione_in_piu")
 
 
-def leaves(payloads: DataFrame, column: str = "payload", depth: int = 8) -> DataFrame:
-    """Every scalar leaf: (…, path, name, value, kind, ord). Objects and arrays open level by level.
+def nesting(payload: Column) -> Column:
+    """How deep the objects and arrays of a JSON text are nested; brackets in strings do not count."""
+    marks = F.regexp_replace(F.regexp_replace(payload, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]", "")
+    now = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
 
-    ``depth`` bounds the nesting opened; ``ord`` follows the document order of the parsed value.
+    def step(acc: Column, mark: Column) -> Column:
+        level = acc["open"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        return F.struct(level.alias("open"), F.greatest(acc["most"], level).alias("most"))
+
+    return F.aggregate(F.split(marks, ""), now, step, lambda acc: acc["most"])
+
+
+def leaves(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Every scalar leaf: (…, path, name, value, kind, ord). Objects and arrays open level by level, all of them.
+
+    The number of levels is the deepest nesting that occurs, counted first; ``ord`` follows the document order of the
+    parsed value.
     """
     keep = [c for c in payloads.columns if c != column]
+    deepest = payloads.agg(F.max(nesting(F.col(column)))).first()[0] or 0
     node = F.struct(F.lit("").alias("path"), F.lit("").alias("name"), F.array().cast("array<int>").alias("ord"),
                     F.try_parse_json(column).alias("v"))
     level = payloads.select(*keep, node.alias("n")).where(F.col("n.v").isNotNull())
-    for _ in range(depth):
+    for _ in range(deepest):
         level = level.select(*keep, F.explode(_children(F.col("n"))).alias("n"))
     kind = F.regexp_extract(F.schema_of_variant("n.v"), r"^[A-Z]+", 0)
     out = level.select(*keep, "n.path", "n.name", F.try_variant_get("n.v", "$", "string").alias("value"), kind.alias("kind"), "n.ord")
@@ -164,7 +178,7 @@ def visible_leaves(found: DataFrame, documents: DataFrame, by: list[str]) -> Dat
     iso = F.concat_ws("/", *[F.regexp_extract("value", ISO_DATE, i) for i in (3, 2, 1)])
     shown = F.when(t.rlike(ISO_DATE), iso).otherwise(F.lower(t))
     phrase = F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).contains(F.concat(F.lit(" "), shown, F.lit(" ")))
-    seen = F.when(t.rlike(r"^[-+]?\d+(?:[.,]\d+)?$"), F.array_contains("numbers", number)).otherwise((F.length(t) >= 3) & (F.length(t) <= 200) & phrase)
+    seen = F.when(t.rlike(r"^[-+]?\d+(?:[.,]\d+)?$"), F.array_contains("numbers", number)).otherwise((F.length(t) >= 3) & phrase)
     return rows.where(F.coalesce(seen, F.lit(False))).drop("text", "numbers")
 
 
@@ -202,22 +216,26 @@ def perturbed(value: Column, seed: Column) -> Column:
     return F.when(iso, moved).when(it, moved_it).when(epoch, moved_ms).otherwise(F.array_join(F.transform(chars, one), ""))
 
 
-def leaf_subsets(found: DataFrame, by: list[str], levels: int = 4, calls: int | None = None) -> DataFrame:
-    """(…, path, level, part): all leaves, halves, quarters…, breadth first, at most ``calls`` groups."""
+def leaf_subsets(found: DataFrame, by: list[str], levels: int | None = None, calls: int | None = None) -> DataFrame:
+    """(…, path, level, part): all leaves, halves, quarters… down to single leaves, breadth first.
+
+    ``calls`` bounds the number of groups, ``levels`` that of the levels; without them everything is split.
+    """
+    if levels is None:
+        most = found.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+        levels = 1 + (int(most) - 1).bit_length()
     w = Window.partitionBy(*by).orderBy("ord")
     r = found.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     out = r.withColumn("_lo", F.lit(0)).withColumn("_hi", F.col("_n").cast("int")).withColumn("level", F.lit(0)).withColumn("part", F.lit(0))
     every = out
     for level in range(1, levels):
         mid = F.col("_lo") + F.floor((F.col("_hi") - F.col("_lo") + 1) / 2).cast("int")
-        left = F.col("_i") < mid
         split = out.where(F.col("_hi") - F.col("_lo") > 1).withColumn("_mid", mid)
         out = split.withColumn("part", F.col("part") * 2 + F.when(F.col("_i") < F.col("_mid"), 0).otherwise(1)).withColumn(
             "_nlo", F.when(F.col("_i") < F.col("_mid"), F.col("_lo")).otherwise(F.col("_mid"))).withColumn(
             "_hi", F.when(F.col("_i") < F.col("_mid"), F.col("_mid")).otherwise(F.col("_hi"))).withColumn("_lo", F.col("_nlo")).drop(
             "_nlo", "_mid").withColumn("level", F.lit(level))
         every = every.unionByName(out)
-        del left
     every = every.drop("_i", "_n", "_lo", "_hi")
     if calls is None:
         return every
@@ -240,14 +258,13 @@ def changed_words(diffs: DataFrame) -> DataFrame:
 def proven_words(values: DataFrame, words: DataFrame) -> DataFrame:
     """Places where a whole printed value stands in the words of its pair: (pair_id, value, start, n).
 
-    A value meets the words on its first token (equi join); the rest is checked on the run of
-    the next tokens, gathered by a frame no longer than the longest value.
+    Every token of a value meets the words on (pair, token); a word ``k`` places into the value votes for the start
+    ``k`` places before it, and a start with a vote of each token is a place of the value, however long it is.
     """
-    v = values.withColumn("tokens", F.split(squeeze(F.col("value")), " ")).withColumn("n", F.size("tokens"))
-    w = Window.partitionBy("pair_id").orderBy("pos").rowsBetween(0, 11)
-    runs = words.withColumn("run", F.collect_list("key").over(w))
-    j = runs.join(v.withColumn("key", F.get("tokens", F.lit(0))), ["pair_id", "key"])
-    return j.where(F.slice("run", F.lit(1), F.col("n")) == F.col("tokens")).select("pair_id", "value", F.col("pos").alias("start"), "n")
+    v = values.select("pair_id", "value").distinct().withColumn("tokens", F.split(squeeze(F.col("value")), " ")).withColumn("n", F.size("tokens"))
+    tokens = v.select("pair_id", "value", "n", F.posexplode("tokens").alias("k", "key"))
+    votes = tokens.join(words.select("pair_id", "pos", "key"), ["pair_id", "key"]).withColumn("start", F.col("pos") - F.col("k"))
+    return votes.groupBy("pair_id", "value", "start", "n").agg(F.count("*").alias("_votes")).where(F.col("_votes") == F.col("n")).drop("_votes")
 
 
 def carry_words(proven: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def find(entries: DataFrame, files: DataFrame, env: str, *, fdi: str | None = No
     """
     fdi = fdi.lower() if fdi else None
     key = key.upper() if key else None
-    hits = search(entries, env, fdi_prefix=fdi, template_key=key, limit=DEFAULT_LIMIT,
+    hits = search(entries, env, fdi_prefix=fdi, template_key=key, limit=None,
                   day_from=day_from or day_to - dt.timedelta(days=days), day_to=day_to)
     best = pick_best(hits, ["env"], prefer_most_documents=bool(fdi and not key))
     wanted = entries.sparkSession.createDataFrame([(env,)], "env string")

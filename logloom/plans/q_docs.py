@@ -144,6 +144,28 @@ def brace_rewrites(spark, sf):
     return table(spark, sf, "part").select("p_partkey", N.rewrite_braces(t).alias("t"))
 
 
+@query("brace_rewrites_mixed", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'se vale '||p_name||' poi .... fine' WHEN 1 THEN '...., poi se vale '||p_name||' fine'
+  WHEN 2 THEN 'Voce .... '||p_name||' fine' ELSE 'il .... .... .... e ....' END AS t FROM part""")
+def brace_rewrites_mixed(spark, sf):
+    """Values and conditional texts side by side, nested, and values of several keys."""
+    m, name = F.col("p_partkey") % 4, F.col("p_name")
+    c = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    t = (F.when(m == 0, c("{{se vale ", name, "}} poi {{NOME}} fine")).when(m == 1, c("{{NOME}}, poi {{se vale ", name, "}} fine"))
+         .when(m == 2, c("{{Voce {{E_PCV}} ", name, "}} fine")).otherwise(F.lit("il {{gg mese aaaa}} e {{X_QF/X_QV}}")))
+    return table(spark, sf, "part").select("p_partkey", N.rewrite_braces(t).alias("t"))
+
+
+@query("noise_first_rule_wins", """
+SELECT p_partkey, chr(8291)||'NOISE:prima'||substr(p_name, length(split_part(p_name, ' ', 1)) + 1, 1)||
+  array_to_string(list_transform(list_slice(string_split(p_name, ' '), 2, 99), lambda x: chr(8291)||'NOISE:tutto'), ' ') AS t,
+  CAST(len(string_split(p_name, ' ')) - 1 AS INTEGER) AS n FROM part""")
+def noise_first_rule_wins(spark, sf):
+    """A rule that matches everything leaves alone what an earlier rule took."""
+    out = N.apply_rules(table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("line")), [("prima", "^[^ ]+"), ("tutto", "[^ ]+")])
+    return out.select("p_partkey", F.col("noise_line").alias("t"), F.get("hits", F.lit(1))["n"].alias("n"))
+
+
 @query("italian_numbers", """
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(sum(round(l_extendedprice, 2)) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3""")
 def italian_numbers(spark, sf):

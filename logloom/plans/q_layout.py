@@ -32,15 +32,26 @@ UNION ALL SELECT event_id, 'dossier.ok', 'true' FROM events UNION ALL SELECT eve
 
 @query("payload_leaves", LEAVES)
 def payload_leaves(spark, sf):
-    f = P.leaves(_payloads(spark, sf).select("event_id", "payload"), depth=4)
+    f = P.leaves(_payloads(spark, sf).select("event_id", "payload"))
     return f.where(F.col("path") != "dossier.amount").select("event_id", "path", "value")
 
 
+@query("deep_payload_leaves", """
+SELECT event_id, 'a.a.a.a.a.a.a.a.a.a[0][0].b' AS path, 'D'||user_id AS value FROM events
+UNION ALL SELECT event_id, 'a.a.a.a.a.a.a.a.a.a[1]', event_type FROM events UNION ALL SELECT event_id, 'x', '{["}' FROM events""")
+def deep_payload_leaves(spark, sf):
+    """Payloads thirteen levels deep, with brackets inside strings."""
+    e = table(spark, sf, "events")
+    inner = F.concat(F.lit('[[{"b":"D'), F.col("user_id").cast("string"), F.lit('"}],"'), F.col("event_type"), F.lit('"]'))
+    body = F.concat(F.lit('{"x":"{[\\"}","a":' + '{"a":' * 9), inner, F.lit("}" * 10))
+    return P.leaves(e.select("event_id", body.alias("payload"))).select("event_id", "path", "value")
+
+
 @query("payload_index", """
 SELECT event_id, 'D'||user_id AS printed, 'dossier.id' AS path FROM events WHERE length('D'||user_id) >= 4 UNION ALL SELECT event_id, strftime(ts,'%d/%m/%Y'), 'dossier.day' FROM events
 UNION ALL SELECT event_id, event_type, 'items[1]' FROM events WHERE length(event_type) >= 4""")
 def payload_index(spark, sf):
-    f = P.leaves(_payloads(spark, sf).select("event_id", "payload"), depth=4)
+    f = P.leaves(_payloads(spark, sf).select("event_id", "payload"))
     return P.payload_index(f, ["event_id"]).where(F.col("printed").isNotNull()).select("event_id", "printed", "path")
 
 
@@ -93,7 +104,7 @@ def visible_leaves(spark, sf):
     p = _payloads(spark, sf)
     docs = p.select("event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("tipo "), "event_type", F.lit(" fine"))).otherwise("altro").alias("text"),
                     F.array().cast("array<decimal(38,18)>").alias("numbers"))
-    return P.visible_leaves(P.leaves(p.select("event_id", "payload"), depth=4), docs, ["event_id"]).select("event_id", "path")
+    return P.visible_leaves(P.leaves(p.select("event_id", "payload")), docs, ["event_id"]).select("event_id", "path")
 
 
 @query("perturbed_values", "SELECT p_partkey, length(p_name) AS n, true AS same_shape, true AS changed FROM part")
@@ -113,6 +124,18 @@ def leaf_subsets(spark, sf):
     return P.leaf_subsets(o, ["case"], levels=2).groupBy("case", "level", "part").agg(F.count("*").alias("n"))
 
 
+@query("leaf_subsets_to_single_leaves", """
+WITH RECURSIVE o AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1),
+t AS (SELECT c, 0 AS lo, n AS hi, 0 AS level, 0 AS part FROM o
+  UNION ALL SELECT c, CASE s WHEN 0 THEN lo ELSE lo + (hi - lo + 1) // 2 END, CASE s WHEN 0 THEN lo + (hi - lo + 1) // 2 ELSE hi END, level + 1, 2 * part + s
+  FROM t, (SELECT unnest([0, 1]) AS s) WHERE hi - lo > 1)
+SELECT c AS "case", CAST(level AS INTEGER) AS level, CAST(part AS INTEGER) AS part, CAST(hi - lo AS BIGINT) AS n FROM t""")
+def leaf_subsets_to_single_leaves(spark, sf):
+    """Every customer's orders, split until single."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("case"), F.col("o_orderkey").alias("ord"))
+    return P.leaf_subsets(o, ["case"]).groupBy("case", "level", "part").agg(F.count("*").alias("n"))
+
+
 @query("structure_changes", """
 SELECT o_custkey AS pair_id, bool_or(o_orderkey % 7 = 0) OR o_custkey % 5 = 0 AS structure_changed FROM orders GROUP BY o_custkey""")
 def structure_changes(spark, sf):
@@ -144,6 +167,17 @@ def _doc_words(spark, sf):
     return d.select(F.col("item_id").alias("pair_id"), F.posexplode(F.split("text", r"\s+")).alias("pos", "key")).where(F.col("key") != "")
 
 
+@query("proven_long_values", r"""
+WITH w AS (SELECT item_id AS pair_id, string_split_regex(text, '\s+') AS ws FROM benchmark),
+p AS (SELECT pair_id, ws, unnest(generate_series(1, len(ws) - 13)) AS i FROM w WHERE len(ws) > 16)
+SELECT pair_id, CAST(i - 1 AS INTEGER) AS start, CAST(14 AS INTEGER) AS n FROM p WHERE ws[i:i+13] = ws[3:16]""")
+def proven_long_values(spark, sf):
+    """Values of fourteen tokens."""
+    t = table(spark, sf, "benchmark").withColumn("ws", F.split("text", r"\s+")).where(F.size("ws") > 16)
+    v = t.select(F.col("item_id").alias("pair_id"), F.array_join(F.slice("ws", 3, 14), " ").alias("value"))
+    return P.proven_words(v, _doc_words(spark, sf)).select("pair_id", "start", "n")
+
+
 @query("proven_words", r"""
 WITH w AS (SELECT item_id AS pair_id, string_split_regex(text, '\s+') AS ws FROM benchmark),
 p AS (SELECT pair_id, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM w)

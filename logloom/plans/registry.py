@@ -24,15 +24,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A table read in fewer splits than there are cores is spread over them.
-
-    The count is the scan's own number of splits, so a table of any real size is read as it
-    is, with no exchange.
-    """
+    """A given table, as the reader splits it. One that is a single split is spread over the cores: it is small."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores // 2:
-        return df.repartition(cores)
+    if name in SPREAD and df.rdd.getNumPartitions() == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
