@@ -44,7 +44,7 @@ _EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgotten when there are ``most`` of them."""
 
-    most = 1_000_000
+    most = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -74,6 +74,18 @@ def shingle_sets(texts: list[bytes], hashes: WordHashes, words: int = WORDS) ->
     return out
 
 
+def slices(texts: list[bytes], rows: int = 1024, size: int = 6 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` texts and about ``size`` bytes: what a task has in hand at once."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start == rows or held + len(t) > size):
+            yield start, i
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def class_of(s: np.ndarray) -> int:
     """A 63-bit id of a set (the lowest bit is free), as a signed long."""
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())) & _EVEN)) if len(s) else 0
@@ -222,10 +234,12 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = shingle_sets(utf8(batch.column(1)), hashes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=["id", "n_shingles", "cls"])
+            texts = utf8(batch.column(1))
+            for a, b in slices(texts):
+                sets = shingle_sets(texts[a:b], hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=["id", "n_shingles", "cls"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, cls long")
 
@@ -240,8 +254,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Dat
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                sets = {class_of(s): s for s in shingle_sets(utf8(batch.column(0).slice(i, 4096)), hashes) if len(s) >= LEAST}
+            texts = utf8(batch.column(0))
+            for a, b in slices(texts):
+                sets = {class_of(s): s for s in shingle_sets(texts[a:b], hashes) if len(s) >= LEAST}
                 if not sets:
                     continue
                 ids = np.fromiter(sets, np.int64, len(sets))
@@ -326,13 +341,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
         for batch in batches:
             at = places(batch.column(0).to_numpy(), bits)
             hit = ((flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
-            rows = []
-            for s in shingle_sets(utf8(batch.filter(pa.array(hit)).column(1)), hashes) if hit.any() else []:
-                c = class_of(s)
-                if len(s) >= LEAST and c not in seen:
-                    seen.add(c)
-                    rows.append((c, s.tobytes()))
-            yield batch_of(rows, [pa.int64(), pa.binary()], ["cls", "shingles"])
+            texts = utf8(batch.filter(pa.array(hit)).column(1))
+            for a, b in slices(texts):
+                rows = []
+                for s in shingle_sets(texts[a:b], hashes):
+                    c = class_of(s)
+                    if len(s) >= LEAST and c not in seen:
+                        seen.add(c)
+                        rows.append((c, s.tobytes()))
+                yield batch_of(rows, [pa.int64(), pa.binary()], ["cls", "shingles"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
     return texts.mapInArrow(run, "cls long, shingles binary").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
@@ -343,12 +360,9 @@ def clusters(sets: DataFrame, buckets: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                ids = part.column(0).to_numpy()
-                own = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
-                if not own:
-                    continue
+            every, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in slices(raw):
+                ids, own = every[a:b], [np.frombuffer(x, np.uint64) for x in raw[a:b]]
                 size, band, _, value, _, parts = signatures(own)
                 key = np.concatenate([p[0] for p in parts])
                 whose = np.concatenate([p[1] for p in parts])
