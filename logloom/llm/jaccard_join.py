@@ -329,8 +329,8 @@ def bloom(hashed: DataFrame, count: int, most_bits: int = 1 << 26) -> np.ndarray
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(cls, shingles) of the wanted classes; ``wanted`` has (id, cls) with one id per class.
 
-    Texts are not shuffled: a Bloom filter of bounded size tells most other documents apart where they are read, and
-    the join on the class takes out the rest.
+    Texts are not shuffled: a Bloom filter of bounded size tells most other documents apart where they are read. The few
+    it lets through are sets like any other: they join clusters and are verified.
     """
     sc = docs.sparkSession.sparkContext
     filter_ = sc.broadcast(bloom(wanted.select(F.xxhash64("id").alias("h")), wanted.count()))
@@ -352,7 +352,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
                 yield batch_of(rows, [pa.int64(), pa.binary()], ["cls", "shingles"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "cls long, shingles binary").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return texts.mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
 
 
 def clusters(sets: DataFrame, buckets: int) -> DataFrame:
