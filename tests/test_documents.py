@@ -25,7 +25,7 @@ def test_assignment_is_optimal():
 def test_changed_ranges_of_long_texts():
     a, b = "parola " * 3000 + "dodici mesi", "parola " * 3000 + "sei mesi"
     left, right = diff.changed_ranges(a, b)
-    assert "".join(a[s["start"]:s["end"]] for s in left) in ("dodici", "dodc") and left[0]["start"] >= 21000
+    assert "".join(a[s["start"]:s["end"]] for s in left) == "dodci" and left[0]["start"] >= 21000
     assert right and right[-1]["end"] <= len(b) - len(" mesi")
 
 

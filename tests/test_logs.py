@@ -87,6 +87,17 @@ def test_store_updates_and_heals(spark, tmp_path):
     plan = {(r.day, r.action) for r in store.update(str(root)).collect()}
     assert plan == {(day, "scan"), (dt.date(2026, 8, 3), "remove")}
     assert store.entries().select("day").distinct().count() == 1 and store.files().count() == 1
+    # An update that dies before its snapshot shows nothing.
+    whole = store._snapshot
+    store._snapshot = lambda files: (_ for _ in ()).throw(RuntimeError("stopped"))
+    write(root, "coll", day, b"noise only, nothing complete\n")
+    with pytest.raises(RuntimeError):
+        store.update(str(root))
+    assert store.entries().count() == 2
+    # A day that lost its entries keeps none of them.
+    store._snapshot = whole
+    store.update(str(root))
+    assert store.entries().count() == 0 and store.files().first()["n_entries"] == 0
 
 
 @pytest.mark.parametrize("raw,want", [
