@@ -89,8 +89,12 @@ class EntryStore:
             plan = plan.join(only.select("env", "day"), ["env", "day"], "left_semi").withColumn(
                 "action", F.when(F.col("action") == "keep", "scan").otherwise(F.col("action")))
         todo = plan.where(F.col("action") == "scan").select("env", "day")
+        # Only the planned files are opened; a rebuild opens all of them anyway.
+        chosen = [] if rebuild else [
+            f"{root.rstrip('/')}/{r.rel_path}" for r in disk.join(todo, ["env", "day"], "left_semi").select("rel_path").collect()]
+        found = daily_log.read_files(self.spark, chosen or root)
         content = (
-            daily_log.with_day_columns(daily_log.read_files(self.spark, root))
+            daily_log.with_day_columns(found if rebuild or chosen else found.limit(0))
             .join(todo, ["env", "day"], "left_semi").select("env", "day", "path", "content")
         )
         (

@@ -30,8 +30,8 @@ ENTRY_COLUMNS = (
 )
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under ``root`` (path, modificationTime, length, content), 0-byte files included."""
+def read_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Every file under ``root``, or of a list (path, modificationTime, length, content), 0-byte files included."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return _with_empty(files.withColumn("path", _plain_path(F.col("path"))), files)
 
