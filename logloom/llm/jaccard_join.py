@@ -407,7 +407,7 @@ def linked(own: list[np.ndarray]) -> np.ndarray:
     return forest(a, b, n)
 
 
-def verified(sets: DataFrame, cluster_of: DataFrame, block: int = 256) -> DataFrame:
+def verified(sets: DataFrame, cluster_of: DataFrame, block: int = 512) -> DataFrame:
     """Edges (a, b) between linked classes: a spanning forest per block pair of a cluster; ``cluster_of`` has (id, component)."""
     from pyspark.sql import Window
 
