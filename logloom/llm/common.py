@@ -14,14 +14,19 @@ from ..session import ensure_checkpoint_dir
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+BATCH_ROWS = 1000
+
+
 class Scratch:
     """Parquet tables of one job under the folder the cluster names in ``spark.checkpoint.dir``.
 
-    A table written here ends the lineage, is seen by every executor and survives the loss of any of them.
+    A table written here ends the lineage, is seen by every executor and survives the loss of any of them. The session
+    hands texts to Python ``BATCH_ROWS`` rows at a time from then on: documents can be long, and executors small.
     """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.root = f"{ensure_checkpoint_dir(spark)}/{job}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 

@@ -74,7 +74,7 @@ def shingle_sets(texts: list[bytes], hashes: WordHashes, words: int = WORDS) ->
     return out
 
 
-def slices(texts: list[bytes], rows: int = 1024, size: int = 6 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], rows: int = 1024, size: int = 3 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``rows`` texts and about ``size`` bytes: what a task has in hand at once."""
     start = held = 0
     for i, t in enumerate(texts):
