@@ -43,10 +43,11 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "secrets", reach: i
     t = F.col(text)
     # A maximal run of hexadecimal digits shorter than MIN_HEX fails anyway: asking for MIN_HEX finds the same runs.
     used = PATTERNS | {"hex": r"(?<![0-9a-f])[0-9a-f]{%d,}+" % MIN_HEX}
+    # The start of the pattern itself, so that a hint holds wherever its pattern matches.
     hints = {
-        "assign": t.rlike(r"""(?i:passw|secret|token|api_?key)[a-z_]*["']?\x20*[:=]"""), "access": F.contains(t, F.lit("AKIA")),
+        "assign": t.rlike(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""), "access": F.contains(t, F.lit("AKIA")),
         "hex": t.rlike("[0-9a-f]{%d}" % MIN_HEX), "secret": t.rlike("[A-Za-z0-9+/]{40}"),
-        "login": t.rlike(r"""(?i:user|login|client_id|account)[a-z]*["']?\x20*[:=]"""), "endpoint": F.contains(t, F.lit("://")),
+        "login": t.rlike(r"""(?i:user(?:name)?|login|client_id|account)["']?\x20*[:=]"""), "endpoint": F.contains(t, F.lit("://")),
     }
     df = df.withColumns({f"_{out}_m_{k}": matches(t, used[k], hints[k]) for k in KINDS})
     df = df.withColumns({f"_{out}_s_{k}": located(t, used[k], F.col(f"_{out}_m_{k}")) for k in KINDS}
