@@ -6,9 +6,9 @@
 * **Classes.** Head words stand in classes of equal size by frequency; any other word falls into one of ``tails`` classes by its
   last letters. p(word | history) = p(class | state) * p(word | class, state): a softmax over the words of a head class,
   the smoothed unigram distribution of a tail class. Each class sums to one, so the model does.
-* **Network.** A gated recurrent unit reads the token before. It is fitted by truncated backpropagation in numpy: each training
-  document gives ``windows`` of ``steps`` tokens, taken at a hash of its id, all documents alike; the state carries over from
-  window to window without gradient. Rounds average the weights of all tasks, weighted by tokens, on the executors.
+* **Network.** A gated recurrent unit reads the token before. It is fitted by truncated backpropagation in numpy on every token of
+  every training document, in windows of ``steps`` tokens; the state carries over from window to window without gradient.
+  Rounds average the weights of all tasks, weighted by tokens, on the executors.
 * **Scores.** A document is read whole, the state carried on from its first token to its end.
 
 Training documents are those whose crc32 of the id (as text) modulo 10 is not 0. A-Z are lower-cased; tokens are words
@@ -18,8 +18,9 @@ rows of their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -270,6 +271,7 @@ def train_windows(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.nd
         dh_out[at_ok] = dv
     dh_out = dh_out.reshape(rows, steps, k)
     dh = np.zeros((rows, k), np.float32)
+    dgs = np.zeros((rows, steps, 3 * k), p["E"].dtype)
     for t in range(steps - 1, -1, -1):
         z, r, c, un = gates[t]
         prev = states[t]
@@ -279,10 +281,15 @@ def train_windows(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.nd
         dr = dc * un * r * (1 - r)
         dg = np.concatenate([dz, dr, dc], 1)
         du = np.concatenate([dz, dr, dc * r], 1)
-        np.add.at(g["E"], x[:, t], dg)
-        g["b"] += dg.sum(0)
+        dgs[:, t] = dg
         g["U"] += prev.T @ du
         dh = dh * z + du @ p["U"].T
+    dgs = dgs.reshape(-1, 3 * k)
+    order = np.argsort(x.ravel(), kind="stable")
+    symbols = x.ravel()[order]
+    cuts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+    g["E"][symbols[cuts]] += np.add.reduceat(dgs[order], cuts)
+    g["b"] += dgs.sum(0)
     n = max(1, int(ok.sum()))
     for name, grad in g.items():
         grad /= n
@@ -292,61 +299,75 @@ def train_windows(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.nd
     return states[-1]
 
 
-def windows_of(docs: DataFrame, v: Vocabulary, steps: int, windows: int) -> DataFrame:
-    """(x, y): each training document's ``windows`` consecutive windows from a place its id's hash chooses; -1 is no target."""
-    span = steps * windows
-    start = v.heads + v.tails
+def training_codes(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(codes): all symbols of each training document, packed as ``code_type``."""
+    kind = code_type(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(v)
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            keep = in_training(ids)
-            out = []
-            for i, t, k in zip(ids, utf8(batch.column(2)), keep):
-                if not k:
-                    continue
-                w = tokens_of(t)
-                places = -(-len(w) // span)
-                a = zlib.crc32(b"w" + str(i).encode()) % places * span
-                y = np.full(span, -1, np.int32)
-                x = np.full(span, start, np.int32)
-                part = np.fromiter(map(codes.__getitem__, w[max(0, a - 1):a + span]), np.int32)
-                before, own = (part[:1], part[1:]) if a else (np.array([start], np.int32), part)
-                y[:len(own)] = own
-                x[0] = before[0]
-                x[1:len(own)] = own[:-1]
-                out.append((x.tobytes(), y.tobytes()))
-            yield batch_of(out, [pa.binary(), pa.binary()], ["x", "y"])
-
-    return docs.mapInArrow(run, "x binary, y binary")
-
-
-def fit(windows: DataFrame, v: Vocabulary, scratch: Scratch, hidden: int, steps: int, n_windows: int, rounds: int, rate: float, batch_rows: int,
+            keep = in_training(batch.column(1).to_pylist())
+            out = [(v.encode(tokens_of(t), codes).astype(kind).tobytes(),) for t, k in zip(utf8(batch.column(2)), keep) if k]
+            yield batch_of(out, [pa.binary()], ["codes"])
+
+    return docs.mapInArrow(run, "codes binary")
+
+
+def code_type(v: Vocabulary) -> type:
+    return np.uint16 if v.heads + v.tails < 1 << 16 else np.int32
+
+
+def training_steps(docs: Iterable[np.ndarray], rows: int, steps: int, start: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(keep, x, y) per training step: the next ``steps`` symbols of up to ``rows`` documents; -1 is no target.
+
+    A document takes part from its first symbol to its last, window after window; where it has ended, the next one takes its
+    place. ``keep`` names the rows of the step before that go on, in order; new documents follow them.
+    """
+    docs = iter(docs)
+    now: list[list] = []  # document, place
+    while True:
+        keep = [i for i, (d, at) in enumerate(now) if at < len(d)]
+        now = [now[i] for i in keep] + [[d, 0] for d in itertools.islice(docs, rows - len(keep))]
+        if not now:
+            return
+        x = np.full((len(now), steps), start, np.int32)
+        y = np.full((len(now), steps), -1, np.int32)
+        for i, one in enumerate(now):
+            d, at = one
+            own = d[at:at + steps]
+            y[i, :len(own)] = own
+            if at:
+                x[i, :len(own)] = d[at - 1:at - 1 + len(own)]
+            else:
+                x[i, 1:len(own)] = own[:-1]
+            one[1] = at + steps
+        yield keep, x, y
+
+
+def fit(texts: DataFrame, v: Vocabulary, scratch: Scratch, hidden: int, steps: int, rounds: int, rate: float, batch_rows: int,
         seed: int) -> dict[str, np.ndarray]:
     """Weights averaged over all tasks, ``rounds`` times over; a task starts each round from the average."""
     p = fresh(v, hidden, seed)
     shapes = {n: a.shape for n, a in p.items()}
     size = sum(a.size for a in p.values())
     chunk = 4096
+    kind = code_type(v)
 
     def one_round(start: dict, rate: float) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {n: a.copy() for n, a in start.items()}
             memory = {n: np.full(a.shape, 1e-4, np.float32) for n, a in own.items()}
-            seen = 0
-            for batch in batches:
-                for i in range(0, batch.num_rows, batch_rows):
-                    x, y = (np.frombuffer(b"".join(c.slice(i, batch_rows).to_pylist()), np.int32).reshape(-1, n_windows * steps) for c in batch.columns)
-                    h = np.zeros((len(x), hidden), np.float32)
-                    for w in range(n_windows):
-                        s = slice(w * steps, (w + 1) * steps)
-                        alive = (y[:, s] >= 0).any(1)
-                        if not alive.any():
-                            break
-                        x, y, h = x[alive], y[alive], h[alive]
-                        h = train_windows(own, v, x[:, s], y[:, s], h, rate, memory)
-                        seen += int((y[:, s] >= 0).sum())
+            seen, h = 0, np.zeros((0, hidden), np.float32)
+
+            def documents() -> Iterator[np.ndarray]:
+                for batch in batches:  # the longest first, so that few steps have few rows
+                    for d in sorted(batch.column(0).to_pylist(), key=len, reverse=True):
+                        yield np.frombuffer(d, kind)
+
+            for keep, x, y in training_steps(documents(), batch_rows, steps, v.heads + v.tails):
+                h = np.concatenate([h[keep], np.zeros((len(x) - len(keep), hidden), np.float32)])
+                h = train_windows(own, v, x, y, h, rate, memory)
+                seen += int((y >= 0).sum())
             if seen:
                 flat = np.concatenate([own[n].ravel() for n in shapes]).astype(np.float64) * seen
                 rows = [(i // chunk, flat[i:i + chunk].tobytes(), seen) for i in range(0, size, chunk)]
@@ -357,7 +378,7 @@ def fit(windows: DataFrame, v: Vocabulary, scratch: Scratch, hidden: int, steps:
                 total = np.sum([np.frombuffer(w, np.float64) for w, _ in rows], 0) / sum(s for _, s in rows)
                 yield batch_of([(part, total.astype(np.float32).tobytes())], [pa.int64(), pa.binary()], ["part", "weights"])
 
-        return (windows.mapInArrow(run, "part long, weights binary, seen long").repartition("part").sortWithinPartitions("part", "seen", "weights")
+        return (texts.mapInArrow(run, "part long, weights binary, seen long").repartition("part").sortWithinPartitions("part", "seen", "weights")
                 .mapInArrow(average, "part long, weights binary"))
 
     for i in range(rounds):
@@ -440,7 +461,7 @@ def scores(docs: DataFrame, p: dict, v: Vocabulary, hidden: int, tail_logs: np.n
 
 
 def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", head: int = 512, tails: int = 16, hidden: int = 16,
-          steps: int = 16, windows: int = 4, rounds: int = 2, rate: float = 0.1, batch_rows: int = 96, words_per_bucket: int = 8_000_000,
+          steps: int = 16, rounds: int = 2, rate: float = 0.1, batch_rows: int = 96, words_per_bucket: int = 8_000_000,
           seed: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     with_columns_checked(docs, id_col, text_col)
@@ -467,8 +488,8 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
             tail_v[cls] -= 1
     tail_logs = np.log10(tail_n + SMOOTH * (tail_v + 1))
     base = np.log10(n_all + SMOOTH * (v_all + 1))
-    wins = scratch.write(windows_of(rows, v, steps, windows), "windows")
-    p = fit(wins, v, scratch, hidden, steps, windows, rounds, rate, batch_rows, seed)
+    texts = scratch.write(training_codes(rows, v), "codes")
+    p = fit(texts, v, scratch, hidden, steps, rounds, rate, batch_rows, seed)
     scored = scratch.write(scores(rows, p, v, hidden, tail_logs), "scores")
     crc = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")) % 10
     return scored.join(per_doc, "row").join(rows.select("row", "id"), "row").select(

@@ -228,6 +228,23 @@ def test_network_gradient_and_normalisation():
         assert np.sqrt(memory[name].flat[flat]) == pytest.approx(min(1, abs(slope)), rel=1e-3, abs=1e-7)
 
 
+def test_training_reads_every_token_of_every_document():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 9, n).astype(np.uint16) for n in (1, 500, 3, 16, 17, 32, 1, 7, 130)]
+    read, before = [], []
+    for keep, x, y in recurrent_lm.training_steps(docs, 4, 16, 9):
+        before = [before[i] for i in keep]
+        while len(before) < len(x):
+            before.append(len(read))
+            read.append([])
+        assert len(x) <= 4
+        for doc, a, b in zip(before, x, y):
+            n = int((b >= 0).sum())
+            assert a[0] == (read[doc][-1] if read[doc] else 9) and a[1:n].tolist() == b[:n - 1].tolist() and (b[n:] == -1).all()
+            read[doc] += b[:n].tolist()
+    assert read == [d.tolist() for d in docs]
+
+
 def test_state_is_carried_over_whole_documents():
     v = recurrent_lm.Vocabulary([(b"w%d" % i, 100 - i) for i in range(6)], tails=3, per_class=4)
     p = recurrent_lm.fresh(v, 5, 1)
