@@ -3,10 +3,12 @@
 A page is cut at block-level tags. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, reader comments,
 scripts and styles are out by their markup. The others are classified in two passes:
 
-1. By themselves: blocks of an article (or main) element are good, unless they are mostly links; elsewhere, a high link density
-   is bad, short blocks stay open, and the density of stop words with the length decides between good, nearly good and bad.
+1. By themselves: a high link density is bad, short blocks stay open, and the density of stop words with the length decides
+   between good, nearly good and bad. An article (or main) element is evidence for the blocks in it and raises them by one step
+   of bad, open, nearly good and good.
 2. By their neighbours: open and nearly good blocks take the label of the nearest decided blocks before and after; where
-   these differ, a nearly good block, or a heading before a good block, is good, and another is bad.
+   these differ, a nearly good block, or a heading before a good block, is good, and another is bad. Where a page has an
+   article, a nearly good block outside it needs a good neighbour and no bad one.
 
 The page's good blocks are joined by line ends, in page order. Nothing is cut or capped. Null or empty html gives an empty
 text; unclosed tags and cut-off pages are read as far as they go; other columns are ignored; repeated rows get equal
@@ -158,11 +160,9 @@ def cut(page: str) -> list[Block]:
     return blocks
 
 
-def first_pass(b: Block) -> str:
-    """good, bad, near or open, from the block alone."""
+def by_density(b: Block) -> str:
+    """good, bad, near or open, from the text of the block alone."""
     density = b.links / max(1, len(b.text))
-    if b.article:
-        return "good" if density <= MAX_LINKS else "open"
     if density > MAX_LINKS:
         return "bad"
     words = b.text.split()
@@ -174,6 +174,12 @@ def first_pass(b: Block) -> str:
     return "near" if stops >= STOP_LOW else "bad"
 
 
+def first_pass(b: Block) -> str:
+    """good, bad, near or open, from the block and the article it may stand in."""
+    label = by_density(b)
+    return {"bad": "open", "open": "near"}.get(label, "good") if b.article else label
+
+
 def classify(blocks: list[Block]) -> list[Block]:
     """Label all blocks; afterwards each is good or bad."""
     for b in blocks:
@@ -196,17 +202,13 @@ def classify(blocks: list[Block]) -> list[Block]:
         if x == y and x:
             b.label = x
         elif b.label == "near":
-            b.label = "bad" if has_article and not b.article else "good"
+            b.label = "bad" if has_article and not b.article and ("bad" in (x, y) or "good" not in (x, y)) else "good"
         elif b.heading:
             b.label = "good" if y == "good" else "bad"
         elif b.article:
             b.label = "good" if "good" in (x, y) or not b.links else "bad"
         else:
             b.label = "bad"
-    if has_article:  # what stands outside the article is no part of it, whatever its words
-        for b in blocks:
-            if not b.article:
-                b.label = "bad"
     return blocks
 
 

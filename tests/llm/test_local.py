@@ -150,6 +150,17 @@ def test_blocks_without_an_article():
     assert html_main.main_text(page).split("\n") == ["News of the day", (long * 3).strip(), "Short one.", (long * 2).strip()]
 
 
+def test_an_article_does_not_replace_the_rules():
+    text = "The people of the town went to the market and it was as good as they had said it would be for all of them that day. "
+    salad = "camera lens tripod battery charger memory card strap filter case cable adapter mount flash printer paper ink toner "
+    links = "<p><a href=x>more links stand here than anything else on this line</a></p>"
+    teasers = f"<article><h2>Teaser</h2><p>Short one.</p></article><div><p>{text * 3}</p><p>{text * 2}</p></div>"
+    assert html_main.main_text(teasers).split("\n") == ["Teaser", "Short one.", (text * 3).strip(), (text * 2).strip()]
+    page = lambda words: f"{links}<article><p>{words * 2}</p></article>{links}"
+    assert html_main.main_text(page(text)) == (text * 2).strip() and html_main.main_text(page(salad)) == ""
+    assert html_main.main_text(f"<article><p>{text * 2}</p></article>{links}<p>{text}</p>{links}") == (text * 2).strip()
+
+
 def test_signatures_find_every_link():
     """Whatever the edit, linked sets share a signature or a one-deletion signature, and pass the counting filter."""
     rng = np.random.default_rng(5)
