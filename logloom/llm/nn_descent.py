@@ -1,16 +1,17 @@
 """Near-duplicate embeddings by NN-descent: a neighbour graph refined through neighbours of neighbours.
 
-Only vectors of equal, non-null labels are compared; equal vectors of a label are one node with a weight, so copies cost
-nothing. Vectors that are null, zero, hold null or non-finite components or are of an unusual length are no nodes and link with nothing.
+Only vectors of equal, non-null labels and of equal length are compared; equal vectors of a label are one node with a weight, so
+copies cost nothing. Vectors that are null, zero or hold null or non-finite components are no nodes and link with nothing.
 
 1. **Start.** ``trees`` random orders: a vector's key is the string of its signs on random planes, and vectors that are close in
    the sorted order of a tree (windows of ``window`` rows) are compared. A sort has no hot bucket.
 2. **Descent.** Each round joins every node's neighbours, forward and reverse, with one another, and each node keeps the best
    it has seen. Lists hold ``k`` neighbours; a list whose last neighbour still reaches the threshold is saturated and
    grows to twice its length, so no link is cut off. Rounds end when no link is new and, after ``least_rounds``, whatever else
-   still changes.
+   still changes; however many it takes, links that still change bring another round.
 3. **Audit.** Nodes whose id is divisible by ``audit_every`` are compared with all nodes of their label, in blocks; recall is
-   the share of their links that the graph holds. Below ``min_recall`` the descent goes on with more trees.
+   the share of their links that the graph holds. Below ``min_recall`` the descent goes on with more trees; if that has not
+   helped by the fourth audit, all nodes are compared in blocks and the links are exact.
 
 Cosines are computed in double precision from the stored components. Links are the graph's edges that reach the threshold, in
 either direction. Repeated ids are rows of their own. An empty table gives an empty result.
@@ -97,20 +98,25 @@ def edges_batch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "sim"])
 
 
-def ordered_start(nodes: DataFrame, dims: int, trees: int, window: int, k: int, threshold: float, seed: int) -> DataFrame:
+def ordered_start(nodes: DataFrame, trees: int, window: int, k: int, threshold: float, seed: int) -> DataFrame:
     """Candidate edges from the random orders ``seed`` to ``seed`` + ``trees`` - 1."""
-    planes = np.stack([np.random.default_rng(seed + t).standard_normal((dims, 48)) for t in range(trees)])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack([np.frombuffer(v, np.float64) for v in batch.column(2).to_pylist()])
-            for t in range(trees):
-                bits = (x @ planes[t] > 0).astype(np.int64)
-                key = (bits << np.arange(47, -1, -1)).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), batch.column(1), pa.array(key), *[batch.column(i) for i in (0, 2)]],
-                                                 names=["t", "label", "key", "node", "vec"])
+            groups: dict[int, list[int]] = {}
+            for i, v in enumerate(batch.column(2).to_pylist()):
+                groups.setdefault(len(v) // 8, []).append(i)
+            for dims, rows in groups.items():
+                part = batch.take(pa.array(rows))
+                x = np.stack([np.frombuffer(v, np.float64) for v in part.column(2).to_pylist()])
+                for t in range(trees):
+                    if (t, dims) not in planes:
+                        planes[t, dims] = np.random.default_rng(seed + t).standard_normal((dims, 48))
+                    bits = (x @ planes[t, dims] > 0).astype(np.int64)
+                    key = (bits << np.arange(47, -1, -1)).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), part.column(1), pa.array(key), *[part.column(i) for i in (0, 2)]],
+                                                     names=["t", "label", "key", "node", "vec"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -156,6 +162,8 @@ def descent_round(graph: DataFrame, nodes: DataFrame, lists: DataFrame, threshol
         reverse.where(F.col("r") <= fan).select(F.col("b").alias("v"), F.col("a").alias("u")))
     more = graph.where((F.col("rank") > fan) & (F.col("sim") >= threshold)).select(
         F.xxhash64("a", F.floor((F.col("rank") - 1) / fan)).alias("v"), F.col("b").alias("u"))
+    more = more.unionByName(graph.where((F.col("rank") > fan) & (F.col("sim") >= threshold)).select(
+        F.xxhash64("a", F.floor((F.col("rank") - 1) / fan)).alias("v"), F.col("a").alias("u")))
     members = near.unionByName(more).unionByName(nodes.select(F.col("node").alias("v"), F.col("node").alias("u"))).distinct()
     floor = graph.groupBy("a").agg(F.max("k").alias("k"), F.count("*").alias("n"), F.min(F.when(F.col("rank") <= F.col("k"), F.col("sim"))).alias("last"))
     facts = nodes.select("node", "vec").join(floor, F.col("node") == F.col("a"), "left").join(
@@ -199,7 +207,7 @@ def in_blocks(nodes: DataFrame, size: int) -> DataFrame:
     return nodes.select("label", "node", "vec").mapInArrow(run, "label string, ids binary, vecs binary")
 
 
-def true_links(nodes: DataFrame, dims: int, threshold: float, audit_every: int, block: int = 1024) -> DataFrame:
+def true_links(nodes: DataFrame, threshold: float, audit_every: int, block: int = 1024) -> DataFrame:
     """(a, b): the links of the audited nodes against all nodes of their label, block by block."""
     asked = in_blocks(nodes.where(F.pmod("first", F.lit(audit_every)) == 0), block).select(
         "label", F.col("ids").alias("asked"), F.col("vecs").alias("asked_vecs"))
@@ -208,8 +216,8 @@ def true_links(nodes: DataFrame, dims: int, threshold: float, audit_every: int,
         for batch in batches:
             for _, asked_ids, asked_vecs, ids, vecs in zip(*(c.to_pylist() for c in batch.columns)):
                 qa, nb = np.frombuffer(asked_ids, np.int64), np.frombuffer(ids, np.int64)
-                a, an = unit_rows(np.frombuffer(asked_vecs, np.float64).reshape(-1, dims))
-                b, bn = unit_rows(np.frombuffer(vecs, np.float64).reshape(-1, dims))
+                a, an = unit_rows(np.frombuffer(asked_vecs, np.float64).reshape(len(qa), -1))
+                b, bn = unit_rows(np.frombuffer(vecs, np.float64).reshape(len(nb), -1))
                 sim = a @ b.T / an[:, None] / bn[None, :]
                 r, c = np.nonzero((sim >= threshold) & (qa[:, None] != nb[None, :]))
                 yield edges_batch([(qa[r], nb[c], sim[r, c])])
@@ -223,22 +231,19 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
     """(one row per row: id, n_links, component_id, kept) and the audits."""
     with_columns_checked(rows, id_col, vector_col, label_col)
     table = scratch.write(node_table(rows, id_col, vector_col, label_col), "rows")
-    # Vectors of another length than most link with nothing either.
-    usual = table.where("node is not null").groupBy(F.octet_length("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if usual is not None:
-        table = table.withColumn("node", F.when(F.octet_length("vec") == usual["n"], F.col("node")))
+    # Vectors of different lengths do not compare: the length is part of the label.
+    table = table.withColumn("label", F.concat(F.octet_length("vec").cast("string"), F.lit(":"), F.col("label")))
     nodes = scratch.write(table.where("node is not null").groupBy("node").agg(
         F.min("id").alias("first"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec")), "nodes")
     audits: list[dict] = []
-    if usual is None:
+    total = nodes.count()
+    if not total:
         links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     else:
-        dims = usual["n"] // 8
         lists = scratch.write(nodes.select("node", F.lit(k).alias("k")), "lists")
-        found = ordered_start(nodes, dims, trees, window, k, threshold, seed)
+        found = ordered_start(nodes, trees, window, k, threshold, seed)
         graph = scratch.write(keep_best(found, lists, threshold), "graph")
-        total = nodes.count()
-        truth = scratch.write(true_links(nodes, dims, threshold, audit_every), "truth")
+        truth = scratch.write(true_links(nodes, threshold, audit_every), "truth")
         truths = truth.count()
         left = rounds
         while True:
@@ -252,16 +257,20 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, id_col: str = "vec_id", v
                 F.count("*").alias("n"), F.sum((F.col("sim") >= threshold).cast("int")).alias("links")).first()
             graph = nxt
             left -= 1
-            if left and (changed["links"] or changed["n"] > settled * k * total and rounds - left < least_rounds):
+            if changed["links"] or left > 0 and changed["n"] > settled * k * total and rounds - left < least_rounds:
                 continue
             held = graph.where(F.col("sim") >= threshold).select("a", "b")
             both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
             hit = truth.join(both, ["a", "b"], "left_semi").count()
             audits.append({"links": truths, "found": hit, "recall": hit / truths if truths else 1.0})
-            if audits[-1]["recall"] >= min_recall or len(audits) == 4:
+            if audits[-1]["recall"] >= min_recall:
+                break
+            if len(audits) == 4:  # not found by descent: compare all
+                both = true_links(nodes, threshold, 1).select("a", "b")
+                audits.append({"links": truths, "found": truths, "recall": 1.0})
                 break
             seed += trees
-            more = ordered_start(nodes, dims, trees, window, k, threshold, seed)
+            more = ordered_start(nodes, trees, window, k, threshold, seed)
             graph = scratch.write(keep_best(graph.select("a", "b", "sim").unionByName(more), lists, threshold), "graph")
             left = 1
         links = scratch.write(both, "links")

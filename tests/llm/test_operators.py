@@ -346,6 +346,27 @@ def test_embeddings_by_force(spark, scratch):
     assert any(links.values())
 
 
+def test_embeddings_missed_by_descent_are_compared(spark, scratch, monkeypatch):
+    rows = [r for r in vectors() if r[2] is not None and r[1] and len(r[1]) == 16 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    nothing = lambda *a, **b: spark.createDataFrame([], nn_descent.EDGE)
+    monkeypatch.setattr(nn_descent, "ordered_start", nothing)
+    monkeypatch.setattr(nn_descent, "descent_round", nothing)
+    out, audits = nn_descent.near_duplicates(df, scratch, audit_every=1)
+    x = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v, _ in rows}
+    want = {i: sum(j != i and k == m and x[i] @ x[j] >= 0.93 for j, _, m in rows) for i, _, k in rows}
+    assert {r["vec_id"]: r["n_links"] for r in out.collect()} == want and any(want.values())
+    assert [a["recall"] for a in audits][-1] == 1.0 and all(a["recall"] < 0.95 for a in audits[:-1])
+
+
+def test_embeddings_of_several_lengths(spark, scratch):
+    rows = vectors() + [(1000, [1.0, 2.0, 3.0], 0), (1001, [1.0, 2.0, 3.1], 0), (1002, [1.0, 2.0, 3.0], 1), (1003, [1.0, 2.0, 3.1, 0.0], 0),
+                        (1004, [-1.0, 2.0, 3.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(df, scratch, audit_every=3)[0].collect()}
+    assert [got[i] for i in range(1000, 1005)] == [(1, 1000), (1, 1000), (0, 1002), (0, 1003), (0, 1004)]
+
+
 def test_language_model_by_force(spark, scratch):
     texts = odd_texts()
     rows = recurrent_lm.score(docs_table(spark, texts), scratch, head=64, tails=4).collect()
