@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, jaccard_join, mixing, nn_descent, packing, pii, quality, recurrent_lm, secrets, warc
+from . import html_main, jaccard_join, mixing, nn_descent, packing, pieces, pii, quality, recurrent_lm, secrets, warc
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(_table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+@_query("op13_sentencepiece")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text that comes back from them."""
+    Scratch(spark, "op13")  # texts go to Python in small batches
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return pieces.digest(pieces.decode(encoded))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
