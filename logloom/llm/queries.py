@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_main, jaccard_join, mixing, nn_descent, packing, pieces, pii, quality, recurrent_lm, secrets, warc
+from . import (hard_negatives, html_main, jaccard_join, mixing, nn_descent, packing, pieces, pii, quality, recurrent_lm,
+               secrets, warc)
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +126,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(_table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+@_query("op12_hard_negatives", """
+    WITH e AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+        CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (
+      SELECT * FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT p.anchor_id, p.other AS positive_id,
+      CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+      n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+      AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+    QUALIFY rank <= 10""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, some labels moved on by one."""
+    e = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(e.withColumn("label", moved).withColumn("anchor", F.col("vec_id") % 100 == 0), Scratch(spark, "op12"))
+
+
 @_query("op13_sentencepiece")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and the text that comes back from them."""
