@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (hard_negatives, html_main, jaccard_join, mixing, nn_descent, packing, pieces, pii, quality, recurrent_lm,
-               secrets, warc)
+from . import (hard_negatives, html_main, jaccard_join, merkle, mixing, nn_descent, packing, pieces, pii, quality,
+               recurrent_lm, secrets, warc)
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +126,61 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(_table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@_query("op11_merkle_manifest", f"""
+    WITH RECURSIVE bits(i, k, v) AS (
+      SELECT i, 0, i FROM range(256) t(i) UNION ALL
+      SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+    crc(doc_id, s, p, c) AS (
+      SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM documents UNION ALL
+      SELECT doc_id, s, p + 1, xor(c >> 8, v) FROM crc JOIN bits ON k = 8 AND i = xor(c, ascii(substr(s, p + 1, 1))) & 255
+      WHERE p < length(s)),
+    hit AS (SELECT doc_id FROM crc WHERE p = length(s) AND xor(c, 4294967295) % 3 = 0),
+    x AS (
+      SELECT d.doc_id, coalesce(':' || lang, '') AS g, h.doc_id IS NOT NULL AS hit,
+        coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+        || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS tail, coalesce(strlen(text) || ':' || translate(text, '{UPPER}', '{LOWER}'), '-') AS low
+      FROM documents d LEFT JOIN hit h ON h.doc_id = d.doc_id),
+    n AS (
+      SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+      FROM (SELECT doc_id, g, sha256(head || tail) AS leaf, sha256(head || CASE WHEN hit THEN low ELSE tail END) AS now FROM x)),
+    up(g, lvl, nodes) AS (
+      SELECT g, 0, list(leaf ORDER BY pos) FROM n GROUP BY g UNION ALL
+      SELECT g, lvl + 1, list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[i * 8 + 1:i * 8 + 8], '')))
+      FROM up WHERE len(nodes) > 1),
+    sub AS (SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS place FROM up WHERE len(nodes) = 1),
+    top(lvl, nodes) AS (
+      SELECT 0, list(subroot ORDER BY place) FROM sub UNION ALL
+      SELECT lvl + 1, list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[i * 8 + 1:i * 8 + 8], '')))
+      FROM top WHERE len(nodes) > 1),
+    walk(doc_id, g, leaf, first, lvl, pos, proof, x) AS (
+      SELECT doc_id, g, leaf, pos, 0, pos, '', now FROM n UNION ALL
+      SELECT doc_id, w.g, leaf, first, w.lvl + 1, pos // 8,
+        proof || array_to_string(nodes[pos // 8 * 8 + 1:pos], '') || array_to_string(nodes[pos + 2:pos // 8 * 8 + 8], ''),
+        sha256(array_to_string(nodes[pos // 8 * 8 + 1:pos], '') || x || array_to_string(nodes[pos + 2:pos // 8 * 8 + 8], ''))
+      FROM walk w JOIN up ON up.g = w.g AND up.lvl = w.lvl AND len(nodes) > 1),
+    climb(doc_id, leaf, g, lvl, pos, proof, x) AS (
+      SELECT doc_id, leaf, g, 0, place, proof, x
+      FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY g, first ORDER BY lvl DESC) = 1) JOIN sub USING (g) UNION ALL
+      SELECT doc_id, leaf, g, c.lvl + 1, pos // 8,
+        proof || array_to_string(nodes[pos // 8 * 8 + 1:pos], '') || array_to_string(nodes[pos + 2:pos // 8 * 8 + 8], ''),
+        sha256(array_to_string(nodes[pos // 8 * 8 + 1:pos], '') || x || array_to_string(nodes[pos + 2:pos // 8 * 8 + 8], ''))
+      FROM climb c JOIN top ON top.lvl = c.lvl AND len(nodes) > 1),
+    r AS (SELECT lvl AS height, nodes[1] AS root FROM top WHERE len(nodes) = 1)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_root, x = root AS verified
+    FROM climb JOIN r ON lvl = height JOIN sub USING (g)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document; a third of the texts lose their capitals before the check."""
+    low = F.translate("text", UPPER, LOWER)
+    return merkle.manifest(
+        _table(spark, sf_dir, "documents"), Scratch(spark, "op11"), ["doc_id", "source", "lang", "n_chars", "text"],
+        [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), low],
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+
+
 @_query("op12_hard_negatives", """
     WITH e AS (
       SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
