@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -233,6 +233,24 @@ def _placed(text: Column, pattern: str) -> Column:
     return F.filter(F.aggregate(both, start, step, lambda acc: acc["spans"]), lambda x: x["e"] > x["s"])
 
 
+def taken_spans(rows: DataFrame, text: str, rules: Sequence[tuple[str, str]], touching: bool = False) -> DataFrame:
+    """Adds the spans of each rule's matches to ``_t`` (ARRAY<STRUCT<s,e,rule>>, what is taken already); the first rule wins.
+
+    ``touching``: a match of nothing but spaces is none. A rule is only placed in texts that it matches somewhere.
+    """
+    out, line = rows, F.col(text)
+    for i, (_name, pattern) in enumerate(rules):
+        rule = f"(?m)(?:{pattern})"
+        found = F.when(line.rlike(rule), _placed(line, rule)).otherwise(F.expr("cast(array() as array<struct<s:int,e:int>>)"))
+        out = out.withColumn("_m", found)
+        blank = lambda x: F.trim(F.substring(line, x["s"] + 1, x["e"] - x["s"])) == ""
+        free = F.filter("_m", lambda x: ~F.exists("_t", lambda y: (x["s"] < y["e"]) & (x["e"] > y["s"])) & (
+            ~blank(x) if touching else F.lit(True)))
+        out = out.withColumn("_t", F.concat("_t", F.transform(free, lambda x: F.struct(
+            x["s"].alias("s"), x["e"].alias("e"), F.lit(i).alias("rule"))))).drop("_m")
+    return out
+
+
 def apply_rules(lines: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Lines with each match replaced by its rule's placeholder; ``hits`` per line.
 
@@ -242,11 +260,7 @@ def apply_rules(lines: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     out = lines.withColumn("_line", F.coalesce("line", F.lit(""))).withColumn(
         "_t", F.expr("cast(array() as array<struct<s:int,e:int,rule:int>>)"))
     line = F.col("_line")
-    for i, (_name, pattern) in enumerate(rules):
-        out = out.withColumn("_m", _placed(line, f"(?m)(?:{pattern})"))
-        free = F.filter("_m", lambda x: ~F.exists("_t", lambda y: (x["s"] < y["e"]) & (x["e"] > y["s"])))
-        out = out.withColumn("_t", F.concat("_t", F.transform(free, lambda x: F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), F.lit(i).alias("rule"))))).drop("_m")
+    out = taken_spans(out, "_line", rules)
     marks = F.array(*[F.lit(f"{GUARD}NOISE:{name}") for name, _p in rules])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     told = F.aggregate(F.array_sort("_t"), start, lambda acc, x: F.struct(x["e"].alias("at"), F.concat(

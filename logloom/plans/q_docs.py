@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import diff as D
 from ..operators import noise as N
+from ..operators import noise_keys as K
 from .registry import query, table
 
 
@@ -77,6 +78,33 @@ def noise_key_ranges(spark, sf):
     return N.noise_ranges(c.select(F.col("conv_id").alias("doc"), (F.col("turn") * 3).alias("first"), (F.col("turn") * 3 + F.length("text") % 8).alias("last")))
 
 
+# Rules whose matches never lie side by side; the second one spans two keys.
+KEY_RULES = [("NUM", r"\d+"), ("DUE", "[a-z]+ing [a-z]+")]
+
+
+@query("noise_over_keys", "WITH " + LINES + r"""
+, k AS (SELECT doc_id, line_no, list_filter(string_split_regex(line, '\s+'), lambda x: x <> '') AS keys FROM ln),
+t AS (SELECT doc_id, line_no, string_split(regexp_replace(regexp_replace(array_to_string(keys, ' '), '\d+', '⁣NOISE:NUM', 'g'), '[a-z]+ing [a-z]+', '⁣NOISE:DUE', 'g'), ' ') AS keys
+  FROM k WHERE len(keys) > 0),
+u AS (SELECT doc_id, line_no, generate_subscripts(keys, 1) AS i, unnest(keys) AS key FROM t),
+c AS (SELECT *, (length(key) - length(replace(key, '⁣NOISE:DUE', ''))) // 10 AS due, (length(key) - length(replace(key, '⁣NOISE:', ''))) // 7 AS n_hits FROM u)
+SELECT doc_id, row_number() OVER w - 1 AS n, key, coalesce(sum(1 + due) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first,
+  (sum(1 + due) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS end, n_hits::INTEGER AS n_hits FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY line_no, i)""")
+def noise_over_keys(spark, sf):
+    """Final keys of every document and the ranges of keys they stand for; whole lines, as SQL has no pieces."""
+    final = K.noise_over_keys(_keys(spark, sf), KEY_RULES, by=["doc_id"], cap=None)
+    return final.select("doc_id", "n", "key", "first", "end", F.size("hits").alias("n_hits"))
+
+
+def _keys(spark, sf):
+    """(doc_id, pos, key, ends_line): the tokens of every document."""
+    from pyspark.sql import Window
+
+    t = _lines(spark, sf).select("doc_id", "line_no", F.posexplode(F.filter(F.split("line", r"\s+"), lambda x: x != "")).alias("i", "key"))
+    w = Window.partitionBy("doc_id").orderBy("line_no", "i")
+    return t.select("doc_id", (F.row_number().over(w) - 1).alias("pos"), "key", (F.lead("line_no").over(w) != F.col("line_no")).alias("ends_line"))
+
+
 @query("repeated_rule_names", "SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def repeated_rule_names(spark, sf):
     return N.duplicate_rule_names(table(spark, sf, "part").select(F.col("p_name").alias("name")))
