@@ -234,7 +234,7 @@ ex AS (SELECT l.pair_id, l.block AS l, r.block AS r FROM hn l JOIN hn r ON l.sid
 """
 
 
-def _blocks(spark, sf):
+def _blocks(spark, sf, *more):
     """(pair_id, side, block, keys, …): non-blank lines of the document and of its edited copy."""
     from pyspark.sql import Window
 
@@ -245,7 +245,7 @@ def _blocks(spark, sf):
     b = both.withColumn("keys", F.filter(F.split("line", r"\s+"), lambda w: w != "")).where(F.size("keys") > 0)
     w = Window.partitionBy("doc_id", "side").orderBy("line_no")
     return b.select(F.col("doc_id").alias("pair_id"), "side", (F.row_number().over(w) - 1).cast("bigint").alias("block"), "keys",
-                    F.lit(1).alias("lines"), F.lit(10.0).alias("size"), F.lit("paragrafo").alias("kind"))
+                    F.lit(1).alias("lines"), F.lit(10.0).alias("size"), F.lit("paragrafo").alias("kind"), *more)
 
 
 def _words(blocks):
@@ -317,6 +317,27 @@ def word_changes(spark, sf):
     return c.select("pair_id", "op", "i1", "i2", "j1", "j2")
 
 
+# Gaps bounded by every pair of a known alignment: equal lines, and edited ones, which begin a gap.
+CUTS_SQL = PAIR + """
+, pl AS (SELECT pair_id, side, block, len(keys) AS n, coalesce(sum(len(keys)) OVER (PARTITION BY pair_id, side ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at,
+    ln AS line_no FROM (SELECT bk.*, tk.line_no AS ln FROM bk JOIN (SELECT doc_id, side, line_no, row_number() OVER (PARTITION BY doc_id, side ORDER BY line_no) - 1 AS block FROM tk WHERE len(keys) > 0) tk
+      ON tk.doc_id = bk.pair_id AND tk.side = bk.side AND tk.block = bk.block)),
+al AS (SELECT l.pair_id, l.at AS i, l.n, l.line_no, r.at AS j, sum(CASE WHEN r.at IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY l.pair_id ORDER BY l.line_no) AS g,
+    max(r.at + r.n) OVER (PARTITION BY l.pair_id ORDER BY l.line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach
+  FROM pl l LEFT JOIN pl r ON r.pair_id = l.pair_id AND r.side = 'R' AND r.line_no = l.line_no WHERE l.side = 'L')
+SELECT pair_id, 'in_piu' AS op, CAST(i AS BIGINT) AS i1, CAST(i AS BIGINT) AS i2, CAST(j AS BIGINT) AS j1, CAST(j + 1 AS BIGINT) AS j2 FROM al WHERE line_no % 5 = 1 AND j IS NOT NULL
+UNION ALL SELECT pair_id, 'mancante', CAST(min(i) AS BIGINT), CAST(max(i + n) AS BIGINT), CAST(coalesce(max(reach), 0) AS BIGINT), CAST(coalesce(max(reach), 0) AS BIGINT) FROM al WHERE j IS NULL GROUP BY pair_id, g"""
+
+
+@query("aligned_word_changes", CUTS_SQL)
+def aligned_word_changes(spark, sf):
+    """The word diff between the pairs of an alignment that the edits state: unequal pairs bound gaps as equal ones do."""
+    b = _blocks(spark, sf, "line_no")
+    side = lambda s, c: b.where(F.col("side") == s).select("pair_id", "line_no", F.col("block").alias(c))
+    pairs = side("L", "l").join(side("R", "r"), ["pair_id", "line_no"]).select("pair_id", "l", "r")
+    return D.word_changes(_words(b), D.sync_pairs(pairs, b)).select("pair_id", "op", "i1", "i2", "j1", "j2")
+
+
 @query("document_differences")
 def document_differences(spark, sf):
     b = _blocks(spark, sf)
