@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import within
+
 # Bands of a page (share of its height), ratios and gaps.
 HEAD_BAND, FOOT_BAND = 0.20, 0.70
 FOOT_REPEAT_BAND, NUMBER_BAND = 0.88, 0.08
@@ -228,10 +230,11 @@ def holes(geo: DataFrame, char_width: DataFrame) -> DataFrame:
 
 def empty_cells(rules: DataFrame, words: DataFrame) -> DataFrame:
     """Table cells (boxes between thin rules) holding no word, or only a unit."""
-    inside = rules.join(words.select("doc", "page", "text", F.col("x0").alias("wx"), F.col("y0").alias("wy")), ["doc", "page"], "left").where(
-        F.col("wx").isNull() | ((F.col("wx") >= F.col("x0")) & (F.col("wx") < F.col("x1")) & (F.col("wy") >= F.col("y0")) & (F.col("wy") < F.col("y1"))))
-    n = inside.where(F.col("text").isNotNull()).groupBy("doc", "page", "cell").agg(
-        F.count_if(~F.lower("text").isin(*UNITS)).alias("n"))
+    at = words.select("doc", "page", "text", F.col("x0").alias("wx"), F.col("y0").alias("wy"))
+    # cells and words meet in the same band of the page
+    inside = within(rules.select("doc", "page", "cell", "x0", "x1", "y0", "y1"), at, ["doc", "page"], ("y0", "y1"), "wy", 16).where(
+        (F.col("wx") >= F.col("x0")) & (F.col("wx") < F.col("x1")))
+    n = inside.groupBy("doc", "page", "cell").agg(F.count_if(~F.lower("text").isin(*UNITS)).alias("n"))
     return rules.join(n, ["doc", "page", "cell"], "left").where(F.coalesce("n", F.lit(0)) == 0).drop("n")
 
 
@@ -305,7 +308,7 @@ def absorb(slot_changes: DataFrame, words: DataFrame) -> DataFrame:
 
     ``slot_changes`` (doc, slot, kind, j1, j2, next_key); ``words`` (doc, pos, key, ends_line).
     """
-    j = slot_changes.join(words, "doc").where((F.col("pos") >= F.col("j1")) & (F.col("pos") < F.col("j2")))
+    j = within(slot_changes, words.select("doc", "pos", "key", "ends_line"), ["doc"], ("j1", "j2"), "pos")
     g = j.groupBy("doc", "slot", "kind", "j1", "j2").agg(
         F.min(F.when(F.col("key") == F.col("next_key"), F.col("pos"))).alias("at_next"),
         F.min(F.when(F.col("ends_line"), F.col("pos") + 1)).alias("at_line"))
@@ -317,11 +320,10 @@ def absorb(slot_changes: DataFrame, words: DataFrame) -> DataFrame:
 def hard_bounds(changes: DataFrame, ranges: DataFrame) -> DataFrame:
     """Changes cut at the unmatched block ranges they hold whole: each range is a change of its own.
 
-    ``changes`` (pair_id, i1, i2); ``ranges`` (pair_id, start, end, lines) of one side; containment is
-    checked after the join on the pair.
+    ``changes`` (pair_id, i1, i2); ``ranges`` (pair_id, start, end, lines) of one side.
     """
     r = ranges.where(F.col("lines") >= 2)
-    inside = changes.join(r, "pair_id").where((F.col("start") >= F.col("i1")) & (F.col("end") <= F.col("i2")) & (F.col("end") > F.col("start")))
+    inside = within(changes.select("pair_id", "i1", "i2"), r.select("pair_id", "start", "end"), ["pair_id"], ("i1", "i2"), ("start", "end"))
     own = inside.select("pair_id", "i1", "i2", F.col("start").alias("s"), F.col("end").alias("e"), F.lit(True).alias("section"))
     w = Window.partitionBy("pair_id", "i1", "i2").orderBy("s")
     before = own.select("pair_id", "i1", "i2", F.coalesce(F.lag("e").over(w), "i1").alias("s"), F.col("s").alias("e"))

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import diff as D
 from ..operators import noise as N
 from ..operators import noise_keys as K
+from ..operators import regions as R
 from .registry import query, table
 
 
@@ -372,6 +373,44 @@ def section_changes(spark, sf):
     return c.groupBy("op").agg(F.count("*").alias("n"))
 
 
+# A part's words between a changed first word and, on the generated side, a block of its own (three words).
+@query("changes_cut_at_blocks", """
+WITH p AS (SELECT p_partkey AS id, len(string_split(p_name, ' ')) AS n, p_partkey % 50 AS s FROM part)
+SELECT id AS pair_id, 'cambiato' AS op, CAST(s AS BIGINT) AS i1, CAST(s + 1 AS BIGINT) AS i2, CAST(s AS BIGINT) AS j1, CAST(s + 1 AS BIGINT) AS j2, 'H' AS l, 'Y' AS r FROM p
+UNION ALL SELECT id, 'in_piu', s + n + 1, s + n + 1, s + n + 1, s + n + 4, '', 'uno due tre' FROM p""")
+def changes_cut_at_blocks(spark, sf):
+    """A change that holds an unmatched block is split there; what is left of it keeps only the word that differs."""
+    words, n, s = F.split("p_name", " "), F.size(F.split("p_name", " ")), (F.col("p_partkey") % 50).cast("bigint")
+    c = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("pair_id"), F.lit("cambiato").alias("op"), s.alias("i1"), (s + n + 1).alias("i2"), s.alias("j1"), (s + n + 4).alias("j2"),
+        F.concat(F.array(F.lit("H")), words).alias("left_keys"), F.concat(F.array(F.lit("Y")), words, F.split(F.lit("uno due tre"), " ")).alias("right_keys"))
+    blocks = c.select("pair_id", F.lit("R").alias("side"), (F.col("j2") - 3).alias("start"), F.col("j2").alias("end"))
+    return _told(R.split_at_bounds(c, blocks))
+
+
+def _told(changes):
+    return changes.select("pair_id", "op", "i1", "i2", "j1", "j2", F.array_join("left_keys", " ").alias("l"), F.array_join("right_keys", " ").alias("r"))
+
+
+@query("far_pieces_paired_again", """
+WITH p AS (SELECT p_partkey AS id, p_name AS t, CAST(len(string_split(p_name, ' ')) AS BIGINT) AS n FROM part)
+SELECT id AS pair_id, 'in_piu' AS op, CAST(0 AS BIGINT) AS i1, CAST(0 AS BIGINT) AS i2, CAST(0 AS BIGINT) AS j1, n AS j2, '' AS l, upper(t) AS r FROM p
+UNION ALL SELECT id, 'in_piu', n, n, n * 2, n * 2 + 1, '', 'fine' FROM p""")
+def far_pieces_paired_again(spark, sf):
+    """Left: the name. Right: capitals on a page of their own, then the name and a word after it, a page further on."""
+    words, n = F.split("p_name", " "), F.size(F.split("p_name", " ")).cast("bigint")
+    right = F.concat(F.split(F.upper("p_name"), " "), words, F.array(F.lit("fine")))
+    c = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("pair_id"), F.lit("cambiato").alias("op"), F.lit(0).cast("bigint").alias("i1"), n.alias("i2"),
+        F.lit(0).cast("bigint").alias("j1"), (2 * n + 1).alias("j2"), words.alias("left_keys"), right.alias("right_keys"), n.alias("n"))
+    w = c.select("pair_id", "n", F.lit("L").alias("side"), F.posexplode("left_keys").alias("pos", "key")).unionByName(
+        c.select("pair_id", "n", F.lit("R").alias("side"), F.posexplode("right_keys").alias("pos", "key")))
+    x = F.col("pos") * 10.0
+    w = w.select("pair_id", "side", F.col("pos").cast("bigint").alias("pos"), ((F.col("side") == "R") & (F.col("pos") >= F.col("n"))).cast("int").alias("page"),
+                 x.alias("x0"), F.lit(50.0).alias("y0"), (x + 8).alias("x1"), F.lit(60.0).alias("y1"), F.lit("corpo").alias("zone"))
+    return _told(R.spread_changes(c.drop("n"), w))
+
+
 # Word changes with a known class and type: the part name against an edit of it.
 TYPE = """
 SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'maiuscole' WHEN 1 THEN 'spazi' WHEN 2 THEN 'punteggiatura' WHEN 3 THEN 'numeri' WHEN 4 THEN 'parola' WHEN 5 THEN 'frase' WHEN 6 THEN 'altro' ELSE 'numeri' END AS tipo,
