@@ -121,25 +121,6 @@ def shoulders(words: DataFrame) -> DataFrame:
     return words.where(F.col("angle") != 0).join(flat, ["doc", "page"]).withColumn("zone", side).where(F.col("zone").isNotNull()).drop("lo", "hi")
 
 
-def watermarks(words: DataFrame, body: DataFrame, pages: DataFrame) -> DataFrame:
-    """Huge or diagonal words, light or repeated on another page at the same rounded size and place."""
-    n = pages.groupBy("doc").agg(F.count_distinct("page").alias("n_pages"), F.max("width").alias("width"), F.max("height").alias("height"))
-    big = (F.col("size") >= WATERMARK * F.col("body")) | ((F.col("angle") % 90 != 0) & (F.col("size") >= DIAGONAL * F.col("body")))
-    w = words.join(body, "doc").where(big).join(n, "doc")
-    place = [F.round(F.col("x0") / (NEAR * F.col("width"))).alias("px"), F.round(F.col("y0") / (NEAR * F.col("height"))).alias("py"),
-             F.round(F.log(F.col("size")) / NEAR).alias("ps")]
-    w = w.select("*", *place)
-    rep = w.groupBy("doc", "text", "px", "py", "ps").agg(F.count_distinct("page").alias("k"))
-    j = w.join(rep, ["doc", "text", "px", "py", "ps"])
-    return j.where(F.col("light") | (F.col("k") > 1)).select("doc", "page", "pos", "text", F.lit("filigrana").alias("zone"))
-
-
-def disagree(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Watermark texts only one side has on a page: not a watermark there."""
-    key = ["doc", "page", "text"]
-    return left.join(right.select(*key).distinct(), key, "left_anti")
-
-
 def zone_words(words: DataFrame, marks: DataFrame) -> DataFrame:
     """Every word with its zone by precedence; ``marks`` (doc, page, pos, zone) may hold several per word."""
     order = F.lit(len(COMPARED_ZONES))
@@ -154,35 +135,6 @@ def zone_boxes(words: DataFrame) -> DataFrame:
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def corridors(words: DataFrame, char_width: DataFrame) -> DataFrame:
-    """Page-wide gaps few lines cross: (doc, page, x0, x1), at most two per page, widest first.
-
-    Words are counted on 1-point bins (bounded by the page width); low bins form islands.
-    """
-    n = words.groupBy("doc", "page").agg(F.count_distinct("line").alias("n_lines"), F.min("x0").alias("lo"), F.max("x1").alias("hi"))
-    cover = words.select("doc", "page", "line", F.explode(F.sequence(F.floor("x0"), F.floor("x1"))).alias("x")).distinct().groupBy(
-        "doc", "page", "x").agg(F.count("*").alias("c"))
-    spine = n.select("doc", "page", "n_lines", F.explode(F.sequence(F.floor("lo"), F.floor("hi"))).alias("x"))
-    low = spine.join(cover, ["doc", "page", "x"], "left").where(F.coalesce("c", F.lit(0)) <= CROSSING * F.col("n_lines"))
-    w = Window.partitionBy("doc", "page").orderBy("x")
-    isl = low.withColumn("_g", F.col("x") - F.row_number().over(w)).groupBy("doc", "page", "_g").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.max("n_lines").alias("n_lines")).join(char_width, "doc")
-    wide = isl.where(F.col("x1") - F.col("x0") >= CORRIDOR_CHARS * F.col("char"))
-    b = wide.join(words.select("doc", "page", "line", F.col("x0").alias("wx0"), F.col("x1").alias("wx1")), ["doc", "page"])
-    per_line = b.groupBy("doc", "page", "x0", "x1", "n_lines", "line").agg(
-        F.bool_or(F.col("wx1") <= F.col("x0") + 1).alias("l"), F.bool_or(F.col("wx0") >= F.col("x1")).alias("r"))
-    both = per_line.groupBy("doc", "page", "x0", "x1", "n_lines").agg(F.count_if(F.col("l") & F.col("r")).alias("both"))
-    ok = both.where(F.col("both") >= COLUMN_SHARE * F.col("n_lines"))
-    rank = F.row_number().over(Window.partitionBy("doc", "page").orderBy(F.desc(F.col("x1") - F.col("x0")), "x0"))
-    return ok.withColumn("_r", rank).where(F.col("_r") <= MAX_CORRIDORS).select("doc", "page", "x0", "x1")
-
-
-def borrowed(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Corridors of the side with more lines on each page (needs corridors array and n_lines per side)."""
-    both = left.withColumn("side", F.lit("L")).unionByName(right.withColumn("side", F.lit("R")))
-    return both.groupBy("doc", "page").agg(F.max_by(F.struct("side", "corridors"), "n_lines").alias("b")).select("doc", "page", "b.*")
-
-
 def zone_texts(words: DataFrame) -> DataFrame:
     """One chunk per (doc, zone, page): text in reading order and its offset among the document's chunks."""
     z = words.where(F.col("zone").isin(*COMPARED_ZONES))

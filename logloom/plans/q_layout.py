@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import columns as C
 from ..operators import layout as L
+from ..operators import marks as M
 from ..operators import payload as P
 from ..sources import html as H
 from ..sources import versions as V
@@ -366,13 +368,50 @@ def zone_text_chunks(spark, sf):
     return t.select("doc", "zone", F.size(F.split("text", " ")).cast("bigint").alias("n"))
 
 
-@query("column_corridors")
+# Every line's words fill a left column that ends at 250 less a point or two, a word stands right of the gutter; every tenth
+# line runs across.
+CORRIDORS_SQL = LINE_COUNT + """
+, g AS (SELECT doc, page, count(*) AS n, count_if(n % 10 = 9) AS x FROM k WHERE w > 0 GROUP BY 1, 2),
+e AS (SELECT doc, page, 250 - n % 3 AS x0, row_number() OVER (PARTITION BY doc, page ORDER BY n % 3 DESC) - 1 AS i, count(*) OVER (PARTITION BY doc, page) AS m FROM k WHERE w > 0 AND n % 10 <> 9)
+SELECT doc, CAST(page AS INTEGER) AS page, CAST(x0 AS DOUBLE) AS x0, CAST(290 AS DOUBLE) AS x1 FROM e JOIN g USING (doc, page)
+WHERE n >= 6 AND x <= CAST(0.2 AS DOUBLE) * n AND i = CAST(floor(CAST(0.9 AS DOUBLE) * (m - 1)) AS BIGINT)"""
+
+
+def _two_columns(spark, sf):
+    w = _words(spark, sf)
+    across = F.col("n") % 10 == 9
+    n_words = F.count("*").over(Window.partitionBy("doc", "n"))
+    room = F.when(across, 400.0).otherwise(200.0 - F.col("n") % 3)
+    at = lambda k: 50.0 + room * k / F.col("w")
+    left = w.withColumn("w", n_words).select("doc", "page", F.col("n").alias("line"), at(F.col("k")).alias("x0"), F.when(
+        F.col("k") == F.col("w") - 1, 50.0 + room).otherwise(at(F.col("k") + 0.99)).alias("x1"))
+    right = w.where((F.col("k") == 0) & ~across).select("doc", "page", F.col("n").alias("line"), F.lit(290.0).alias("x0"), (390.0 + F.col("n") % 5 * 20).alias("x1"))
+    char = w.select("doc").distinct().withColumn("char", F.lit(5.0))
+    return C.line_parts(left.unionByName(right), char)
+
+
+@query("column_corridors", CORRIDORS_SQL)
 def column_corridors(spark, sf):
-    w = _words(spark, sf).where(F.col("x1") < 560)
-    # Two columns: the right one is the page's words shifted past a gutter.
-    two = w.withColumn("line", F.col("n")).select("doc", "page", "line", "x0", "x1", "text")
-    right = two.withColumn("x0", F.col("x0") + 600).withColumn("x1", F.col("x1") + 600)
-    return L.corridors(two.unionByName(right), Wd.char_widths(w))
+    return C.corridors(_two_columns(spark, sf))
+
+
+# A diagonal mark of two words on every page, a little off its place and size, and a large level price.
+@query("watermark_marks", LINE_COUNT + """
+, p AS (SELECT doc, page, count(*) OVER (PARTITION BY doc) AS n FROM (SELECT DISTINCT doc, page FROM k WHERE w > 0))
+SELECT doc, CAST(page AS INTEGER) AS page, 'bozza copia' AS text, n > 1 AS repeated, n > 1 OR doc % 3 = 0 AS accepted FROM p
+UNION ALL SELECT doc, CAST(page AS INTEGER), 'prezzo', n > 1, false FROM p""")
+def watermark_marks(spark, sf):
+    pages = _words(spark, sf).select("doc", "page").distinct().withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
+    x, y, size = 97.0 + F.col("page") % 7, 297.0 + F.col("page") % 5, 40.0 + F.col("page") % 3
+    word = lambda pos, text, angle, x, y, light: F.struct(
+        F.lit(pos).alias("pos"), F.lit(text).alias("text"), F.lit(angle).alias("angle"), size.alias("size"), light.alias("light"),
+        x.alias("x0"), y.alias("y0"), (x + 90).alias("x1"), (y + 40).alias("y1"))
+    pale = F.col("doc") % 3 == 0
+    w = pages.select("doc", "page", F.inline(F.array(
+        word(1, "Bozza", 45, x, y, pale), word(2, "COPIA", 45, x + 100, y + 60, pale), word(3, "Prezzo", 0, x + 300, y + 300, F.lit(False)))))
+    w = w.withColumn("on_background", F.lit(False))
+    large = M.watermark_candidates(w, pages.select("doc").distinct().withColumn("body", F.lit(10.0)))
+    return M.marks(M.clusters(large), pages).select("doc", "page", "text", "repeated", "accepted")
 
 
 @query("line_holes")
