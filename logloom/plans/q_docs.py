@@ -12,6 +12,7 @@ from ..operators import diff as D
 from ..operators import noise as N
 from ..operators import noise_keys as K
 from ..operators import regions as R
+from ..operators import source_lines as S
 from .registry import query, table
 
 
@@ -449,6 +450,16 @@ def token_spans(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(out, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"))
 
 
+# Every line of a document is looked for in order: equal lines are found one after the other.
+@query("located_lines", "WITH " + LINES + r"""
+SELECT doc_id AS doc, CAST(line_no AS BIGINT) AS id, CAST(line_no AS INTEGER) AS line FROM ln WHERE len(list_filter(string_split_regex(line, '\s+'), lambda x: x <> '')) > 0""")
+def located_lines(spark, sf):
+    ln = _lines(spark, sf).where(F.size(F.filter(F.split("line", r"\s+"), lambda x: x != "")) > 0).select(
+        F.col("doc_id").alias("doc"), F.lit("L").alias("side"), F.col("line_no").alias("line"), F.col("line").alias("text"))
+    d = ln.select("doc", "side", F.col("line").alias("id"), "text", F.lit("").alias("before"), F.lit("").alias("after"))
+    return S.located(d, ln).select("doc", "id", "line")
+
+
 @query("innermost_blocks", """
 WITH n AS (SELECT l_orderkey AS doc, l_linenumber AS depth, l_linenumber * 10 AS st, l_linenumber * 10 + 25 AS en FROM lineitem GROUP BY 1, 2),
 q AS (SELECT DISTINCT doc, st + 5 AS line FROM n)
