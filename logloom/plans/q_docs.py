@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import comparison as Cm
 from ..operators import diff as D
 from ..operators import noise as N
 from ..operators import noise_keys as K
@@ -346,6 +347,44 @@ def document_differences(spark, sf):
     return D.compare(_words(b), b).select("pair_id", "id", "op", "klass", "tipo", "left_text", "right_text", "context")
 
 
+# Parts in documents of twenty, a row of ten keys each. In the copy every row n: n % 3 = 1 has another quantity, row 2 (of two lines) is
+# gone, n % 3 = 2 another discount, which is noise; every fifth document ends with a note.
+WHOLE_SQL = """
+WITH r AS (SELECT p_partkey // 20 AS doc, p_partkey % 20 AS n, p_partkey AS k, (row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey % 20) - 1) * 10 AS pos FROM part),
+d AS (SELECT doc, pos, 'cambiato' AS op, 'testo' AS klass, 'parola' AS tipo, 'Q' || k % 50 AS l, 'X' || k % 50 AS r FROM r WHERE n % 3 = 1
+UNION ALL SELECT doc, pos, 'sezione_assente', 'composizione', 'sezione', 'riga ' || n || ' parte P' || k || ' S' || k % 97 || ' quantita Q' || k % 50 || ' sconto D' || k % 10 || ' fine', '' FROM r WHERE n = 2
+UNION ALL SELECT doc, pos, 'cambiato', 'rumore', 'numeri', 'D' || k % 10, 'D1' || k % 10 FROM r WHERE n % 3 = 2 AND n <> 2
+UNION ALL SELECT doc, max(pos) + 10, 'in_piu', 'testo', 'frase', '', 'nota del documento ' || doc || ' in fondo' FROM r WHERE doc % 5 = 0 GROUP BY doc)
+SELECT doc AS pair_id, CAST(row_number() OVER (PARTITION BY doc ORDER BY pos) AS INTEGER) AS id, op, klass, tipo, l AS left_text, r AS right_text FROM d"""
+
+
+@query("compared_documents", WHOLE_SQL)
+def compared_documents(spark, sf):
+    """Every stage of the comparison on documents whose edits are rules."""
+    from pyspark.sql import Window
+
+    k, s = F.col("p_partkey"), lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    p = table(spark, sf, "part").select(F.floor(k / 20).alias("pair_id"), (k % 20).alias("n"), k.alias("k"))
+
+    def rows(side, quantity, discount):
+        keys = F.array(F.lit("riga"), F.col("n").cast("string"), F.lit("parte"), s("P", F.col("k")), s("S", F.col("k") % 97), F.lit("quantita"), quantity, F.lit("sconto"), discount, F.lit("fine"))
+        return p.select("pair_id", F.lit(side).alias("side"), "n", keys.alias("keys"), F.when(F.col("n") == 2, 2).otherwise(1).alias("lines"))
+
+    n, q, d = F.col("n"), F.col("k") % 50, F.col("k") % 10
+    right = rows("R", F.when(n % 3 == 1, s("X", q)).otherwise(s("Q", q)), F.when((n % 3 == 2) & (n != 2), s("D1", d)).otherwise(s("D", d))).where("n <> 2")
+    note = p.where("pair_id % 5 = 0").select("pair_id").distinct().select(
+        "pair_id", F.lit("R").alias("side"), F.lit(99).cast("bigint").alias("n"), F.split(F.concat_ws(" ", F.lit("nota del documento"), "pair_id", F.lit("in fondo")), " ").alias("keys"), F.lit(1).alias("lines"))
+    w = Window.partitionBy("pair_id", "side").orderBy("n")
+    b = rows("L", s("Q", q), s("D", d)).unionByName(right).unionByName(note).withColumn("block", (F.row_number().over(w) - 1).cast("bigint")).drop("n")
+    b = b.withColumn("size", F.lit(10.0)).withColumn("kind", F.lit("paragrafo"))
+    x, y = F.col("k") * 30.0, F.col("block") * 20.0
+    words = b.select("pair_id", "side", "block", "size", F.posexplode("keys").alias("k", "key"), (F.size("keys") - 1).alias("last")).select(
+        "pair_id", "side", "block", "size", "key", "k", x.alias("x0"), (x + 28).alias("x1"), y.alias("y0"), (y + 10).alias("y1"), F.lit(0).alias("page"),
+        F.lit(False).alias("bold"), F.lit("corpo").alias("zone"), (F.col("k") == F.col("last")).alias("ends_line"))
+    words = words.withColumn("pos", (F.row_number().over(Window.partitionBy("pair_id", "side").orderBy("block", "k")) - 1).cast("bigint")).drop("k")
+    return Cm.compare_pairs(words, b, [("SCONTO", r"\bD\d+\b")]).select("pair_id", "id", "op", "klass", "tipo", "left_text", "right_text")
+
+
 @query("block_moves")
 def block_moves(spark, sf):
     return D.block_moves(D.exact_matches(_moved(_blocks(spark, sf))))

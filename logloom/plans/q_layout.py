@@ -9,6 +9,7 @@ from ..operators import columns as C
 from ..operators import layout as L
 from ..operators import marks as M
 from ..operators import payload as P
+from ..operators import variables as Va
 from ..sources import html as H
 from ..sources import versions as V
 from ..sources import words as Wd
@@ -474,6 +475,46 @@ def recognised_variables(spark, sf):
     return L.recognise(d, sites, proofs, fixed, ["listino"]).select("id", "klass", "prova")
 
 
+# Twelve rules of what a difference holds, by part: amounts and dates in added texts, sections, slots, placeholders, units.
+SPLIT_SQL = """
+WITH p AS (SELECT p_partkey AS id, p_partkey % 12 AS m, p_name AS t, CAST(p_partkey % 90 + 10 AS VARCHAR) || ',50' AS v FROM part)
+SELECT id, 0 AS part, CASE WHEN m IN (3, 4) THEN 'mancante' WHEN m = 5 THEN 'sezione_in_piu' WHEN m = 9 THEN 'cambiato' ELSE 'in_piu' END AS op,
+  CASE WHEN m IN (1, 3, 4, 5, 9) THEN 'variabile' ELSE 'testo' END AS klass,
+  CASE m WHEN 1 THEN 'buco' WHEN 2 THEN 'listino' WHEN 3 THEN 'cella' WHEN 4 THEN 'segnaposto' WHEN 5 THEN 'sezione' WHEN 9 THEN 'segnaposto' ELSE '' END AS prova,
+  CASE m WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v || ' euro' WHEN 5 THEN t WHEN 6 THEN 'zona' WHEN 7 THEN v || ' euro' WHEN 8 THEN t WHEN 9 THEN t WHEN 10 THEN t || ' qui' WHEN 11 THEN t || ' ' || v ELSE '' END AS r,
+  CASE WHEN m IN (1, 2, 5, 9) THEN 'n' || id WHEN m = 3 THEN 'c' || id WHEN m = 4 THEN '{{se vale ' || t || '}}' ELSE '' END AS nome FROM p
+UNION ALL SELECT id, 1, 'in_piu', 'variabile', 'buco', CASE m WHEN 0 THEN v || ' euro' WHEN 6 THEN v || ' mesi' ELSE v END, 'n' || id FROM p WHERE m IN (0, 6, 10)"""
+
+
+@query("split_variables", SPLIT_SQL)
+def split_variables(spark, sf):
+    """0 amount after a name, 1 alone, 2 its proof off, 3 a unit in a filled cell, 4 a conditional text left out, 5 a known section,
+    6 a probable slot, 7 a fixed text, 8 no value, 9 a declared slot, 10 amount inside a text, 11 an amount without a source."""
+    p = table(spark, sf, "part").withColumn("id", F.col("p_partkey")).withColumn("m", F.col("p_partkey") % 12)
+    m, name = F.col("m"), F.col("p_name")
+    v = F.concat((F.col("p_partkey") % 90 + 10).cast("string"), F.lit(",50"))
+    keys = lambda *c: F.split(F.concat_ws(" ", *c), " ")
+    none = F.array().cast("array<string>")
+    right = (F.when(m == 0, keys(name, v, F.lit("euro"))).when(m == 1, keys(v)).when(m.isin(2, 7), keys(v, F.lit("euro"))).when(m.isin(3, 4), none)
+             .when(m.isin(5, 8, 9), keys(name)).when(m == 6, keys(F.lit("zona"), v, F.lit("mesi"))).when(m == 10, keys(name, v, F.lit("qui"))).otherwise(keys(name, v)))
+    left = F.when(m == 3, F.array(F.lit("euro"))).when(m == 4, keys(F.concat(F.lit("{{se vale "), name, F.lit("}}")))).when(m == 9, F.array(F.lit("........"))).otherwise(none)
+    d = p.select(
+        (F.col("id") % 7).alias("pair_id"), "id", "m", F.when(m.isin(3, 4), "mancante").when(m == 5, "sezione_in_piu").when(m == 9, "cambiato").otherwise("in_piu").alias("op"),
+        F.when(m == 5, "composizione").when(m.isin(6, 9), "variabile").otherwise("testo").alias("klass"), F.lit("frase").alias("tipo"), F.lit("corpo").alias("zone"),
+        F.when(m == 6, "probabile").when(m == 9, "certo").alias("slot"), left.alias("left_keys"), right.alias("right_keys"), F.lit("").alias("target_text"), name.alias("_name"), v.alias("_v"))
+    n = F.size(F.split("_name", " "))
+    sites = d.where(m.isin(0, 1, 2, 7, 8, 10, 11)).select("pair_id", "id", F.when(m.isin(0, 10, 11), n).otherwise(0).alias("s"), F.lit("buco").alias("prova"), F.lit("r").alias("room"))
+    # the value is said per difference here, so that no other difference's source proves it
+    d = d.withColumn("pair_id", F.col("id"))
+    value = F.when(m.isin(0, 2, 7), F.concat_ws(" ", "_v", F.lit("euro"))).when(m == 6, F.concat_ws(" ", "_v", F.lit("mesi"))).when(m.isin(1, 10), F.col("_v")).when(m.isin(5, 9), F.col("_name"))
+    sources = d.where(value.isNotNull()).select("pair_id", value.alias("value"), F.when(m == 2, "listino").otherwise("payload").alias("source"), F.concat(F.lit("n"), F.col("id")).alias("nome"))
+    fixed = d.where(m == 7).select("pair_id", F.concat_ws(" ", "_v", F.lit("euro")).alias("value"))
+    voids = d.where(m == 5).select("pair_id", "id")
+    cells = d.where(m == 3).select("pair_id", "id", F.lit("12 euro").alias("filled"), F.concat(F.lit("c"), F.col("id")).alias("nome"))
+    out = Va.recognise_variables(d.drop("m", "_name", "_v"), sites.withColumn("pair_id", F.col("id")), sources, fixed, voids, cells, on=[x for x in Va.ALL_PROOFS if x != "listino"])
+    return out.select("id", "part", "op", "klass", "prova", F.array_join("right_keys", " ").alias("r"), "nome")
+
+
 # ------------------------------------------------------- versions and delivery ---
 
 
