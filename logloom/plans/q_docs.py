@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import comparison as Cm
+from ..operators import control as Co
 from ..operators import diff as D
 from ..operators import noise as N
 from ..operators import noise_keys as K
@@ -499,6 +500,51 @@ def located_lines(spark, sf):
     return S.located(d, ln).select("doc", "id", "line")
 
 
+# A part's words, then its code, an amount and a date; the control prints the perturbed value of one of them, or prints it elsewhere.
+@query("same_place_proofs", """
+SELECT p_partkey AS id, CAST(len(string_split(p_name, ' ')) + CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS INTEGER) AS start, CAST(1 AS INTEGER) AS n
+FROM part WHERE p_partkey % 4 <> 1""")
+def same_place_proofs(spark, sf):
+    k, name, m = F.col("p_partkey"), F.col("p_name"), F.col("p_partkey") % 4
+    s = lambda head, c, tail="": F.concat(F.lit(head), c.cast("string"), F.lit(tail))
+    keys = lambda *c: F.split(F.concat_ws(" ", *c), " ")
+    date = F.lit("03/04/2026")
+    left = keys(name, s("P", k), s("", k, ",50"), date)
+    right = (F.when(m == 0, keys(name, s("Q", k), s("", k, ",50"), date)).when(m == 1, keys(F.lit("nuovo"), name, s("Q", k), s("", k, ",50"), date))
+             .when(m == 2, keys(name, s("P", k), s("", k + 1, ",50"), date)).otherwise(keys(name, s("P", k), s("", k, ",50"), F.lit("05/06/2027."))))
+    p = table(spark, sf, "part")
+    d = p.select(k.alias("pair_id"), k.alias("id"), F.lit("cambiato").alias("op"), F.lit("testo").alias("klass"), left.alias("left_keys"), right.alias("right_keys"))
+    was = F.when(m < 2, s("P", k)).when(m == 2, s("", k, ".5")).otherwise(F.lit("2026-04-03"))
+    now = F.when(m < 2, s("Q", k)).when(m == 2, s("", k + 1, ".5")).otherwise(F.lit("2027-06-05"))
+    c = p.select(k.alias("pair_id"), F.lit(1).alias("value_id"), was.alias("original"), now.alias("perturbed"))
+    return Co.same_place_words(d, c).select("id", "start", "n")
+
+
+# Every third word of a document as a change.
+@query("display_contexts", "WITH " + LINES + r"""
+, k AS (SELECT doc_id, line_no, list_filter(string_split_regex(line, '\s+'), lambda x: x <> '') AS ws FROM ln),
+b AS (SELECT doc_id, line_no, ws, lag(ws) OVER w AS pw, lead(ws) OVER w AS nw FROM k WHERE len(ws) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+u AS (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, i) - 1 AS pos FROM u)
+SELECT doc_id AS pair_id, pos AS i1, coalesce(array_to_string(CASE WHEN i > 1 THEN ws[greatest(1, i - 5):i - 1] ELSE pw[greatest(1, len(pw) - 4):len(pw)] END, ' '), '') AS before,
+  coalesce(array_to_string(CASE WHEN i < len(ws) THEN ws[i + 1:i + 5] ELSE nw[1:5] END, ' '), '') AS after FROM p WHERE pos % 3 = 0""")
+def display_contexts(spark, sf):
+    from pyspark.sql import Window
+
+    k = _keys(spark, sf)
+    block = F.coalesce(F.sum(F.coalesce("ends_line", F.lit(False)).cast("int")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    w = k.select(F.col("doc_id").alias("pair_id"), F.lit("L").alias("side"), F.col("pos").cast("bigint").alias("pos"), F.col("key").alias("text"), block.alias("block"))
+    c = w.where("pos % 3 = 0").select("pair_id", F.col("pos").alias("i1"), (F.col("pos") + 1).alias("i2"))
+    return Co.display_context(c, w).select("pair_id", "i1", "before", "after")
+
+
+@query("generated_texts", r"""
+SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(replace(text, '`', chr(39)), '\s+'), lambda x: x <> ''), ' ') AS generated FROM conversations""")
+def generated_texts(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("right_text"))
+    return Co.generated_texts(c, ["conv_id", "turn"]).select("conv_id", "turn", "generated")
+
+
 @query("innermost_blocks", """
 WITH n AS (SELECT l_orderkey AS doc, l_linenumber AS depth, l_linenumber * 10 AS st, l_linenumber * 10 + 25 AS en FROM lineitem GROUP BY 1, 2),
 q AS (SELECT DISTINCT doc, st + 5 AS line FROM n)

@@ -221,6 +221,24 @@ def link_differences(spark, sf):
     return link_changes(pairs, both.unionByName(right)).select("pair_id", "name", "old", "new")
 
 
+# Every link: those of even length get another query, the others only a tracking parameter, which is no difference.
+@query("all_link_differences", """
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS v FROM pages)
+SELECT page_id AS pair_id, 'href' AS name, v AS old, v||'?x=1' AS new FROM a WHERE length(v) % 2 = 0""")
+def all_link_differences(spark, sf):
+    """All links of all blocks, compared in the normal form of URLs."""
+    from ..functions.text import url_norm
+    from ..operators.diff import link_changes
+
+    a = H.block_attrs(H.html_blocks(table(spark, sf, "pages"))).where(F.col("name") == "href")
+    left = a.select(F.col("page_id").alias("pair_id"), F.lit("L").alias("side"), F.col("id").alias("block"), "ord", "name", "value")
+    edited = F.concat("value", F.when(F.length("value") % 2 == 0, "?x=1").otherwise("?utm_source=z"))
+    right = left.withColumn("side", F.lit("R")).withColumn("value", edited)
+    both = left.unionByName(right).withColumn("value", url_norm(F.col("value")))
+    pairs = left.select("pair_id", F.col("block").alias("l"), F.col("block").alias("r")).distinct()
+    return link_changes(pairs, both).select("pair_id", "name", "old", "new")
+
+
 @query("document_types", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' END AS doc_type FROM pages")
 def document_types(spark, sf):
     m = F.col("page_id") % 3
