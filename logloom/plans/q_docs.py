@@ -386,6 +386,116 @@ def compared_documents(spark, sf):
     return Cm.compare_pairs(words, b, [("SCONTO", r"\bD\d+\b")]).select("pair_id", "id", "op", "klass", "tipo", "left_text", "right_text")
 
 
+# The rows of those documents as blocks: what the stages say on their own.
+RULE_ROWS = """
+WITH r AS (SELECT p_partkey // 20 AS doc, p_partkey % 20 AS n, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey % 20) - 1 AS l, count(*) OVER (PARTITION BY p_partkey // 20) AS m FROM part)
+"""
+
+
+def _rule_rows(spark, sf, right):
+    """Blocks of documents of twenty parts; ``right`` says (what to keep, the order, the keys) of the copy by n and k."""
+    from pyspark.sql import Window
+
+    k, s = F.col("p_partkey"), lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    p = table(spark, sf, "part").select(F.floor(k / 20).alias("pair_id"), (k % 20).alias("n"), k.alias("k"))
+    keys = lambda q: F.array(F.lit("riga"), F.col("n").cast("string"), F.lit("parte"), s("P", F.col("k")), s("S", F.col("k") % 97), F.lit("quantita"), q, F.lit("sconto"), s("D", F.col("k") % 10), F.lit("fine"))
+    keep, order, quantity = right
+    left = p.select("pair_id", F.lit("L").alias("side"), F.col("n").alias("o"), keys(s("Q", F.col("k") % 50)).alias("keys"))
+    copy = p.where(keep).select("pair_id", F.lit("R").alias("side"), order.alias("o"), keys(quantity).alias("keys"))
+    w = Window.partitionBy("pair_id", "side").orderBy("o")
+    return left.unionByName(copy).withColumn("block", (F.row_number().over(w) - 1).cast("bigint")).withColumn("lines", F.lit(1)).withColumn(
+        "size", F.lit(10.0)).withColumn("kind", F.lit("paragrafo")).drop("o")
+
+
+def _edited_rows(spark, sf):
+    q = F.col("k") % 50
+    return _rule_rows(spark, sf, (F.col("n") != 2, F.col("n"), F.concat(F.when(F.col("n") % 3 == 1, "X").otherwise("Q"), q.cast("string"))))
+
+
+def _moved_rows(spark, sf):
+    return _rule_rows(spark, sf, (F.lit(True), F.when(F.col("n") == 3, 99).otherwise(F.col("n")), F.concat(F.lit("Q"), (F.col("k") % 50).cast("string"))))
+
+
+@query("aligned_rows", RULE_ROWS + """
+SELECT doc AS pair_id, l, CAST(CASE WHEN n <> 2 THEN l - CASE WHEN n > 2 THEN count_if(n = 2) OVER (PARTITION BY doc) ELSE 0 END END AS BIGINT) AS r, CAST(l + 1 AS INTEGER) AS ord FROM r""")
+def aligned_rows(spark, sf):
+    """Every third row edited, row 2 gone: exact pairs, scored pairs, one unpaired, in target order."""
+    return D.align(_edited_rows(spark, sf)).select("pair_id", "l", "r", "ord")
+
+
+@query("moved_rows", RULE_ROWS + "SELECT doc AS pair_id, l AS l1, l AS l2, m - 1 AS r1, m - 1 AS r2 FROM r WHERE n = 3 AND m > l + 1")
+def moved_rows(spark, sf):
+    """Row 3 of every document is read last."""
+    b = _moved_rows(spark, sf)
+    return D.block_moves(D.exact_matches(b)).select("pair_id", "l1", "l2", "r1", "r2")
+
+
+@query("monotone_rows", RULE_ROWS + """
+SELECT doc AS pair_id, l, CAST(CASE WHEN n = 3 THEN m - 1 WHEN n > 3 THEN l - count_if(n = 3) OVER (PARTITION BY doc) ELSE l END AS BIGINT) AS r, n <> 3 OR m <= l + 1 AS kept FROM r""")
+def monotone_rows(spark, sf):
+    return D.monotone(D.exact_matches(_moved_rows(spark, sf)))
+
+
+@query("reading_orders", RULE_ROWS + """
+SELECT doc AS pair_id, CAST(CASE WHEN n = 3 THEN m - 1 WHEN n > 3 THEN l - count_if(n = 3) OVER (PARTITION BY doc) ELSE l END AS BIGINT) AS r, l AS ord FROM r""")
+def reading_orders(spark, sf):
+    """The generated rows as the word diff reads them: the moved one back at its partner's place."""
+    b = _moved_rows(spark, sf)
+    aligned = D.align(b)
+    return Cm.reading_order(aligned, Cm.strong_pairs(aligned, b), b)[0].select("pair_id", "r", "ord")
+
+
+@query("anchor_rows", RULE_ROWS + """
+, c AS (SELECT doc, l, CAST(CASE WHEN n = 2 THEN NULL WHEN n > 2 THEN l - count_if(n = 2) OVER (PARTITION BY doc) ELSE l END AS BIGINT) AS r FROM r)
+SELECT doc AS pair_id, min(l) AS i1, min(r) AS j1, count(*) AS n FROM c WHERE r IS NOT NULL GROUP BY doc, l - r""")
+def anchor_rows(spark, sf):
+    """One unique word a row, the third one gone: a run before it and one after it."""
+    b = _edited_rows(spark, sf)
+    return D.anchor_runs(b.select("pair_id", "side", F.col("block").alias("pos"), F.get("keys", F.lit(3)).alias("key")))
+
+
+@query("moved_texts", "SELECT p_partkey // 20 AS pair_id, p_partkey * 100 AS i1, p_partkey * 100 + 50 AS j1 FROM part")
+def moved_texts(spark, sf):
+    """Twenty missing and twenty extra texts a document, alike but for one word of four."""
+    k = F.col("p_partkey")
+    keys, none = F.split(F.concat(F.lit("P"), k, F.lit(" uno due tre")), " "), F.array().cast("array<string>")
+    p = table(spark, sf, "part")
+    row = lambda op, left, right: p.select(F.floor(k / 20).alias("pair_id"), F.lit(op).alias("op"), (k * 100).alias("i1"), (k * 100 + 50).alias("j1"), left.alias("left_keys"), right.alias("right_keys"))
+    return D.text_moves(row("mancante", keys, none).unionByName(row("in_piu", none, keys))).select("pair_id", "i1", "j1")
+
+
+@query("whole_sections", """
+SELECT p_partkey AS pair_id, CASE p_partkey % 4 WHEN 0 THEN 'sezione_assente' WHEN 1 THEN 'mancante' WHEN 2 THEN 'sezione_in_piu' ELSE 'cambiato' END AS op,
+  CASE WHEN p_partkey % 4 IN (0, 2) THEN '2 righe' ELSE '' END AS detail FROM part""")
+def whole_sections(spark, sf):
+    """0 two lines gone, 1 a line and a half, 2 two lines more, 3 two lines changed."""
+    p, m = table(spark, sf, "part").select(F.col("p_partkey").alias("pair_id")), F.col("pair_id") % 4
+    n = F.when(m == 1, 7).otherwise(10).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    c = p.select("pair_id", F.when(m < 2, "mancante").when(m == 2, "in_piu").otherwise("cambiato").alias("op"), zero.alias("i1"), F.when(m == 2, 0).otherwise(n).alias("i2"),
+                 zero.alias("j1"), F.when(m < 2, 0).otherwise(n).alias("j2"))
+    half = lambda lo, hi: F.struct(F.lit(lo).cast("bigint").alias("start"), F.lit(hi).cast("bigint").alias("end"), F.lit(1).alias("lines"))
+    b = p.select("pair_id", F.explode(F.array(F.lit("L"), F.lit("R"))).alias("side"), F.array(half(0, 5), half(5, 10)).alias("b")).select("pair_id", "side", F.inline("b"))
+    return D.sections(c, b).select("pair_id", "op", "detail")
+
+
+@query("unit_rules", """
+SELECT p_partkey AS doc, CASE p_partkey % 5 WHEN 0 THEN '☐|voce' WHEN 1 THEN 'ABCD|fine' WHEN 2 THEN 'esempio|fine' WHEN 3 THEN '(nota)|fine' ELSE '☒|sì,|no' END AS units FROM part""")
+def unit_rules(spark, sf):
+    """0 an empty box, 1 a comb field, 2 a hyphen at a line's end, 3 brackets, 4 a ticked box and punctuation."""
+    m = F.col("p_partkey") % 5
+    line = lambda *t: F.array(*[F.struct(F.lit(x).alias("text"), F.lit(y).alias("y")) for x, y in t])
+    t = (F.when(m == 0, line(("[", 0), ("]", 0), ("voce", 0))).when(m == 1, line(("A", 0), ("B", 0), ("C", 0), ("D", 0), ("fine", 1)))
+         .when(m == 2, line(("esem-", 0), ("pio", 1), ("fine", 1))).when(m == 3, line(("(", 0), ("nota", 0), (")", 0), ("fine", 1)))
+         .otherwise(line(("[", 0), ("x", 0), ("]", 0), ("sì", 1), (",", 1), ("no", 1))))
+    x, y = F.col("pos") * 20.0, F.col("t.y") * 20.0
+    w = table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), F.posexplode(t).alias("pos", "t")).select(
+        "doc", "pos", F.col("t.text").alias("text"), F.col("t.text").alias("key"), F.lit(0).alias("page"),
+        F.when(F.col("t.y") == 0, x).otherwise(x - 60).alias("x0"), F.when(F.col("t.y") == 0, x + 8).otherwise(x - 52).alias("x1"), y.alias("y0"), (y + 10).alias("y1"))
+    u = N.units(w).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("unit", "key"))).alias("u"))
+    return u.select("doc", F.array_join(F.transform("u", lambda v: v["key"]), "|").alias("units"))
+
+
 @query("block_moves")
 def block_moves(spark, sf):
     return D.block_moves(D.exact_matches(_moved(_blocks(spark, sf))))
