@@ -36,16 +36,47 @@ _RARE = re.compile(r"[^\S \n]")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
+class Remembered:
+    """Ids by text, bounded in bytes: two generations of half the bound each, the older one dropped when the younger is full."""
+
+    def __init__(self, most: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.half, self.held = most // 2, 0
+
+    def look(self, wanted: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """What is known of ``wanted``, and what is not."""
+        known, again, new = {}, {}, []
+        for w in wanted:
+            ids = self.young.get(w)
+            if ids is None:
+                ids = self.old.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                again[w] = ids
+            known[w] = ids
+        self.add(again)
+        return known, new
+
+    def add(self, some: dict[str, bytes]) -> None:
+        for text, ids in some.items():
+            self.held += 200 + 2 * len(text) + len(ids)
+            if self.held > self.half:
+                self.old, self.young, self.held = self.young, {}, 0
+            self.young[text] = ids
+
+
 class ChunkTokenizer:
     """Token ids of whole texts by a byte-level BPE, with a cache of space-delimited chunks.
 
     A byte-level BPE never merges across a space before a word, so `` word`` has the same ids in every text. Where
     white space stands next to a space the text is cut only at single spaces between words. A new chunk is put together
-    from its words and punctuation, which the pattern of the vocabulary separates anyway. At most ``cache_size`` chunks
-    are remembered.
+    from its words and punctuation, which the pattern of the vocabulary separates anyway. Chunks and their pieces are remembered
+    in ``cache_bytes`` together; when half of that is full, what has not been asked for since is let go.
     """
 
-    def __init__(self, path: str, cache_size: int = 1_000_000):
+    def __init__(self, path: str, cache_bytes: int = 48 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
@@ -54,37 +85,29 @@ class ChunkTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache: dict[str, bytes] = {}
-        self.piece_cache: dict[str, bytes] = {}
-        self.cache_size = cache_size
-
-    def _learn(self, bodies: list[str]) -> None:
-        """Put the ids of `` `` + body into the cache."""
-        if len(self.cache) + len(bodies) > self.cache_size:
-            self.cache.clear()
+        self.chunks, self.words = Remembered(cache_bytes * 3 // 4), Remembered(cache_bytes // 4)
+
+    def _learn(self, bodies: list[str]) -> dict[str, bytes]:
+        """The ids of `` `` + body for each body."""
         split = [self.pieces(" " + b) for b in bodies]
-        new = list({p for ps in split for p in ps} - self.piece_cache.keys())
-        if len(self.piece_cache) + len(new) > self.cache_size:
-            self.piece_cache.clear()
-            new = list({p for ps in split for p in ps})
+        known, new = self.words.look({p for ps in split for p in ps})
         for p, e in zip(new, self.inner.encode_batch_fast(new, add_special_tokens=False)):
-            self.piece_cache[p] = np.array(e.ids, np.uint32).tobytes()
-        get = self.piece_cache.__getitem__
-        for body, ps in zip(bodies, split):
-            self.cache[body] = b"".join(map(get, ps))
+            known[p] = np.array(e.ids, np.uint32).tobytes()
+        self.words.add({p: known[p] for p in new})
+        get = known.__getitem__
+        return {body: b"".join(map(get, ps)) for body, ps in zip(bodies, split)}
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [_SINGLE.split(t) if "  " in t or " \n" in t or "\n " in t or _RARE.search(t) else t.split(" ") for t in texts]
         heads = [np.array(e.ids, np.uint32).tobytes() for e in self.inner.encode_batch_fast(
             [parts[0] for parts in cut], add_special_tokens=False)]
         bodies = [parts[1:] for parts in cut]
-        wanted = set().union(*bodies)
-        new = list(wanted - self.cache.keys())
-        if len(self.cache) + len(new) > self.cache_size:
-            new = list(wanted)
+        known, new = self.chunks.look(set().union(*bodies))
         if new:
-            self._learn(new)
-        get = self.cache.__getitem__
+            learnt = self._learn(new)
+            self.chunks.add(learnt)
+            known |= learnt
+        get = known.__getitem__
         return [np.frombuffer(h + b"".join(map(get, body)), np.uint32) for h, body in zip(heads, bodies)]
 
 

@@ -17,7 +17,7 @@ TEXTS = ["", " ", "  a  b", "a\n b", "a \nb", "a   b  ", "\n\n x\n\n", "it's  we
 
 
 def test_tokenizer_equals_the_library():
-    t = packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"), cache_size=50)
+    t = packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"), cache_bytes=20_000)
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choice([" ", "\n", "a", "Bc", "1", ".", "\t", "é", "'s"]) for _ in range(60)) for _ in range(200)]
     want = [e.ids for e in t.inner.encode_batch(texts, add_special_tokens=False)]
