@@ -391,7 +391,7 @@ def test_empty_tables(spark, tmp_path, name):
 
 def test_registered():
     names = entry_module.queries()
-    assert set(queries.QUERIES) | {"pipeline"} <= set(names) and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) | {"pipeline"} <= set(names) and len(queries.QUERIES) == 13
     assert set(queries.ORACLES) <= set(entry_module.oracle_sql())
 
 
