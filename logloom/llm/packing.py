@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,47 +69,84 @@ class Remembered:
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts by a byte-level BPE, with a cache of space-delimited chunks.
+    """Token ids of whole texts by a byte-level BPE, with a memory of space-delimited chunks.
 
     A byte-level BPE never merges across a space before a word, so `` word`` has the same ids in every text. Where
-    white space stands next to a space the text is cut only at single spaces between words. A new chunk is put together
-    from its words and punctuation, which the pattern of the vocabulary separates anyway. Chunks and their pieces are remembered
-    in ``cache_bytes`` together; when half of that is full, what has not been asked for since is let go.
+    white space stands next to a space the text is cut only at single spaces between words. A batch's chunks are told apart by
+    Arrow; new ones are encoded many in one text, in which only a chunk's first piece begins with a space.
+    Chunks are remembered in ``cache_bytes``; when half of that is full, what has not been asked for since is let go.
     """
 
-    def __init__(self, path: str, cache_bytes: int = 48 << 20):
+    def __init__(self, path: str, cache_bytes: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.chunks, self.words = Remembered(cache_bytes * 3 // 4), Remembered(cache_bytes // 4)
+        vocabulary = self.inner.get_vocab()
+        self.size = max(vocabulary.values()) + 1
+        self.begins = np.zeros(self.size, bool)
+        self.begins[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
+        self.chunks = Remembered(cache_bytes)
 
-    def _learn(self, bodies: list[str]) -> dict[str, bytes]:
-        """The ids of `` `` + body for each body."""
-        split = [self.pieces(" " + b) for b in bodies]
-        known, new = self.words.look({p for ps in split for p in ps})
-        for p, e in zip(new, self.inner.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, np.uint32).tobytes()
-        self.words.add({p: known[p] for p in new})
-        get = known.__getitem__
-        return {body: b"".join(map(get, ps)) for body, ps in zip(bodies, split)}
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [_SINGLE.split(t) if "  " in t or " \n" in t or "\n " in t or _RARE.search(t) else t.split(" ") for t in texts]
-        heads = [np.array(e.ids, np.uint32).tobytes() for e in self.inner.encode_batch_fast(
-            [parts[0] for parts in cut], add_special_tokens=False)]
-        bodies = [parts[1:] for parts in cut]
-        known, new = self.chunks.look(set().union(*bodies))
+    def _learn(self, bodies: list[str], at_once: int = 2000) -> dict[str, bytes]:
+        """The ids of `` `` + body for each body."""
+        plain, alone = [], []
+        for b in bodies:
+            (alone if not b or " " in b or b[0].isspace() or b[-1].isspace() else plain).append(b)
+        out = {}
+        runs = [plain[i:i + at_once] for i in range(0, len(plain), at_once)]
+        for run, ids in zip(runs, self._ids([" " + " ".join(r) for r in runs])):
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(run) or at[0]:
+                alone += run
+                continue
+            raw, ends = ids.tobytes(), (4 * at).tolist() + [4 * len(ids)]
+            out.update((b, raw[ends[i]:ends[i + 1]]) for i, b in enumerate(run))
+        out.update((b, ids.tobytes()) for b, ids in zip(alone, self._ids([" " + b for b in alone])))
+        return out
+
+    def _joined(self, parts: pa.ListArray) -> list[np.ndarray]:
+        """Ids of texts given as their parts: a head, then chunks that follow a space."""
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        heads = bounds[:-1]
+        coded = parts.values.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        names = coded.dictionary.to_pylist()
+        is_body = np.ones(len(code), bool)
+        is_body[heads] = False
+        wanted = np.unique(code[is_body])
+        known, new = self.chunks.look({names[i] for i in wanted})
         if new:
             learnt = self._learn(new)
             self.chunks.add(learnt)
             known |= learnt
-        get = known.__getitem__
-        return [np.frombuffer(h + b"".join(map(get, body)), np.uint32) for h, body in zip(heads, bodies)]
+        first = self._ids([names[i] for i in code[heads]])
+        pieces = [known[names[i]] for i in wanted] + [h.tobytes() for h in first]
+        place = np.zeros(len(names), np.int64)
+        place[wanted] = np.arange(len(wanted))
+        code = place[code]
+        code[heads] = np.arange(len(heads)) + len(wanted)
+        flat = np.frombuffer(b"".join(pieces), np.uint32)
+        size = np.array([len(x) >> 2 for x in pieces], np.int64)
+        begin, n = (np.cumsum(size) - size)[code], size[code]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begin - (ends - n), n) + np.arange(ends[-1])]
+        return np.split(ids, ends[bounds[1:-1] - 1])
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        odd = [i for i, t in enumerate(texts) if "  " in t or " \n" in t or "\n " in t or _RARE.search(t)]
+        out: list = [None] * len(texts)
+        rest = sorted(set(range(len(texts))).difference(odd))
+        for at, parts in ((odd, lambda: pa.array([_SINGLE.split(texts[i]) for i in odd], pa.list_(pa.string()))),
+                          (rest, lambda: pc.split_pattern(pa.array([texts[i] for i in rest], pa.string()), " "))):
+            if at:
+                for i, ids in zip(at, self._joined(parts())):
+                    out[i] = ids
+        return out
 
 
 @functools.lru_cache(2)
