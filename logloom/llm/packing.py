@@ -1,13 +1,20 @@
 """Lexical retrieval packing: a sharded BM25 index gives each seed document unused neighbours, which fill its window.
 
-Documents are tokenised where they are read and indexed in shards of ``shard_docs`` documents (or ``shard_tokens`` ids), one
-BM25 index per shard. A window of ``window`` ids starts with a seed: the rest of the document that overflowed the window
-before, or else the first unused document. The unused documents that score best against the seed follow until the
-window is full; the last one is cut and goes on in the next window. A window left open at the end of a shard goes on in
-the next shard; the one left at the end of a task is cut into sequences of a power of two, which need no padding.
-
-There is no shuffle: a task packs the documents it reads, whatever their sources, so no key can be hot. Memory is one shard.
-A task's output depends on its input rows alone; sequence ids hold the task's number.
+1. ``tokenised``: documents become ids where they are read, and every task counts in how many of its documents a term
+   stands. ``statistics`` adds the counts up: idf and mean length are those of the whole corpus.
+2. Documents are dealt to shards by their rarest terms: ordered by the ranks of the eight rarest terms that another document
+   holds too, so documents that share rare terms come together from anywhere in the table. The order is a range partitioning, and
+   equal keys are ordered by a hash, so a group of copies of any size is cut like everything else.
+3. A shard is ``shard_docs`` documents (or ``shard_tokens`` ids) in a row of that order. Its inverted index holds postings by term;
+   a seed reads those of its own terms only.
+
+A window of ``window`` ids starts with a seed: the rest of the document that overflowed the window before, or else the first unused
+document. The unused documents that score best against the seed follow until the window is full; the last one is
+cut and goes on in the next window. A window left open at the end of a shard goes on in the next shard; the one left at
+the end of a task is cut into sequences of a power of two, which need no padding. Neighbours are sought in the seed's shard.
+
+Ids are shuffled once. Memory is one shard, and the counts of the vocabulary, which go to all tasks. Sequence ids hold the
+task's number.
 
 Null and empty texts are documents of one id (the end). Ids are passed through, null and repeated ones too; extra columns are
 ignored. Very long texts are cut over many windows. An empty table gives an empty result.
@@ -28,10 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns_checked
+from .common import Scratch, with_columns_checked
 
 END_ID = 0
 K1, B = 1.2, 0.75
+#: The rank of a term that leads nowhere.
+LAST = 0xFFFFFFFF
 #: White space other than the space and the line end: texts with it are cut with more care.
 _RARE = re.compile(r"[^\S \n]")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -155,27 +164,38 @@ def shared_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def bm25(docs: list[np.ndarray]) -> np.ndarray:
-    """Score of every document (column) for every document as query (row); terms are token ids, of the query each once.
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    """Weight of terms that stand in ``df`` of ``n`` documents."""
+    return np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+class ShardIndex:
+    """Postings of one shard's documents: by term, the documents that hold it and what it adds to their scores.
 
-    Terms of a single document score no other one and are left out.
+    Terms are token ids; ``weights`` are their idf over the whole corpus and ``mean`` is the corpus's mean length.
     """
-    n = len(docs)
-    length = np.array([len(d) for d in docs], np.float64)
-    key = np.concatenate([d.astype(np.int64) + (i << 32) for i, d in enumerate(docs)]) if n else np.empty(0, np.int64)
-    pair, tf = np.unique(key, return_counts=True)
-    term, doc = pair & 0xFFFFFFFF, pair >> 32
-    _, column, df = np.unique(term, return_inverse=True, return_counts=True)
-    keep = df[column] > 1
-    used = np.flatnonzero(df > 1)
-    place = np.zeros(len(df), np.int64)
-    place[used] = np.arange(len(used))
-    at, doc, tf = place[column[keep]], doc[keep], tf[keep]
-    idf = np.log(1 + (n - df[used] + 0.5) / (df[used] + 0.5))
-    norm = K1 * (1 - B + B * length / max(length.mean(), 1e-9)) if n else length
-    weight = np.zeros((n, len(used)), np.float32)
-    weight[doc, at] = idf[at] * tf * (K1 + 1) / (tf + norm[doc])
-    return (weight > 0).astype(np.float32) @ weight.T
+
+    def __init__(self, docs: list[np.ndarray], weights: np.ndarray, mean: float):
+        self.n = len(docs)
+        length = np.array([len(d) for d in docs], np.int64)
+        row = np.repeat(np.arange(self.n), length)
+        # equal keys are one posting; their number is the term's frequency in the document
+        key, tf = np.unique(np.concatenate([np.empty(0, np.int64), *docs]).astype(np.int64) << 32 | row, return_counts=True)
+        term, self.doc = key >> 32, key & 0xFFFFFFFF
+        self.part = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1e-9)))
+        self.start = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, np.int64)
+        self.terms = term[self.start]
+        self.stop = np.r_[self.start[1:], len(term)]
+
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """Score of every document for ``query``, whose terms count once each; only their postings are read."""
+        at = np.searchsorted(self.terms, np.unique(query))
+        lo, n = self.start[at], self.stop[at] - self.start[at]
+        ends = np.cumsum(n)
+        if not len(n):
+            return np.zeros(self.n)
+        read = np.repeat(lo - (ends - n), n) + np.arange(ends[-1])
+        return np.bincount(self.doc[read], self.part[read], self.n)
 
 
 class Packer:
@@ -225,62 +245,144 @@ class Packer:
             self.flush(out)
 
 
-def pack_shard(docs: list[tuple], packer: Packer, out: list) -> None:
+def pack_shard(docs: list[tuple], packer: Packer, out: list, weights: np.ndarray, mean: float) -> None:
     """Greedy order of one shard's documents (id, ids) into the packer's stream."""
-    score = bm25([d for _, d in docs])
+    index = ShardIndex([d for _, d in docs], weights, mean)
     unused = np.ones(len(docs), bool)
-    first, seed = 0, None
+    first, seed, score = 0, None, None
     for _ in range(len(docs)):
         if seed is None or packer.fill == 0:
             while not unused[first]:
                 first += 1
-            seed = nxt = first
+            seed, nxt, score = first, first, None
         else:
-            nxt = int(np.where(unused, score[seed], -1).argmax())
+            if score is None:
+                score = np.where(unused, index.scores(docs[seed][1]), -1)
+            nxt = int(score.argmax())
         unused[nxt] = False
+        if score is not None:
+            score[nxt] = -1
         if packer.place(*docs[nxt], out):
-            seed = nxt
+            seed, score = nxt, None
+
 
+def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, ids) of documents and, one per task, rows (terms, counts): how many of its documents hold a term.
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 1024,
-         shard_docs: int = 256, shard_tokens: int = 2_000_000) -> DataFrame:
+    ``ids`` are unsigned numbers of 2 bytes where the vocabulary allows it, else of 4. Term -1 counts documents, -2 their ids.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = shared_tokenizer(tokenizer_path)
+        df, n, total, id_type = np.zeros(tokenizer.size, np.int64), 0, 0, None
+        end = np.array([END_ID], np.uint32)
+
+        def rows(ids: pa.Array, tokens: list, terms: list, counts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.binary()), pa.array(terms, pa.list_(pa.int32())),
+                                               pa.array(counts, pa.list_(pa.int64()))], names=["id", "ids", "terms", "counts"])
+
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [np.concatenate([ids, end]) for ids in tokenizer.encode_batch([t or "" for t in part.column(1).to_pylist()])]
+                length = [len(x) for x in found]
+                held = np.unique(np.repeat(np.arange(len(found)), length) << 32 | np.concatenate(found).astype(np.int64))
+                df += np.bincount(held & 0xFFFFFFFF, minlength=len(df))
+                n, total = n + len(found), total + sum(length)
+                none = [None] * len(found)
+                yield rows(part.column(0), [x.astype(width(tokenizer.size)).tobytes() for x in found], none, none)
+        if n:
+            there = np.flatnonzero(df)
+            yield rows(pa.nulls(1, id_type), [None], [np.r_[there, -1, -2]], [np.r_[df[there], n, total]])
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, ids binary, terms array<int>, counts array<long>")
+
+
+def width(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch in a row, and how many each document has."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), kind), np.array([len(x) for x in raw], np.int64) // np.dtype(kind).itemsize
+
+
+def statistics(table: DataFrame) -> tuple[np.ndarray, int, float]:
+    """Document frequency by term, number of documents and mean length; what comes to the driver is one row per vocabulary entry at most."""
+    counted = (table.where("terms IS NOT NULL").select(F.inline(F.arrays_zip("terms", "counts")))
+               .groupBy("terms").agg(F.sum("counts").alias("n")).collect())
+    by_term = {r["terms"]: r["n"] for r in counted}
+    n, total = by_term.pop(-1, 0), by_term.pop(-2, 0)
+    df = np.zeros(max(by_term, default=0) + 1, np.int64)
+    df[list(by_term)] = list(by_term.values())
+    return df, n, total / max(n, 1)
+
+
+def rarest(ids: np.ndarray, length: np.ndarray, rank: np.ndarray, most: int = 8) -> np.ndarray:
+    """By document the ``most`` smallest ranks of its terms, ascending; missing ones are the largest number."""
+    held = np.unique(np.repeat(np.arange(len(length)), length) << 32 | rank[ids].astype(np.int64))
+    lo = np.searchsorted(held, np.arange(len(length) + 1) << 32)
+    at = lo[:-1, None] + np.arange(most)
+    return np.where(at < lo[1:, None], held[np.minimum(at, max(len(held) - 1, 0))] & 0xFFFFFFFF, LAST) if len(held) else (
+        np.full((len(length), most), LAST))
+
+
+def pack(docs: DataFrame, scratch: Scratch | None = None, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+         window: int = 1024, shard_docs: int = 256, shard_tokens: int = 2_000_000) -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     with_columns_checked(docs, id_col, text_col)
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    kind = docs.schema[id_col].dataType.simpleString()
+    id_type = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    table = scratch.write(tokenised(docs, tokenizer_path, id_col, text_col), "ids")
+    df, n, mean = statistics(table)
+    kind = width(shared_tokenizer(tokenizer_path).size)
+    weights = idf(df, n).astype(np.float32)
+    # terms from the rarest on; one that a single document holds leads to no other and comes last
+    rank = np.empty(len(df), np.uint32)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    rank[df < 2] = LAST
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                raw = rarest(*numbers(batch.column(1), kind), rank).astype(">u4").tobytes()
+                step = len(raw) // batch.num_rows
+                key = pa.array([raw[i:i + step] for i in range(0, len(raw), step)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, key], names=["id", "ids", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = shared_tokenizer(tokenizer_path)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
-        id_type, shard, held = None, [], 0
+        shard, held, doc_type = [], 0, None
 
         def rows(out: list) -> pa.RecordBatch:
             cols = list(zip(*out)) if out else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], doc_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
 
-        end = np.array([END_ID], np.uint32)
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            for i in range(0, batch.num_rows, shard_docs):
-                part = batch.slice(i, shard_docs)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), tokenizer.encode_batch(texts)):
-                    shard.append((doc, np.concatenate([ids, end])))
-                    held += len(ids) + 1
-                    if len(shard) >= shard_docs or held >= shard_tokens:
-                        out: list = []
-                        pack_shard(shard, packer, out)
-                        shard, held = [], 0
-                        yield rows(out)
-        if id_type is not None:
+            doc_type = batch.schema.field(0).type
+            ids, length = numbers(batch.column(1), kind)
+            for doc, own in zip(batch.column(0).to_pylist(), np.split(ids.astype("<u4"), np.cumsum(length)[:-1])):
+                shard.append((doc, own))
+                held += len(own)
+                if len(shard) >= shard_docs or held >= shard_tokens:
+                    out: list = []
+                    pack_shard(shard, packer, out, weights, mean)
+                    shard, held = [], 0
+                    yield rows(out)
+        if doc_type is not None:
             out = []
-            pack_shard(shard, packer, out)
+            pack_shard(shard, packer, out, weights, mean)
             packer.close(out)
             yield rows(out)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
-        run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+    dealt = (table.where("ids IS NOT NULL").select("id", "ids").mapInArrow(keyed, f"id {id_type}, ids binary, key binary")
+             .withColumn("tie", F.xxhash64("ids", "id")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "id"))
+    return dealt.select("id", "ids").mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"{x} long" for x in names[1:]))

@@ -59,7 +59,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_retrieval_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of 1024 ids."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
 
 
 @_query("op2_html_extraction")

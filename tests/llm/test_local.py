@@ -25,12 +25,21 @@ def test_tokenizer_equals_the_library():
     assert [list(x) for x in t.encode_batch(texts)] == want  # from the cache
 
 
+def plain_statistics(docs):
+    """idf by term and mean length, counted one by one."""
+    df = np.zeros(1000, np.int64)
+    for _, d in docs:
+        for term in set(d.tolist()):
+            df[term] += 1
+    return packing.idf(df, len(docs)), sum(len(d) for _, d in docs) / len(docs)
+
+
 def test_packing_covers_every_id_once():
     rng = np.random.default_rng(2)
     docs = [(i, rng.integers(0, 50, rng.integers(1, 40)).astype(np.uint32)) for i in range(60)] + [(99, np.arange(500, dtype=np.uint32))]
     out: list = []
     packer = packing.Packer(64, 7)
-    packing.pack_shard(docs, packer, out)
+    packing.pack_shard(docs, packer, out, *plain_statistics(docs))
     packer.close(out)
     for doc, ids in docs:
         at = 0
@@ -51,7 +60,8 @@ def test_packing_covers_every_id_once():
 
 def test_bm25_against_the_formula():
     docs = [np.array(d, np.uint32) for d in ([1, 2, 2], [2, 3], [1, 1, 4], [5], [])]
-    score = packing.bm25(docs)
+    index = packing.ShardIndex(docs, *plain_statistics(list(enumerate(docs))))
+    score = np.array([index.scores(d) for d in docs])
     avg = sum(map(len, docs)) / len(docs)
     for q in range(len(docs)):
         for d in range(len(docs)):
@@ -70,10 +80,45 @@ def test_retrieval_puts_similar_documents_together():
     a, b = np.arange(100, 120, dtype=np.uint32), np.arange(500, 520, dtype=np.uint32)
     docs = [(0, a), (1, b), (2, b), (3, a)]
     out: list = []
-    packing.pack_shard(docs, packing.Packer(40, 0), out)
+    packing.pack_shard(docs, packing.Packer(40, 0), out, *plain_statistics(docs))
     assert [o[0] for o in out[:2]] == [0, 3]
 
 
+def test_order_of_a_shard_against_brute_force():
+    rng = np.random.default_rng(5)
+    docs = [(i, rng.integers(0, 60, rng.integers(1, 30)).astype(np.uint32)) for i in range(40)]
+    weights, mean = plain_statistics(docs)
+
+    def score(q, d):
+        own = d.tolist()
+        return sum(weights[x] * own.count(x) * 2.2 / (own.count(x) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for x in set(q.tolist()))
+
+    out: list = []
+    packer = packing.Packer(64, 0)
+    packing.pack_shard(docs, packer, out, weights, mean)
+    packer.close(out)
+    left, fill, seed, want = dict(docs), 0, None, []
+    while left:
+        if seed is None or fill == 0:
+            seed = nxt = min(left)
+        else:
+            nxt = max(left, key=lambda i: (round(score(docs[seed][1], left[i]), 9), -i))
+        want.append(nxt)
+        n = len(left.pop(nxt))
+        over = fill + n > 64
+        fill = (fill + n) % 64
+        if over and fill:
+            seed = nxt
+    assert list(dict.fromkeys(o[0] for o in out)) == want
+
+
+def test_rarest_terms_of_documents():
+    rank = np.array([5, 0, 2, packing.LAST, 1], np.uint32)
+    got = packing.rarest(np.array([0, 4, 0, 3, 2, 1, 3], np.uint16), np.array([3, 0, 3, 1]), rank, 2)
+    none = packing.LAST
+    assert got.tolist() == [[1, 5], [none, none], [0, 2], [none, none]]
+
+
 def repeat_words(words):
     grams = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
     inside = set()

@@ -274,6 +274,31 @@ def test_packing_on_spark(spark):
         assert at == len(ids)
 
 
+def test_packing_brings_similar_documents_together_from_both_ends(spark, scratch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(400)]
+    topic = " ".join(f"quokka{i} zyxw" for i in range(12))
+    texts[0] += " " + topic
+    texts[-1] = topic + " " + texts[-1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8, "doc_id")
+    rows = packing.pack(docs, scratch, shard_docs=16).collect()
+    held = {i: {r["sequence_id"] for r in rows if r["doc_id"] == i} for i in (0, 399)}
+    assert held[0] & held[399]
+    assert packing.pack(docs.limit(0), scratch).count() == 0
+    table = scratch.write(packing.tokenised(docs, packing_path(), "doc_id", "text"), "tok")
+    df, n, mean = packing.statistics(table)
+    ids = [set(np.frombuffer(r["ids"], "<u2").tolist()) for r in table.where("ids is not null").collect()]
+    want = Counter(x for s in ids for x in s)
+    assert n == 400 and {i: int(c) for i, c in enumerate(df) if c} == dict(want)
+
+
+def packing_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def test_warc_on_spark(spark, scratch):
     a, b = "<p>é" + "x" * 2000, "y" * 999
     rows = [(1, "u", a), (5, None, a), (3, "v\nw", a), (5, "again", a), (7, "s", b), (8, "s", b), (9, "n", None), (None, "q", "z" * 1500), (4, "q", "z" * 1500)]
