@@ -40,12 +40,13 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-          seed: int = 11) -> DataFrame:
-    """(id, src, size, h): ``src`` marks null sources, ``h`` orders documents."""
+          seed: int = 11, with_rows: bool = False) -> DataFrame:
+    """(id, src, size, h): ``src`` marks null sources, ``h`` orders documents; ``row`` is the whole row, if asked for."""
     with_columns_checked(docs, id_col, text_col, source_col)
     return docs.select(
         F.col(id_col).alias("id"), F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source_col))).alias("src"),
-        word_count(F.col(text_col)).alias("size"), row_hash(docs, id_col, text_col, source_col, seed).alias("h"))
+        word_count(F.col(text_col)).alias("size"), row_hash(docs, id_col, text_col, source_col, seed).alias("h"),
+        *([F.struct(*docs.columns).alias("row")] if with_rows else []))
 
 
 def row_hash(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int = 11) -> Column:
@@ -142,11 +143,13 @@ def split(quotas: DataFrame, scratch: Scratch, shards: int = 16, seed: int = 11)
 
 
 def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        block_words: int = 1024, shards: int = 16, rows_per_bucket: int = 4096, seed: int = 11, **shares) -> DataFrame:
+        block_words: int = 1024, shards: int = 16, rows_per_bucket: int = 4096, seed: int = 11, with_rows: bool = False,
+        **shares) -> DataFrame:
     """One row per row of ``docs``: id, src, h, size, source_size, target and ``draws``.
 
-    ``draws`` is an array of (epoch, block, shard, ord, a, b): words a to b of the document are taken, as part of that
-    block, into that shard, where blocks stand in the order of ``ord``.
+    ``draws`` is an array of (epoch, block, shard, ord, a, b, word): words a to b of the document are taken, as part of that
+    block, into that shard, where blocks stand in the order of ``ord`` and a block's words in the order of ``word``. With
+    ``with_rows`` there are also ``row``, the row of ``docs``, and ``all_blocks``, the number of blocks of all sources.
     """
     table = scratch.write(sized(docs, id_col, text_col, source_col, seed), "sizes")
     n = table.count()
@@ -161,18 +164,21 @@ def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
            .withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "src"), F.greatest("n_blocks", F.lit(1).cast("long"))))
            .withColumn("short", F.col("n_blocks") * block_words - length))
     rank_of = lambda b: F.pmod(b * F.col("mult") + F.col("shift"), F.greatest("n_blocks", F.lit(1).cast("long")))
+    src = src.withColumn("all_blocks", F.sum("n_blocks").over(Window.partitionBy()))
     src = scratch.write(src.withColumn("short_rank", rank_of(F.col("n_blocks") - 1)), "sources")
     blocks = src.select("src", F.least(F.col("n_blocks"), F.ceil((F.col("quota") + F.col("short")) / block_words)).cast("long").alias("blocks"))
     src = scratch.write(src.join(split(blocks, scratch, shards, seed), "src"), "shards")
 
     table = table.withColumn("bucket", bucket)
+    rows = sized(docs, id_col, text_col, source_col, seed, True).withColumn("bucket", bucket) if with_rows else table
+    carried = ["row"] if with_rows else []
     before = Window.partitionBy("src").orderBy("bucket")
     sums = (table.groupBy("src", "bucket").agg(F.sum("size").alias("s"))
             .select(F.col("src").alias("s_src"), F.col("bucket").alias("s_bucket"), (F.sum("s").over(before) - F.col("s")).alias("base")))
-    inside = Window.partitionBy("src", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (table.join(sums, (F.col("src") == F.col("s_src")) & (F.col("bucket") == F.col("s_bucket")))
+    inside = Window.partitionBy("src", "bucket").orderBy("h", "size", *(F.xxhash64(c) for c in carried)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (rows.join(sums, (F.col("src") == F.col("s_src")) & (F.col("bucket") == F.col("s_bucket")))
               .withColumn("at", F.col("base") + F.sum("size").over(inside) - F.col("size"))
-              .select("id", "src", "h", "size", "at"))
+              .select("id", "src", "h", "size", "at", *carried))
     joined = placed.join(src, "src", "left")
 
     def epoch(e: int) -> Column:
@@ -186,14 +192,16 @@ def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
             v = F.least(last, (b + 1) * block_words, F.col("quota") - start + b * block_words)
             shard = F.size(F.filter("bounds", lambda x: x <= rank)) - 1
             return F.struct(F.lit(e).alias("epoch"), b.alias("block"), F.least(shard, F.lit(shards - 1)).alias("shard"),
-                            F.xxhash64(F.lit(seed + 1), F.col("src"), b).alias("ord"), (u - first).alias("a"), (v - first).alias("b"))
+                            F.xxhash64(F.lit(seed + 1), F.col("src"), b).alias("ord"), (u - first).alias("a"), (v - first).alias("b"),
+                            u.alias("word"))
 
         some = F.sequence(F.floor(first / block_words), F.floor((last - 1) / block_words))
         return F.filter(F.transform(some, piece), lambda x: x["b"] > x["a"])
 
     draws = F.when(F.col("size") > 0, F.concat(*(epoch(e) for e in range(most)))).otherwise(F.expr(
-        "cast(array() as array<struct<epoch:int,block:bigint,shard:int,ord:bigint,a:bigint,b:bigint>>)"))
-    return joined.select(F.col("id").alias(id_col), "src", "h", "size", "source_size", "target", draws.alias("draws"))
+        "cast(array() as array<struct<epoch:int,block:bigint,shard:int,ord:bigint,a:bigint,b:bigint,word:bigint>>)"))
+    return joined.select(F.col("id").alias(id_col), "src", "h", "size", "source_size", "target", draws.alias("draws"),
+                         *(["row", "all_blocks"] if with_rows else []))
 
 
 def taken(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -202,22 +210,25 @@ def taken(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
         "draws", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"]).alias("taken"))
 
 
-def excerpts(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             seed: int = 11) -> DataFrame:
-    """The mix as rows of ``docs``: per document and epoch one row with the words taken, in the document's order.
+def mixture(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+            shards: int = 16, blocks_per_part: int = 256, seed: int = 11, **options) -> DataFrame:
+    """The mix as rows of ``docs``: a row per document and block with the words taken, shard by shard.
 
-    White space after a taken word stays. The column ``n_chars``, where there is one, is the length of the new text.
-    Rows equal in id, source and text share one plan.
+    A shard is cut by ``ord`` into parts of about ``blocks_per_part`` blocks, and a part's rows lie together in the order of its
+    blocks, so the draws decide where and in which order words stand. White space after a taken word stays. The
+    column ``n_chars``, where there is one, is the length of the new text. Repeated rows have a plan each.
     """
-    h, draws, epoch, parts = (free_name(docs, x) for x in ("h", "draws", "epoch", "parts"))
-    plan = mixed.where(F.size("draws") > 0).select(F.col("h").alias(h), F.col("draws").alias(draws)).dropDuplicates([h])
-    got = docs.withColumn(h, row_hash(docs, id_col, text_col, source_col, seed)).join(plan, h)
-    got = got.withColumn(epoch, F.explode(F.array_distinct(F.transform(draws, lambda x: x["epoch"])))).withColumn(
-        parts, F.regexp_extract_all(F.col(text_col), F.lit(f"[^{GAP}]++[{GAP}]*+"), F.lit(0)))
-    mine = F.array_sort(F.transform(F.filter(draws, lambda x: x["epoch"] == F.col(epoch)), lambda x: F.struct(
-        x["a"].cast("int").alias("a"), x["b"].cast("int").alias("b"))))
-    text = F.array_join(F.flatten(F.transform(mine, lambda x: F.slice(F.col(parts), x["a"] + 1, x["b"] - x["a"]))), "")
-    got = got.withColumn(text_col, text)
+    mixed = mix(docs, scratch, id_col, text_col, source_col, shards=shards, seed=seed, with_rows=True, **options)
+    shard, order, word, part = (free_name(docs, x) for x in ("shard", "ord", "word", "part"))
+    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(f"[^{GAP}]++[{GAP}]*+"), F.lit(0))
+    parts = F.ceil(F.col("all_blocks") / (shards * blocks_per_part))
+    cut = bind(words, lambda ws: F.transform("draws", lambda x: F.struct(
+        x["shard"].alias("shard"), x["ord"].alias("ord"), x["word"].alias("word"),
+        F.floor((x["ord"] / float(1 << 64) + 0.5) * parts).alias("part"),
+        F.array_join(F.slice(ws, x["a"].cast("int") + 1, (x["b"] - x["a"]).cast("int")), "").alias("text"))))
+    got = mixed.where(F.size("draws") > 0).select("row", F.explode(cut).alias("piece"))
+    got = got.select(*((F.col("piece")["text"] if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns), *(
+        F.col("piece")[x].alias(y) for x, y in (("shard", shard), ("ord", order), ("word", word), ("part", part))))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+    return got.repartition(shard, part).sortWithinPartitions(shard, order, word).select(*docs.columns)

@@ -235,14 +235,39 @@ def test_mixing_reaches_its_targets(spark, scratch):
     assert len({d[:2] for d in draws}) == len(set(draws))  # a block is in one shard, at one place
     per = Counter(d[2] for d in set(draws))
     assert set(per) == {0, 1, 2, 3} and max(per.values()) - min(per.values()) <= 1
-    out = mixing.excerpts(df, mixed)
+    out = mixing.mixture(df, scratch, block_words=16, shards=4, rows_per_bucket=4)
     assert out.columns == df.columns
     words = lambda t: len(t.split())
     by_doc = Counter()
     for r in out.collect():
         by_doc[r["doc_id"]] += words(r["text"])
         assert r["n_chars"] == len(r["text"])
-    assert sum(by_doc.values()) == sum(sums.values())
+    assert by_doc == Counter({r["doc_id"]: r["taken"] for r in rows if r["taken"]})
+
+
+def test_mixture_of_repeated_rows_and_the_order_of_shards(spark, scratch):
+    rows = [(1, "a", "k", "one two three four five six seven")] * 7 + [(i, "b", "x", f"w{i} " * (i % 9)) for i in range(2, 60)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, shard string, text string")
+    options = dict(block_words=8, shards=4, rows_per_bucket=4)
+    mixed = scratch.write(mixing.mix(df, scratch, **options))
+    taken = Counter()
+    for r in mixing.taken(mixed).collect():
+        taken[r["doc_id"]] += r["taken"]
+    out = mixing.mixture(df, scratch, **options)
+    got = Counter()
+    for r in out.collect():
+        got[r["doc_id"]] += len(r["text"].split())
+    assert out.columns == df.columns and got == +taken
+    # one partition: the rows stand in the order of shards and draws
+    one = mixing.mixture(df.where("source = 'b'"), scratch, **options)
+    plan = mixing.mix(df.where("source = 'b'"), scratch, **options).collect()
+    want = [(d["shard"], d["ord"], d["word"], r["doc_id"], d["b"] - d["a"]) for r in plan for d in r["draws"]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        parts = [(r["p"], r["doc_id"], len(r["text"].split())) for r in one.withColumn("p", F.spark_partition_id()).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    assert [x[1:] for x in parts] == [x[3:] for x in sorted(want)] and len({x[0] for x in parts}) == 1
 
 
 def test_hypergeometric_is_exact(spark):
