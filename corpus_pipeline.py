@@ -47,13 +47,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; a document taken twice comes twice."""
-    return mixing.excerpts(docs, mixing.mix(docs, Scratch(spark, "stage9")))
+    """What the mix takes, a row per document and block, shard by shard; a document taken twice comes twice."""
+    return mixing.mixture(docs, Scratch(spark, "stage9"))
 
 
 def retrieval_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, Scratch(spark, "stage8"))
 
 
 STAGES: list[tuple[str, Stage]] = [
