@@ -3,6 +3,8 @@
 import gzip
 import io
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -206,6 +208,98 @@ def test_an_article_does_not_replace_the_rules():
     assert html_main.main_text(f"<article><p>{text * 2}</p></article>{links}<p>{text}</p>{links}") == (text * 2).strip()
 
 
+def test_unclosed_parts_and_stray_quotes():
+    assert html_main.main_text("<div><nav><ul><li>Menu</div><div><article><p>It is the text.</p></article></div>") == "It is the text."
+    assert html_main.main_text("<nav><ul><li><a href=x>Menu</a></ul><article><h1>Head</h1><p>Body") == "Head\nBody"
+    assert html_main.main_text("<article><p title=it's>One &amp; two <b class='x'>three</b></p></article>") == "One & two three"
+    assert html_main.main_text("<article><p>a < b and </3 c<span></p><p>More <a href='cut off") == "a < b and </3 c\nMore"
+    assert html_main.main_text("<article><svg><p>One of the words</p><p>Another</article>") == "One of the words\nAnother"
+    assert html_main.main_text("<table><tr><td><div>out</td></div><td><article><p>It is in</article></table>") == "It is in"
+    japanese = "\u3053\u308c\u306f\u65e5\u672c\u8a9e\u306e\u9577\u3044\u6587\u7ae0\u3067\u3059\u3002" * 12
+    assert html_main.main_text(f"<div><a href=x>\u30db\u30fc\u30e0</a></div><p>{japanese}</p>") == japanese
+
+
+def test_tags_are_read_in_linear_time():
+    for piece in ("<a b='", "<a b='>'", "<svg>", "<a ", "<", "<div>", "</x>", "<span><nav>", "<b></p>"):
+        took = []
+        for n in (10_000, 80_000):
+            start = time.process_time()
+            html_main.main_text(piece * n)
+            took.append(time.process_time() - start)
+        assert took[1] < 40 * took[0] + 0.5, piece
+
+
+def plain_labels(blocks):
+    """The two passes restated block by block: each looks outwards for its nearest decided neighbours."""
+    def first(b):
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        stops = sum(w in html_main.STOP_WORDS for w in words) / max(1, len(words))
+        if b.links / len(b.text) > 0.33:
+            return "bad"
+        if len(b.text) < 70:
+            return "bad" if b.links else "near" if b.article and stops >= 0.16 else "open"
+        if stops >= 0.08:
+            return "good" if stops >= 0.16 and len(b.text) > 200 else "near"
+        return "doubt" if b.article else "bad"
+
+    def around(labels, i):
+        out = []
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(blocks) and labels[j] not in ("good", "bad"):
+                if blocks[i].article and not blocks[j].article:
+                    break
+                j += step
+            found = 0 <= j < len(blocks) and (blocks[j].article or not blocks[i].article)
+            out.append(labels[j] if found and labels[j] in ("good", "bad") else "")
+        return out
+
+    labels = [first(b) for b in blocks]
+    article = any(b.article for b in blocks)
+    new = list(labels)
+    for i, b in enumerate(blocks):
+        if labels[i] == "near":
+            x = around(labels, i)
+            good = x in (["good", "good"], ["good", ""], ["", "good"]) if article and not b.article else x != ["bad", "bad"]
+            new[i] = "good" if good else "bad"
+    labels, done = new, list(new)
+    for i, b in enumerate(blocks):
+        x = around(labels, i)
+        if labels[i] == "doubt":
+            done[i] = "good" if "good" in x else "bad"
+        elif labels[i] == "open" and x[0] and x[0] == x[1]:
+            done[i] = x[0]
+        elif labels[i] == "open" and b.heading and x[1]:
+            done[i] = x[1]
+        elif labels[i] == "open":
+            done[i] = "good" if b.article and ("good" in x or x == ["", ""]) else "bad"
+    return done
+
+
+def test_two_passes_equal_a_plain_restatement():
+    rng = random.Random(3)
+    words = "the of and to market river stone camera walked under bridge is lens".split()
+    changed = 0
+    for _ in range(1500):
+        blocks = []
+        for _ in range(rng.randrange(12)):
+            pool = words if rng.random() < 0.6 else words[4:]
+            text = " ".join(rng.choice(pool) for _ in range(rng.choice([2, 6, 14, 25, 60])))
+            blocks.append(html_main.Block(text, rng.choice([0, 0, 0, len(text) // 4, len(text)]), rng.random() < 0.6, rng.random() < 0.2))
+        want = plain_labels(blocks)
+        assert [b.label for b in html_main.classify(blocks)] == want
+        changed += len(set(want)) > 1
+    assert changed > 300
+
+
+def test_stop_words_decide(monkeypatch):
+    text = "The people of the town went to the market and it was as good as they had said it would be for all of them that day. "
+    page = f"<article><h1>Head of the day</h1><p>{text * 2}</p><p>Short one.</p><p>{text}</p></article>"
+    assert html_main.main_text(page).count("\n") == 3
+    monkeypatch.setattr(html_main, "STOP_WORDS", frozenset())
+    assert "people" not in html_main.main_text(page)
+
+
 def test_signatures_find_every_link():
     """Whatever the edit, linked sets share a signature or a one-deletion signature, and pass the counting filter."""
     rng = np.random.default_rng(5)
