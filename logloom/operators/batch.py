@@ -14,8 +14,6 @@ from .ranking import first_spelling, last_by, top_per_group
 from .search import newest_first
 
 NO_PACKAGE = "_senza_pacchetto"
-MAX_PER_ENV = 8
-MAX_CANDIDATES = 16
 RETRY_STATUSES = ("failed", "no_call", "cancelled")
 STATUS_ORDER = ("ok", "html_skipped", "no_call", "failed", "cancelled")
 AUTOMATIC_HEADERS = ("template_key", "current_timestamp", "correlation_id", "Postman-Token")
@@ -27,6 +25,24 @@ CLIENT_HEADERS = (
     "trailer", "upgrade", "proxy-authenticate", "proxy-authorization", "expect",
 )
 
+# What is said of headers and generators that cannot be used.
+SAY = {
+    "no_name": "manca il nome dell'intestazione",
+    "bad_name": "' non è un nome di intestazione valido",
+    "client_name": "' è gestita dal client HTTP e non si può impostare",
+    "value_of": "il valore dell'intestazione '",
+    "line_end": "' non può andare a capo",
+    "odd_value": "' contiene caratteri non ammessi (solo lettere accentate europee, niente simboli o emoji)",
+    "repeated_header": "' è duplicata (il confronto ignora maiuscole/minuscole)",
+    "no_generator_name": "manca il nome del generatore",
+    "prod_name": "il nome non può contenere 'prod' o 'prd' (la produzione non è mai configurabile)",
+    "prod_url": "l'URL non può contenere 'prod' o 'prd' (la produzione non è mai configurabile)",
+    "ascii_url": "l'URL può contenere solo caratteri ASCII",
+    "https_url": "l'URL deve iniziare con https://",
+    "host_url": "l'URL deve indicare un host",
+    "repeated_name": "nome duplicato (il confronto ignora maiuscole/minuscole)",
+}
+
 
 # ------------------------------------------------------------- package list ---
 
@@ -89,21 +105,24 @@ def _hit_struct(prefix: str = "") -> Column:
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in HIT])
 
 
-def spread_days(days: Column, most: int = MAX_PER_ENV) -> Column:
-    """From days newest first, the newest and then the first at least 1, 3, 7, 15… days older."""
+def spread_days(days: Column, most: int | None = None) -> Column:
+    """From days newest first, the newest and then the first at least 1, 3, 7, 15… days older; at most ``most``."""
     empty = F.array().cast("array<date>")
 
     def step(kept: Column, day: Column) -> Column:
         n = F.size(kept)
         far = F.datediff(F.get(kept, F.lit(0)), day) >= F.pow(F.lit(2.0), n) - 1
-        return F.when((n < most) & ((n == 0) | far), F.concat(kept, F.array(day))).otherwise(kept)
+        room = F.lit(True) if most is None else n < most
+        return F.when(room & ((n == 0) | far), F.concat(kept, F.array(day))).otherwise(kept)
 
     return F.aggregate(days, empty, step)
 
 
-def key_calls(targets: DataFrame, entries: DataFrame, envs: Sequence[str]) -> DataFrame:
+def key_calls(targets: DataFrame, entries: DataFrame, envs: Sequence[str], per_env: int | None = None, most: int | None = None) -> DataFrame:
     """Newest call of each key over the envs in order, with alternates spread back in time.
 
+    ``per_env`` days of an env and ``most`` calls of a key are kept, all where they are not given.
+
     The entries are reduced to the first call of each (key, env, day) by a group-limited top 1
     before anything is gathered; what is gathered per key is bounded by the calendar.
     """
@@ -117,16 +136,18 @@ def key_calls(targets: DataFrame, entries: DataFrame, envs: Sequence[str]) -> Da
     )
     daily = top_per_group(rows, ["key_lc", "env", "day"], [F.desc_nulls_last("request_date"), F.desc("seq")])
     days = daily.groupBy("key_lc", "env").agg(F.sort_array(F.collect_list("day"), asc=False).alias("days"))
-    kept = days.select("key_lc", "env", F.posexplode(spread_days(F.col("days"))).alias("pos", "day"))
+    kept = days.select("key_lc", "env", F.posexplode(spread_days(F.col("days"), per_env)).alias("pos", "day"))
     picked = daily.join(kept, ["key_lc", "env", "day"]).withColumn("env_no", order)
-    cand = top_per_group(picked, ["key_lc"], [F.asc("env_no"), F.asc("pos")], MAX_CANDIDATES, out="rn")
-    calls = cand.groupBy("key_lc").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", _hit_struct().alias("hit")))), lambda s: s["hit"]).alias("hits"))
+    # a calendar bounds the calls of a key: the spread keeps a few of each env
+    calls = picked.groupBy("key_lc").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("env_no", "pos", _hit_struct().alias("hit")))), lambda s: s["hit"]).alias("hits"))
+    if most is not None:
+        calls = calls.withColumn("hits", F.slice("hits", 1, most))
     head = F.get("hits", F.lit(0))
     return wanted.join(calls, "key_lc", "left").select(
         "ord", F.coalesce(head["template_key"], F.trim("value")).alias("key"), "folders", head["fdi"].alias("fdi"),
         head.alias("hit"), F.lit(False).alias("exact"),
-        F.coalesce(F.slice("hits", 2, MAX_CANDIDATES), F.array().cast("array<" + _hit_type() + ">")).alias("alternates"))
+        F.coalesce(F.slice("hits", F.lit(2), F.size("hits")), F.array().cast("array<" + _hit_type() + ">")).alias("alternates"))
 
 
 def _hit_type() -> str:
@@ -171,13 +192,14 @@ def sendable(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("hit").isNotNull() & (F.trim("key") != ""))
 
 
-def resolve(targets: DataFrame, entries: DataFrame, source_env: str, fallback_envs: Sequence[str] = ()) -> DataFrame:
-    """All targets to calls, in target order (an FDI's calls newest first)."""
+def resolve(targets: DataFrame, entries: DataFrame, source_env: str, fallback_envs: Sequence[str] = (), per_env: int | None = None,
+            most: int | None = None) -> DataFrame:
+    """All targets to calls, in target order (an FDI's calls newest first); ``per_env`` and ``most`` as in ``key_calls``."""
     envs = [source_env] + [e for e in dict.fromkeys(fallback_envs) if e.lower() != source_env.lower()]
     cols = ["ord", "pos", "key", "folders", "fdi", "hit", "exact", "alternates"]
     zero = F.lit(0).alias("pos")
     parts = [
-        key_calls(targets, entries, envs).withColumn("pos", F.lit(0)).select(*cols),
+        key_calls(targets, entries, envs, per_env, most).withColumn("pos", F.lit(0)).select(*cols),
         fdi_calls(targets, entries, source_env).select(*cols),
     ]
     if {"env", "day", "seq"} <= set(targets.columns):
@@ -363,6 +385,13 @@ def header_table(profile: DataFrame) -> DataFrame:
         F.coalesce("p.name", "b.name").alias("name"), F.coalesce("p.value", F.lit("")).alias("value"))
 
 
+def stable_uuid(*parts: Column | str) -> Column:
+    """A UUID made from its parts: the same again when a task runs again, another one for another run's token or time."""
+    h = F.md5(F.to_json(F.struct(*[(F.col(p) if isinstance(p, str) else p).cast("string").alias(f"p{i}") for i, p in enumerate(parts)])))
+    cut = lambda at, n: F.substring(h, at, n)
+    return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-4"), cut(14, 3), F.lit("-8"), cut(18, 3), F.lit("-"), cut(21, 12))
+
+
 def build_headers(rows: DataFrame, calls: DataFrame, now_ms: Column, token: str) -> DataFrame:
     """Headers of each call: last row per name wins, automatic empties computed.
 
@@ -375,7 +404,7 @@ def build_headers(rows: DataFrame, calls: DataFrame, now_ms: Column, token: str)
     computed = (
         F.when(F.col("name_lc") == "template_key", F.trim("key"))
         .when(F.col("name_lc") == "current_timestamp", now_ms.cast("string"))
-        .when(F.col("name_lc") == "correlation_id", F.uuid())
+        .when(F.col("name_lc") == "correlation_id", stable_uuid("owner", "call_ord", "key", now_ms, F.lit(token)))
         .when(F.col("name_lc") == "postman-token", F.lit(token)))
     j = calls.join(last, "owner")
     value = F.when((F.col("value") == "") & computed.isNotNull(), computed).otherwise(F.col("value"))
@@ -391,7 +420,7 @@ def resolve_headers(layers: DataFrame, cases: DataFrame, token: str) -> DataFram
     corr = (
         F.when(F.col("correlation") == "source", F.nullif(F.trim("source_fdi"), F.lit("")))
         .when(F.col("correlation") == "fixed", F.nullif(F.trim("correlation_value"), F.lit("")))
-        .otherwise(F.uuid()))
+        .otherwise(stable_uuid("case_id", "key", "now_ms", F.lit(token))))
     auto = cases.select("case_id", F.inline(F.array(
         F.struct(F.lit(0).alias("ord"), F.lit("current_timestamp").alias("name"), F.col("now_ms").cast("string").alias("value")),
         F.struct(F.lit(1).alias("ord"), F.lit("template_key").alias("name"), F.col("key").alias("value")),
@@ -422,15 +451,14 @@ def header_problems(rows: DataFrame) -> DataFrame:
         return F.concat(F.lit(before), name, F.lit(after))
 
     probs = F.array_compact(F.array(
-        F.when(F.trim("name") == "", "manca il nome dell'intestazione")
-        .when(~name.rlike(HEADER_NAME), say("'", "' non è un nome di intestazione valido"))
-        .when(F.lower(name).isin(*CLIENT_HEADERS), say("'", "' è gestita dal client HTTP e non si può impostare")),
-        F.when(value.rlike(r"[\r\n]"), say("il valore dell'intestazione '", "' non può andare a capo"))
+        F.when(F.trim("name") == "", SAY["no_name"])
+        .when(~name.rlike(HEADER_NAME), say("'", SAY["bad_name"]))
+        .when(F.lower(name).isin(*CLIENT_HEADERS), say("'", SAY["client_name"])),
+        F.when(value.rlike(r"[\r\n]"), say(SAY["value_of"], SAY["line_end"]))
         .when(value.rlike(r"[^\x00-\xff]"), say(
-            "il valore dell'intestazione '", "' contiene caratteri non ammessi "
-            "(solo lettere accentate europee, niente simboli o emoji)")),
+            SAY["value_of"], SAY["odd_value"])),
         F.when((F.trim("name") != "") & (F.col("ord") > F.col("_first")), F.concat(
-            F.lit("'"), name, F.lit("' è duplicata (il confronto ignora maiuscole/minuscole)"))),
+            F.lit("'"), name, F.lit(SAY["repeated_header"]))),
     ))
     return j.withColumn("problems", probs).drop("_k", "_first")
 
@@ -447,13 +475,13 @@ def generator_problems(rows: DataFrame) -> DataFrame:
     first = rows.where(name != "").groupBy(key.alias("_k")).agg(F.min("ord").alias("_first"))
     j = rows.withColumn("_k", key).join(first, "_k", "left")
     probs = F.array_compact(F.array(
-        F.when(name == "", "manca il nome del generatore"),
-        F.when(is_prod_like(F.col("name")), "il nome non può contenere 'prod' o 'prd' (la produzione non è mai configurabile)"),
-        F.when(is_prod_like(url), "l'URL non può contenere 'prod' o 'prd' (la produzione non è mai configurabile)")
-        .when(url.rlike(r"[^\x00-\x7f]"), "l'URL può contenere solo caratteri ASCII")
-        .when(~url.rlike(r"(?i)^https:"), "l'URL deve iniziare con https://")
-        .when(~url.rlike(r"(?i)^https://[^/?#]+"), "l'URL deve indicare un host"),
-        F.when((name != "") & (F.col("ord") > F.col("_first")), "nome duplicato (il confronto ignora maiuscole/minuscole)"),
+        F.when(name == "", SAY["no_generator_name"]),
+        F.when(is_prod_like(F.col("name")), SAY["prod_name"]),
+        F.when(is_prod_like(url), SAY["prod_url"])
+        .when(url.rlike(r"[^\x00-\x7f]"), SAY["ascii_url"])
+        .when(~url.rlike(r"(?i)^https:"), SAY["https_url"])
+        .when(~url.rlike(r"(?i)^https://[^/?#]+"), SAY["host_url"]),
+        F.when((name != "") & (F.col("ord") > F.col("_first")), SAY["repeated_name"]),
     ))
     return j.withColumn("problems", probs).drop("_k", "_first")
 

@@ -297,10 +297,3 @@ def overall_attention(badged: DataFrame, by: list[str] | None = None) -> DataFra
         F.when(F.bool_or(a == "bad"), "bad").when(F.bool_or(a == "warn"), "warn").otherwise("").alias("level"),
         F.count_if(a != "").alias("n_attention"),
         F.bool_or(F.col("badge").isin("running", "queued")).alias("running"))
-
-
-def day_sentences(cov: DataFrame, kind: str) -> DataFrame:
-    """Per env the days of a kind: count and the list, ascending (a calendar bounds the list)."""
-    return cov.where(F.col("kind") == kind).groupBy("env").agg(
-        F.count("*").alias("n"),
-        F.array_join(F.transform(F.array_sort(F.collect_set("day")), lambda d: F.date_format(d, "dd/MM/yyyy")), ", ").alias("days"))

@@ -355,10 +355,6 @@ def last_run(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
     return last.withColumn("outcome", word)
 
 
-def log_tail(lines: DataFrame, n: int) -> DataFrame:
-    return top_per_group(lines, ["log"], [F.desc("line_no")], n)
-
-
 def day_sentences(cov: DataFrame, kind: str, shown: int = 5) -> DataFrame:
     """Per env: how many days of a kind, the first ones by name, and how many more."""
     d = cov.where(F.col("kind") == kind).groupBy("env").agg(F.array_sort(F.collect_set("day")).alias("days"))

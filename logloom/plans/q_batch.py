@@ -102,7 +102,7 @@ SELECT t.ord, coalesce(h.key, t.value) AS key, h.seq, coalesce(every, '') AS tri
 
 @query("newest_call_per_key", SPREAD)
 def newest_call_per_key(spark, sf):
-    c = B.key_calls(_key_targets(spark, sf), entries(spark, sf), ["coll", "svil"])
+    c = B.key_calls(_key_targets(spark, sf), entries(spark, sf), ["coll", "svil"], per_env=8, most=16)
     tried = F.array_join(F.transform(F.concat(F.array_compact(F.array("hit")), "alternates"), lambda h: F.concat_ws(" ", h["env"], h["day"].cast("string"))), "|")
     return c.select("ord", "key", F.col("hit.seq").alias("seq"), tried.alias("tried"))
 
@@ -143,7 +143,7 @@ UNION ALL SELECT 'fdi', (SELECT 2 * count(*) FROM (SELECT fdi FROM c GROUP BY fd
    (SELECT count(*) FROM (SELECT DISTINCT fdi, lower(template_key) FROM c) x(fdi, lk) JOIN (SELECT fdi FROM c GROUP BY fdi HAVING min(event_id) % 2 = 1) y ON x.fdi = y.fdi)""")
 def resolved_targets(spark, sf):
     t = _key_targets(spark, sf).unionByName(_fdi_targets(spark, sf), allowMissingColumns=True)
-    calls = B.resolve(t, entries(spark, sf), "coll", ["svil", "coll"])
+    calls = B.resolve(t, entries(spark, sf), "coll", ["svil", "coll"], per_env=8, most=16)
     kind = F.when(F.size("folders") == 1, F.when(F.get("folders", F.lit(0)) == "x", "key").otherwise("fdi"))
     return calls.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count("hit").alias("n_hits"))
 
@@ -166,7 +166,7 @@ def _answers(spark, sf):
 , t AS (SELECT lower(template_key) AS lk, template_key AS value FROM calls GROUP BY 1, 2)
 SELECT count(*) AS n_calls FROM t WHERE lk NOT IN (SELECT key_lc FROM hk)""")
 def calls_to_send(spark, sf):
-    calls = B.key_calls(_key_targets(spark, sf), entries(spark, sf), ["coll", "svil"])
+    calls = B.key_calls(_key_targets(spark, sf), entries(spark, sf), ["coll", "svil"], per_env=8, most=16)
     return B.count_calls(calls, B.html_memory(_answers(spark, sf)))
 
 

@@ -24,12 +24,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, as the reader splits it. One that is a single split is spread over the cores: it is small."""
+    """A given table, as the reader splits it; text tables are dealt to ``logloom.spread`` tasks where the session sets that."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in SPREAD and df.rdd.getNumPartitions() == 1:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    spread = int(spark.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(spread) if spread and name in SPREAD else df
 
 
+#: For files of one row group, which one task would read alone. Off unless set.
+SPREAD_CONF = "logloom.spread"
 # Tables whose rows carry texts that are parsed or matched row by row.
 SPREAD = ("events", "documents", "pages")
