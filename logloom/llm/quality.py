@@ -28,7 +28,7 @@ MAX_REPEAT_PERCENT = 50
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Statistics the forest splits on. Repeated lines and words are left to the base rule: good texts hold them too.
-FEATURES = ("symbol_share", "upper_share", "mark_share", "mean_word")
+FEATURES = ("symbol_share", "upper_share", "mark_share", "log_mean_word")
 
 
 def _repeat_words(ids: np.ndarray) -> int:
@@ -77,7 +77,7 @@ def feature_matrix(s: np.ndarray) -> np.ndarray:
     n, chars, symbols, _, _, upper, marks = s.T.astype(np.float64)
     one = lambda x: np.maximum(x, 1)
     return np.stack([
-        symbols / one(chars), upper / one(chars), marks / one(chars), np.minimum(chars / one(n), 40),
+        symbols / one(chars), upper / one(chars), marks / one(chars), np.log1p(chars / one(n)),
     ], 1)
 
 
