@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import within
+from ..session import by_merge
+from .intervals import marked, within
 
 # Bands of a page (share of its height), ratios and gaps.
 HEAD_BAND, FOOT_BAND = 0.20, 0.70
@@ -127,7 +128,7 @@ def zone_words(words: DataFrame, marks: DataFrame) -> DataFrame:
     for i, z in reversed(list(enumerate(("filigrana", "spalla_sx", "spalla_dx", "numero_pagina", "titolo", "header", "footer")))):
         order = F.when(F.col("zone") == z, i).otherwise(order)
     best = marks.groupBy("doc", "page", "pos").agg(F.min_by("zone", order).alias("zone"))
-    return words.join(best, ["doc", "page", "pos"], "left").withColumn("zone", F.coalesce("zone", F.lit("corpo")))
+    return marked(words, best, ["doc", "page", "pos"], "zone").withColumn("zone", F.coalesce("zone", F.lit("corpo")))
 
 
 def zone_boxes(words: DataFrame) -> DataFrame:
@@ -167,10 +168,10 @@ def zone_differences(changes: DataFrame) -> DataFrame:
 def geometry(words: DataFrame) -> DataFrame:
     """Adds the gap to the next word of the line, the line's typical space and the room to the line's edge."""
     w = Window.partitionBy("doc", "page", "line").orderBy("x0")
-    g = words.withColumn("gap", F.lead("x0").over(w) - F.col("x1"))
-    per = g.groupBy("doc", "page", "line").agg(F.percentile("gap", F.lit(0.5)).alias("space"))
-    edge = words.groupBy("doc", "page").agg(F.max("x1").alias("edge"))
-    return g.join(per, ["doc", "page", "line"]).join(edge, ["doc", "page"]).withColumn("room", F.coalesce("gap", F.col("edge") - F.col("x1")))
+    g = words.dropna(subset=["doc", "page", "line"]).withColumn("gap", F.lead("x0").over(w) - F.col("x1"))
+    g = g.withColumn("space", F.percentile("gap", F.lit(0.5)).over(Window.partitionBy("doc", "page", "line"))).withColumn(
+        "edge", F.max("x1").over(Window.partitionBy("doc", "page")))
+    return g.withColumn("room", F.coalesce("gap", F.col("edge") - F.col("x1")))
 
 
 def holes(geo: DataFrame, char_width: DataFrame) -> DataFrame:
@@ -275,13 +276,13 @@ def hard_bounds(changes: DataFrame, ranges: DataFrame) -> DataFrame:
     ``changes`` (pair_id, i1, i2); ``ranges`` (pair_id, start, end, lines) of one side.
     """
     r = ranges.where(F.col("lines") >= 2)
-    inside = within(changes.select("pair_id", "i1", "i2"), r.select("pair_id", "start", "end"), ["pair_id"], ("i1", "i2"), ("start", "end"))
+    inside = within(changes.select("pair_id", "i1", "i2"), r.select("pair_id", "start", "end"), ["pair_id"], ("i1", "i2"), ("start", "end"), wide=True)
     own = inside.select("pair_id", "i1", "i2", F.col("start").alias("s"), F.col("end").alias("e"), F.lit(True).alias("section"))
     w = Window.partitionBy("pair_id", "i1", "i2").orderBy("s")
     before = own.select("pair_id", "i1", "i2", F.coalesce(F.lag("e").over(w), "i1").alias("s"), F.col("s").alias("e"))
     after = own.groupBy("pair_id", "i1", "i2").agg(F.max("e").alias("s")).select("pair_id", "i1", "i2", "s", F.col("i2").alias("e"))
     rest = before.unionByName(after).where(F.col("e") > F.col("s")).withColumn("section", F.lit(False))
-    whole = changes.select("pair_id", "i1", "i2").join(own.select("pair_id", "i1", "i2").distinct(), ["pair_id", "i1", "i2"], "left_anti").select(
+    whole = changes.select("pair_id", "i1", "i2").join(by_merge(own.select("pair_id", "i1", "i2").distinct()), ["pair_id", "i1", "i2"], "left_anti").select(
         "pair_id", "i1", "i2", F.col("i1").alias("s"), F.col("i2").alias("e"), F.lit(False).alias("section"))
     return own.unionByName(rest).unionByName(whole)
 
