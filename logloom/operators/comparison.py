@@ -12,13 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import by_merge, cut_lineage
 from . import diff as D
 from .intervals import within
 from .noise import LINE_CAP
 from .noise_keys import noise_over_keys
 from .regions import split_at_bounds, spread_changes, unmatched_ranges
-from .review import unique_anchors
+from .review import anchors_told_apart
 
 # Fixed value: sizes nearer than this are the same style, in points.
 SIZE_TOLERANCE = 0.5
@@ -31,7 +31,7 @@ def strong_pairs(aligned: DataFrame, blocks: DataFrame) -> DataFrame:
     keys = F.filter(F.transform("keys", lambda k: F.regexp_replace(k, r"[._]{4,}", "")), lambda k: k != "")
     b = blocks.select(*SIDE, "block", keys.alias("k"))
     side = lambda s, c: b.where(F.col("side") == s).select("pair_id", F.col("block").alias(c), F.col("k").alias(f"{c}k"))
-    j = aligned.where(F.col("l").isNotNull() & F.col("r").isNotNull()).select("pair_id", "l", "r").join(side("L", "l"), ["pair_id", "l"]).join(side("R", "r"), ["pair_id", "r"])
+    j = aligned.where(F.col("l").isNotNull() & F.col("r").isNotNull()).select("pair_id", "l", "r").join(by_merge(side("L", "l")), ["pair_id", "l"]).join(by_merge(side("R", "r")), ["pair_id", "r"])
     same = j.where(F.col("lk") == F.col("rk")).select("pair_id", "l", "r")
     n = F.size("lk") + F.size("rk")
     other = j.where((F.col("lk") != F.col("rk")) & (2 * F.least(F.size("lk"), F.size("rk")) >= D.MOVE_RATIO * n))
@@ -49,7 +49,7 @@ def reading_order(aligned: DataFrame, strong: DataFrame, blocks: DataFrame) -> t
     moved = within(moves.select("pair_id", F.col("l1").alias("_lo"), (F.col("l2") + 1).alias("_hi"), F.col("l1").alias("first")),
                    marked.where("NOT kept").select("pair_id", "l", "r"), ["pair_id"], ("_lo", "_hi"), "l").select("pair_id", "first", "l", "r")
     pairs = aligned.where(F.col("l").isNotNull() & F.col("r").isNotNull()).select("pair_id", "l", "r")
-    steady = D.monotone(pairs.join(moved.select("pair_id", "r"), ["pair_id", "r"], "left_anti")).where("kept").select("pair_id", "l", "r")
+    steady = D.monotone(pairs.join(by_merge(moved.select("pair_id", "r")), ["pair_id", "r"], "left_anti")).where("kept").select("pair_id", "l", "r")
     # the last steady pair before each moved run: carried along the target blocks
     events = steady.select("pair_id", F.col("l").alias("at"), F.lit(0).alias("kind"), F.col("r").alias("after"), F.lit(None).cast("bigint").alias("r"), "l").unionByName(
         moved.select("pair_id", F.col("first").alias("at"), F.lit(-1).alias("kind"), F.lit(None).cast("bigint").alias("after"), "r", "l"))
@@ -57,7 +57,7 @@ def reading_order(aligned: DataFrame, strong: DataFrame, blocks: DataFrame) -> t
     placed = events.withColumn("after", F.coalesce("after", F.last("after", ignorenulls=True).over(w))).where("kind = -1").select(
         "pair_id", "r", F.struct(F.coalesce("after", F.lit(-1).cast("bigint")).alias("a"), F.lit(1).alias("b"), F.col("l").cast("bigint").alias("c")).alias("key"))
     own = F.struct(F.col("r").cast("bigint").alias("a"), F.lit(0).alias("b"), F.lit(0).cast("bigint").alias("c"))
-    every = blocks.where(F.col("side") == "R").select("pair_id", F.col("block").alias("r")).join(placed, ["pair_id", "r"], "left").withColumn("key", F.coalesce("key", own))
+    every = blocks.where(F.col("side") == "R").select("pair_id", F.col("block").alias("r")).join(by_merge(placed), ["pair_id", "r"], "left").withColumn("key", F.coalesce("key", own))
     order = every.withColumn("ord", (F.row_number().over(Window.partitionBy("pair_id").orderBy("key")) - 1).cast("bigint"))
     return order.select("pair_id", "r", "ord"), moves
 
@@ -70,10 +70,10 @@ def equal_keys(changes: DataFrame, words: DataFrame) -> DataFrame:
     """
     left = words.where(F.col("side") == "L").select("pair_id", F.col("pos").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("i1"), F.lit(None).cast("bigint").alias("j2"))
     events = left.unionByName(changes.select("pair_id", F.col("i2").alias("at"), F.lit(0).alias("kind"), "i1", "j2"))
-    w = Window.partitionBy("pair_id").orderBy("at", "kind", "j2")
+    w, back = Window.partitionBy("pair_id").orderBy("at", "kind", "j2"), Window.partitionBy("pair_id").orderBy(F.desc("at"), F.desc("kind"), F.desc("j2"))
     shift = F.when(F.col("kind") == 0, F.col("j2") - F.col("at"))
     e = events.withColumn("_by", F.last(shift, ignorenulls=True).over(w)).withColumn(
-        "_next", F.first("i1", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+        "_next", F.last("i1", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     free = e.where((F.col("kind") == 1) & (F.col("_next").isNull() | (F.col("_next") > F.col("at"))))
     return free.select("pair_id", F.col("at").alias("i"), (F.col("at") + F.coalesce("_by", F.lit(0))).cast("bigint").alias("j"))
 
@@ -84,7 +84,7 @@ def quiet_changes(equal: DataFrame, words: DataFrame) -> DataFrame:
     Needs text, size, bold and block of the words; (pair_id, op, i1, i2, j1, j2, left_keys, right_keys, noise, style).
     """
     side = lambda s, at, p: words.where(F.col("side") == s).select("pair_id", F.col("pos").alias(at), *[F.col(c).alias(p + c) for c in ("key", "text", "size", "bold", "block")])
-    j = equal.join(side("L", "i", "a_"), ["pair_id", "i"]).join(side("R", "j", "b_"), ["pair_id", "j"])
+    j = equal.join(by_merge(side("L", "i", "a_")), ["pair_id", "i"]).join(by_merge(side("R", "j", "b_")), ["pair_id", "j"])
     noise = F.col("a_key").contains(D.NOISE)
     known = (F.col("a_size") > 0) & (F.col("b_size") > 0)
     restyled = ~noise & known & ((F.abs(F.col("a_size") - F.col("b_size")) > SIZE_TOLERANCE) | (F.col("a_bold") != F.col("b_bold")))
@@ -102,12 +102,12 @@ def quiet_changes(equal: DataFrame, words: DataFrame) -> DataFrame:
 def _moved_texts(changes: DataFrame) -> DataFrame:
     """Changes with the texts that went from one place to another made one ``spostato`` each."""
     found = D.text_moves(changes).withColumnRenamed("j1", "_j1")
-    gone = changes.where("op = 'mancante'").join(found, ["pair_id", "i1"]).select(
+    gone = changes.where("op = 'mancante'").join(by_merge(found), ["pair_id", "i1"]).select(
         "pair_id", F.lit("spostato").alias("op"), "i1", "i2", F.col("_j1").alias("j1"), "left_keys")
     made = changes.where("op = 'in_piu'").select("pair_id", "j1", "j2", "right_keys")
-    moves = gone.join(made, ["pair_id", "j1"]).select(*CHANGE)
-    keep = changes.join(found.select("pair_id", "i1", F.lit("mancante").alias("op")), ["pair_id", "i1", "op"], "left_anti").join(
-        found.select("pair_id", F.col("_j1").alias("j1"), F.lit("in_piu").alias("op")), ["pair_id", "j1", "op"], "left_anti")
+    moves = gone.join(by_merge(made), ["pair_id", "j1"]).select(*CHANGE)
+    keep = changes.join(by_merge(found.select("pair_id", "i1", F.lit("mancante").alias("op"))), ["pair_id", "i1", "op"], "left_anti").join(
+        by_merge(found.select("pair_id", F.col("_j1").alias("j1"), F.lit("in_piu").alias("op"))), ["pair_id", "j1", "op"], "left_anti")
     return keep.select(*CHANGE).unionByName(moves)
 
 
@@ -120,7 +120,7 @@ def _with_texts(changes: DataFrame, words: DataFrame) -> DataFrame:
         t = within(c, w, ["pair_id"], ("_lo", "_hi"), "pos").groupBy("pair_id", "_id").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias(name),
             F.min_by(f"_page{side}", "pos").alias(f"_page{side}"))
-        out = out.join(t, ["pair_id", "_id"], "left").withColumn(name, F.coalesce(name, F.lit("")))
+        out = out.join(by_merge(t), ["pair_id", "_id"], "left").withColumn(name, F.coalesce(name, F.lit("")))
     return out.withColumn("page", F.coalesce("_pageL", "_pageR", F.lit(0))).drop("_id", "_pageL", "_pageR")
 
 
@@ -133,7 +133,7 @@ def compare_pairs(words: DataFrame, blocks: DataFrame, rules: Sequence[tuple[str
     aligned = cut_lineage(D.align(blocks))
     order, moves = reading_order(aligned, cut_lineage(strong_pairs(aligned, blocks)), blocks)
     # the generated side in its reading order
-    right = words.where(F.col("side") == "R").join(order.select("pair_id", F.col("r").alias("block"), "ord"), ["pair_id", "block"])
+    right = words.where(F.col("side") == "R").join(by_merge(order.select("pair_id", F.col("r").alias("block"), "ord")), ["pair_id", "block"])
     read = F.row_number().over(Window.partitionBy("pair_id").orderBy("ord", "pos")) - 1
     text = F.col("key").alias("text")
     both = words.where(F.col("side") == "L").select(*words.columns, text).unionByName(
@@ -144,7 +144,7 @@ def compare_pairs(words: DataFrame, blocks: DataFrame, rules: Sequence[tuple[str
     final = noise_over_keys(lined.select(*SIDE, "pos", "key", "ends_line"), rules, by=SIDE, cap=cap)
     # a final key has the place of its first word, and the text of all of them
     facts = ("block", "page", "x0", "y0", "x1", "y1", "size", "bold", "zone")
-    parts = final.select(*SIDE, F.col("n"), F.col("key").alias("_key"), F.explode(F.sequence("first", F.col("end") - 1)).alias("pos")).join(both, [*SIDE, "pos"])
+    parts = final.select(*SIDE, F.col("n"), F.col("key").alias("_key"), F.explode(F.sequence("first", F.col("end") - 1)).alias("pos")).join(by_merge(both), [*SIDE, "pos"])
     keys = parts.groupBy(*SIDE, "n", "_key").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"),
         *[F.min_by(c, "pos").alias(c) for c in facts]).withColumnRenamed("n", "pos").withColumnRenamed("_key", "key")
@@ -152,13 +152,13 @@ def compare_pairs(words: DataFrame, blocks: DataFrame, rules: Sequence[tuple[str
 
     final_blocks = keys.groupBy(*SIDE, "block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"), F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
-    spans = final_blocks.join(blocks.select(*SIDE, "block", "lines"), [*SIDE, "block"]).select(*SIDE, "block", "start", "end", "lines")
+    spans = final_blocks.join(by_merge(blocks.select(*SIDE, "block", "lines")), [*SIDE, "block"]).select(*SIDE, "block", "start", "end", "lines")
     # pairs in the reading order of both sides bound the gaps
     place = lambda s, c: final_blocks.where(F.col("side") == s).select("pair_id", F.col("block").alias(c), F.col("start").alias(f"_{c}"))
-    pairs = aligned.where(F.col("l").isNotNull() & F.col("r").isNotNull()).join(place("L", "l"), ["pair_id", "l"]).join(place("R", "r"), ["pair_id", "r"])
+    pairs = aligned.where(F.col("l").isNotNull() & F.col("r").isNotNull()).join(by_merge(place("L", "l")), ["pair_id", "l"]).join(by_merge(place("R", "r")), ["pair_id", "r"])
     at = pairs.select("pair_id", "l", "r", "_l", "_r")
     kept = D.monotone(at, "_l", "_r").where("kept").select("pair_id", F.col("l").alias("_l"), F.col("r").alias("_r"))
-    sync = D.sync_pairs(at.join(kept, ["pair_id", "_l", "_r"]), final_blocks, ordered=True)
+    sync = D.sync_pairs(at.join(by_merge(kept), ["pair_id", "_l", "_r"]), final_blocks, ordered=True)
 
     changes = D.word_changes(keys, cut_lineage(sync)).select(*CHANGE)
     changes = split_at_bounds(cut_lineage(changes), unmatched_ranges(aligned, spans))
@@ -168,7 +168,7 @@ def compare_pairs(words: DataFrame, blocks: DataFrame, rules: Sequence[tuple[str
     run = lambda s, lo, hi, a, b: within(moves.select("pair_id", "l1", F.col(lo).alias("_lo"), (F.col(hi) + 1).alias("_hi")), spans.where(F.col("side") == s).select("pair_id", "block", "start", "end"),
                                          ["pair_id"], ("_lo", "_hi"), "block").groupBy("pair_id", "l1").agg(F.min("start").alias(a), F.max("end").alias(b))
     none = F.array().cast("array<string>")
-    block_moves = run("L", "l1", "l2", "i1", "i2").join(run("R", "r1", "r2", "j1", "j2"), ["pair_id", "l1"]).select(
+    block_moves = run("L", "l1", "l2", "i1", "i2").join(by_merge(run("R", "r1", "r2", "j1", "j2")), ["pair_id", "l1"]).select(
         "pair_id", F.lit("spostato").alias("op"), "i1", "i2", "j1", "j2", none.alias("left_keys"), none.alias("right_keys"))
     plain = D.sections(_moved_texts(changes), spans)
     no = F.lit(False)
@@ -180,8 +180,8 @@ def compare_pairs(words: DataFrame, blocks: DataFrame, rules: Sequence[tuple[str
     d = _with_texts(every.unionByName(pages), keys)
     klass = F.when(F.col("noise"), "rumore").otherwise(D.classify(F.col("op"), F.col("left_keys"), F.col("right_keys"), style=F.col("style")))
     d = cut_lineage(D.with_type(d.withColumn("klass", klass)))
-    d = cut_lineage(D.with_context(d, keys).withColumn("target_text", F.col("left_text")).withColumn("pos", _order(d)))
-    d = unique_anchors(d, ["pair_id"])
+    d = D.with_context(d, keys).withColumn("target_text", F.col("left_text")).withColumn("pos", _order(d))
+    d = anchors_told_apart(d, ["pair_id"], ["page", "pos"])
     return d.withColumn("id", F.row_number().over(Window.partitionBy("pair_id").orderBy("page", "pos"))).select(
         "pair_id", "id", "page", "op", "klass", "tipo", "i1", "i2", "j1", "j2", "left_text", "right_text", "detail", "context", "target_text")
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import squeeze
 from ..functions.text import epoch_days, italian_number
+from ..session import by_merge
+from .intervals import marked
 
 KEY = ["pair_id", "id"]
 # What is cut from the ends of a word, and the forms of dates and plain numbers in a payload.
@@ -58,13 +60,14 @@ def value_places(words: DataFrame, values: DataFrame) -> DataFrame:
     common = placed.groupBy("pair_id", "side", "form").agg(F.count("*").alias("df"))
     v = values.where(F.size("tokens") > 0)
     token = v.select("pair_id", "value_id", "side", F.posexplode("tokens").alias("k", "t")).select("pair_id", "value_id", "side", "k", F.explode("t").alias("form"))
-    seen = token.join(common, ["pair_id", "side", "form"]).groupBy("pair_id", "value_id", "side", "k").agg(F.sum("df").alias("df"))
+    seen = token.join(by_merge(common), ["pair_id", "side", "form"]).groupBy("pair_id", "value_id", "side", "k").agg(F.sum("df").alias("df"))
     # a value of which a token is nowhere is nowhere
     per = seen.groupBy("pair_id", "value_id", "side").agg(F.count("*").alias("there"), F.min_by("k", F.struct("df", "k")).alias("k"))
-    rare = v.select("pair_id", "value_id", "side", "tokens", F.size("tokens").alias("n")).join(per, ["pair_id", "value_id", "side"]).where("there = n").drop("there")
-    seeds = rare.select("pair_id", "value_id", "side", "k").join(token, ["pair_id", "value_id", "side", "k"]).join(placed, ["pair_id", "side", "form"])
+    rare = v.select("pair_id", "value_id", "side", "tokens", F.size("tokens").alias("n")).join(by_merge(per), ["pair_id", "value_id", "side"]).where("there = n").drop("there")
+    seeds = rare.select("pair_id", "value_id", "side", "k").join(by_merge(token), ["pair_id", "value_id", "side", "k"]).join(
+        by_merge(placed), ["pair_id", "side", "form"])
     starts = seeds.select(*KEY, "value_id", "side", (F.col("at") - F.col("k")).alias("start")).where("start >= 0").distinct()
-    j = starts.join(rare.drop("k"), ["pair_id", "value_id", "side"]).join(w, [*KEY, "side"]).where(F.col("start") + F.col("n") <= F.size("forms"))
+    j = starts.join(by_merge(rare.drop("k")), ["pair_id", "value_id", "side"]).join(by_merge(w), [*KEY, "side"]).where(F.col("start") + F.col("n") <= F.size("forms"))
     here = F.zip_with(F.slice("forms", F.col("start") + 1, F.col("n")), "tokens", F.arrays_overlap)
     return j.where(F.forall(here, lambda x: x)).select(*KEY, "value_id", "side", "start", "n")
 
@@ -81,7 +84,7 @@ def same_place_words(diffs: DataFrame, changed: DataFrame) -> DataFrame:
     of = lambda side, c: changed.select("pair_id", "value_id", F.lit(side).alias("side"), printed_tokens(F.col(c)).alias("tokens"))
     places = value_places(words, of("L", "original").unionByName(of("R", "perturbed")))
     right = places.where("side = 'R'").select(*KEY, "value_id", "start")
-    return places.where("side = 'L'").drop("side").join(right, [*KEY, "value_id", "start"], "left_semi")
+    return places.where("side = 'L'").drop("side").join(by_merge(right), [*KEY, "value_id", "start"], "left_semi")
 
 
 def display_context(changes: DataFrame, words: DataFrame, width: int = 5) -> DataFrame:
@@ -94,8 +97,9 @@ def display_context(changes: DataFrame, words: DataFrame, width: int = 5) -> Dat
     w = Window.partitionBy("pair_id", "block").orderBy("pos")
     text = lambda lo, hi: F.array_join(F.collect_list("text").over(w.rowsBetween(lo, hi)), " ")
     told = left.select("pair_id", "pos", text(1 - width, 0).alias("before"), text(0, width - 1).alias("after"))
-    j = changes.join(told.select("pair_id", (F.col("pos") + 1).alias("i1"), "before"), ["pair_id", "i1"], "left").join(
-        told.select("pair_id", F.col("pos").alias("i2"), "after"), ["pair_id", "i2"], "left")
+    at = told.withColumnRenamed("pos", "_at")
+    j = marked(changes.withColumn("_at", F.col("i1") - 1), at, ["pair_id", "_at"], "before")
+    j = marked(j.withColumn("_at", F.col("i2")), at, ["pair_id", "_at"], "after")
     return j.select(*changes.columns, F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
 
 
