@@ -83,13 +83,15 @@ def noise_over_keys(keys: DataFrame, rules: Sequence[tuple[str, str]], by: Seque
     marks = F.array(*[F.lit(f"{GUARD}NOISE:{name}") for name, _p in rules]) if rules else F.array().cast("array<string>")
     names = F.array(*[F.lit(name) for name, _p in rules]) if rules else F.array().cast("array<string>")
     w = Window.partitionBy(*by, "line").orderBy("at", "kind")
-    until, before, after = (w.rowsBetween(*r) for r in ((Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
+    until, before = (w.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    # read backwards, what follows is carried along as well
+    after = Window.partitionBy(*by, "line").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     is_key, is_start = F.col("kind") == KEY, F.col("kind") == STARTS
     here = F.when(is_key, F.struct(F.col("pos"), F.col("at").alias("s"), "e", "text"))
     d = _events(_lines(keys, by), rules, by, cap).select(
         "*", F.last(here, ignorenulls=True).over(until).alias("word"), F.last(F.when(is_key, F.col("e")), ignorenulls=True).over(before).alias("_stop"),
         F.last(F.when(is_start, F.struct(F.col("at").alias("s"), "e", "rule")), ignorenulls=True).over(before).alias("match"),
-        F.first(F.when(is_start, F.col("at")), ignorenulls=True).over(after).alias("_next"))
+        F.last(F.when(is_start, F.col("at")), ignorenulls=True).over(after).alias("_next"))
     # a key goes with the one before it where a match begins before the end of that and ends behind the start of this
     tied = F.coalesce((F.col("match.e") > F.col("at")) & (F.col("match.s") < F.col("_stop")), F.lit(False))
     late = is_start & (F.col("at") >= F.col("word.e"))  # begins in the space before the next key
