@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import within
+from .intervals import marked, within
 
 SIDE = ["doc", "side"]
 HITS = "array<struct<id:bigint,at:int,end:int,way:int>>"
@@ -44,7 +45,7 @@ def needles(differences: DataFrame, stream: DataFrame) -> DataFrame:
     d = d.withColumn("word", F.when(F.size("w") >= 2, long))
     counts = stream.select(*SIDE, F.explode(F.split("stream", " ")).alias("word")).groupBy(*SIDE, "word").agg(F.count("*").alias("n"))
     alone = counts.where("n = 1").select(*SIDE, "word", F.lit(True).alias("_alone"))
-    d = d.join(alone, [*SIDE, "word"], "left")
+    d = marked(d, alone, [*SIDE, "word"], "_alone")
     need = lambda way, text, test: F.when(test, F.struct(F.lit(way).alias("way"), text.alias("text")))
     join = lambda c: F.array_join(c, " ")
     last = F.slice("b", F.greatest(F.size("b") - 2, F.lit(1)), F.lit(3))
@@ -54,10 +55,27 @@ def needles(differences: DataFrame, stream: DataFrame) -> DataFrame:
     return d.select(*SIDE, "id", F.array_compact(every).alias("needles"))
 
 
-def _search(stream: Column, text: Column, cursor: Column) -> Column:
-    """0-based place of ``text`` at or after the cursor, else from the start; null if it is nowhere."""
-    on = F.call_function("locate", text, stream, cursor + 1)
-    return F.when(on > 0, on - 1).otherwise(F.nullif(F.call_function("locate", text, stream), F.lit(0)) - 1)
+@F.pandas_udf(HITS)
+def _search(stream: pd.Series, todo: pd.Series) -> pd.Series:
+    """The hit of each difference of a side, in order: at or behind the end of the hit before, else from the start; null if it is nowhere.
+
+    The alternatives after a hit are not searched any more.
+    """
+    def one(text, differences):
+        out, cursor = [], 0
+        for d in differences:
+            hit = {"id": d["id"], "at": None, "end": None, "way": None}
+            for n in d["needles"]:
+                at = text.find(n["text"], cursor)
+                at = text.find(n["text"]) if at < 0 else at
+                if at >= 0:
+                    cursor = at + len(n["text"])
+                    hit |= {"at": at, "end": cursor, "way": n["way"]}
+                    break
+            out.append(hit)
+        return out
+
+    return pd.Series([one(*x) for x in zip(stream, todo)])
 
 
 def located(differences: DataFrame, lines: DataFrame) -> DataFrame:
@@ -68,22 +86,8 @@ def located(differences: DataFrame, lines: DataFrame) -> DataFrame:
     """
     stream, spans = visible_text(lines)
     order = needles(differences, stream).groupBy(*SIDE).agg(F.array_sort(F.collect_list(F.struct("id", "needles"))).alias("todo"))
-    j = order.join(stream, SIDE, "left").withColumn("stream", F.coalesce("stream", F.lit("")))
-    text = F.col("stream")
-
-    def step(acc: Column, d: Column) -> Column:
-        def first(found: Column, n: Column) -> Column:
-            at = _search(text, n["text"], acc["cursor"])
-            # the alternatives after a hit are not searched any more
-            return F.when(found["at"].isNotNull(), found).otherwise(F.struct(
-                d["id"].cast("bigint").alias("id"), at.cast("int").alias("at"), (at + F.length(n["text"])).cast("int").alias("end"), n["way"].alias("way")))
-
-        nothing = F.struct(d["id"].cast("bigint").alias("id"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("int").alias("way"))
-        hit = F.reduce(d["needles"], nothing, first)
-        return F.struct(F.coalesce(hit["end"], acc["cursor"]).alias("cursor"), F.concat(acc["out"], F.array(hit)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("cursor"), F.expr(f"cast(array() as {HITS})").alias("out"))
-    hits = j.select(*SIDE, F.inline(F.aggregate("todo", start, step, lambda acc: acc["out"])))
+    j = marked(order, stream, SIDE, "stream").withColumn("stream", F.coalesce("stream", F.lit("")))
+    hits = j.select(*SIDE, F.inline(_search("stream", "todo")))
     hits = hits.withColumn("at", F.when(F.col("way") == 3, F.col("end") - 1).otherwise(F.col("at"))).drop("end", "way")
     on = within(spans, hits.where("at IS NOT NULL").select(*SIDE, "id", "at"), SIDE, ("start", "end"), "at", 4096)
     return hits.join(on.select(*SIDE, "id", "line"), [*SIDE, "id"], "left").select(*SIDE, "id", "at", "line")
