@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .intervals import marked
 from .layout import COLUMN_SHARE, CORRIDOR_CHARS, CROSSING, MAX_CORRIDORS
 
 # Lines that make a column, how near its lines come to the gutter, the share of lines an edge holds on, the
@@ -20,7 +22,8 @@ def line_parts(words: DataFrame, char_width: DataFrame) -> DataFrame:
     """(doc, page, line, char, words, runs): each line's words by place, and their runs across gaps narrower than a corridor."""
     w = Window.partitionBy(*PAGE, "line").orderBy("x0", "x1")
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = words.join(char_width, "doc").withColumn("_new", F.coalesce(F.col("x0") - reach >= CORRIDOR_CHARS * F.col("char"), F.lit(True)))
+    d = marked(words, char_width.select("doc", F.struct("char").alias("_char")), ["doc"], "_char").where(F.col("_char").isNotNull())
+    d = d.withColumn("char", F.col("_char.char")).drop("_char").withColumn("_new", F.coalesce(F.col("x0") - reach >= CORRIDOR_CHARS * F.col("char"), F.lit(True)))
     d = d.withColumn("_run", F.sum(F.col("_new").cast("int")).over(w))
     runs = d.groupBy(*PAGE, "line", "char", "_run").agg(
         F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.collect_list(F.struct("x0", "x1")).alias("_w"))
@@ -28,10 +31,12 @@ def line_parts(words: DataFrame, char_width: DataFrame) -> DataFrame:
         F.array_sort(F.flatten(F.collect_list("_w"))).alias("words"), F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("runs"))
 
 
-def _pages(lines: DataFrame) -> DataFrame:
-    return lines.groupBy(*PAGE).agg(
-        F.count("*").alias("n"), F.min(F.array_min(F.transform("words", lambda x: x["x0"]))).alias("left"),
-        F.max(F.array_max(F.transform("words", lambda x: x["x1"]))).alias("right"), F.first("char").alias("char"))
+def _with_page(lines: DataFrame) -> DataFrame:
+    """``lines`` with their page's number of lines, left and right edge and character width."""
+    w = Window.partitionBy(*PAGE)
+    facts = {"n": F.count("*"), "left": F.min(F.array_min(F.transform("words", lambda x: x["x0"]))),
+             "right": F.max(F.array_max(F.transform("words", lambda x: x["x1"]))), "char": F.first("char")}
+    return lines.dropna(subset=PAGE).select(*PAGE, "runs", *[c.over(w).alias(name) for name, c in facts.items()])
 
 
 def candidates(lines: DataFrame) -> DataFrame:
@@ -40,15 +45,16 @@ def candidates(lines: DataFrame) -> DataFrame:
     A sweep over where runs begin and end gives the cover between events; stretches of low cover are islands, and their least
     crossed place (the middle one of equals) is counted out from the lengths, so nothing is spread over points.
     """
-    page = _pages(lines).where((F.col("n") >= 2 * COLUMN_MIN_LINES) & (F.col("char") > 0)).withColumn(
+    page = _with_page(lines).where((F.col("n") >= 2 * COLUMN_MIN_LINES) & (F.col("char") > 0)).withColumn(
         "size", F.floor(F.col("right") - F.col("left")) + 1)
-    r = lines.select(*PAGE, F.inline("runs")).join(page, PAGE)
+    known = [*PAGE, "n", "left", "right", "char", "size"]
+    r = page.select(*known, F.inline("runs"))
     cut = lambda c, add: F.floor(F.col(c) - F.col("left")) + add
-    ends = r.select(*PAGE, F.inline(F.array(F.struct(cut("x0", 0).alias("at"), F.lit(1).alias("d")), F.struct(
+    ends = r.select(*known, F.inline(F.array(F.struct(cut("x0", 0).alias("at"), F.lit(1).alias("d")), F.struct(
         F.least(cut("x1", 1), F.col("size")).alias("at"), F.lit(-1).alias("d")))))
-    events = ends.groupBy(*PAGE, "at").agg(F.sum("d").alias("d"))
+    events = ends.groupBy(*known, "at").agg(F.sum("d").alias("d"))
     w = Window.partitionBy(*PAGE).orderBy("at")
-    s = events.withColumn("cover", F.sum("d").over(w)).withColumn("to", F.lead("at").over(w)).where("to > at").join(page, PAGE)
+    s = events.withColumn("cover", F.sum("d").over(w)).withColumn("to", F.lead("at").over(w)).where("to > at")
     s = s.withColumn("low", F.col("cover") <= CROSSING * F.col("n"))
     s = s.withColumn("_g", F.sum((~F.col("low")).cast("int")).over(w)).where("low")
     g = [*PAGE, "_g"]
@@ -67,34 +73,38 @@ def _some(words: Column, test) -> Column:
 
 
 def measured(cand: DataFrame, lines: DataFrame) -> DataFrame:
-    """Candidates that are corridors, with ``x0`` and ``x1``: the ends of the left parts, the starts of the right ones."""
-    j = cand.join(lines.select(*PAGE, "line", "words", "runs"), PAGE)
+    """Candidates that are corridors, with ``x0`` and ``x1``: the ends of the left parts, the starts of the right ones.
+
+    A page's candidates come to its lines as one list; a line then stands once for each of them, and only numbers are grouped.
+    """
+    key = cand.columns
+    given = cand.groupBy(*PAGE).agg(F.collect_list(F.struct(*[c for c in key if c not in PAGE])).alias("_c"))
+    j = marked(lines.select(*PAGE, "words", "runs"), given, PAGE, "_c").where(F.col("_c").isNotNull()).select(*PAGE, "words", "runs", F.inline("_c"))
     clear = j.where(~F.exists("runs", lambda r: (r["x0"] <= F.col("x")) & (F.col("x") <= r["x1"])))
     before = F.array_max(F.transform(F.filter("runs", lambda r: r["x1"] < F.col("x")), lambda r: r["x1"]))
     after = F.array_min(F.transform(F.filter("runs", lambda r: r["x0"] > F.col("x")), lambda r: r["x0"]))
-    key = [c for c in cand.columns]
-    g = clear.groupBy(*key).agg(
-        F.array_sort(F.collect_list(before)).alias("ends"), F.array_sort(F.collect_list(after)).alias("starts"), F.collect_list("words").alias("clear"))
+    w = Window.partitionBy(*key)
+    g = clear.withColumn("ends", F.array_sort(F.collect_list(before).over(w))).withColumn("starts", F.array_sort(F.collect_list(after).over(w)))
     at = lambda a, share: F.get(a, F.floor(F.lit(share) * (F.size(a) - 1)).cast("int"))
     g = g.withColumn("x0", F.coalesce(at("ends", HOLD), F.col("left"))).withColumn("x1", F.coalesce(at("starts", 1 - HOLD), F.col("right")))
     x0, x1 = F.col("x0"), F.col("x1")
-    least = F.greatest(F.lit(COLUMN_MIN_LINES), F.floor(COLUMN_SHARE * F.size("clear")))
-    lefts = F.size(F.filter("clear", lambda ws: _some(ws, lambda w: w["x1"] <= x0)))
-    rights = F.size(F.filter("clear", lambda ws: _some(ws, lambda w: w["x0"] >= x1)))
+    g = g.where((x1 > x0) & (x1 - x0 >= CORRIDOR_CHARS * F.col("char")) & (x0 > F.col("left")) & (x1 < F.col("right")))
+    left, right = F.filter("words", lambda w: w["x1"] <= x0), F.filter("words", lambda w: w["x0"] >= x1)
+    g = g.groupBy(*key, "x0", "x1").agg(
+        F.count("*").alias("clear"), F.count_if(F.size(left) > 0).alias("lefts"), F.count_if(F.size(right) > 0).alias("rights"),
+        F.array_sort(F.collect_list(F.get(right, F.lit(0))["x0"])).alias("begin"), F.collect_list(F.array_max(F.transform(left, lambda w: w["x1"]))).alias("stop"))
+    least = F.greatest(F.lit(COLUMN_MIN_LINES), F.floor(COLUMN_SHARE * F.col("clear")))
     # a column's left edge: enough lines start within twice the tolerance of one of them
-    begin = F.array_sort(F.filter(F.transform("clear", lambda ws: F.get(F.filter(ws, lambda w: w["x0"] >= x1), F.lit(0))["x0"]), lambda x: x.isNotNull()))
     edge = F.exists(F.sequence(F.lit(0), F.greatest(F.size("begin") - COLUMN_MIN_LINES, F.lit(0))), lambda i: (
         F.get("begin", i + COLUMN_MIN_LINES - 1) - F.get("begin", i)) <= 2 * EDGE)
-    stop = F.filter(F.transform("clear", lambda ws: F.array_max(F.transform(F.filter(ws, lambda w: w["x1"] <= x0), lambda w: w["x1"]))), lambda x: x.isNotNull())
     full = F.size(F.filter("stop", lambda x: x >= x0 - FILL * (x0 - F.col("left"))))
-    g = g.where((x1 > x0) & (x1 - x0 >= CORRIDOR_CHARS * F.col("char")) & (x0 > F.col("left")) & (x1 < F.col("right")))
-    g = g.where((lefts >= least) & (rights >= least)).withColumn("begin", begin).withColumn("stop", stop)
+    g = g.where((F.col("lefts") >= least) & (F.col("rights") >= least))
     return g.where((F.size("begin") >= COLUMN_MIN_LINES) & edge & (F.size("stop") > 0) & (full >= 0.5 * F.size("stop"))).select(*key, "x0", "x1")
 
 
 def corridors(lines: DataFrame) -> DataFrame:
     """(doc, page, x0, x1): at most two page-wide corridors, the least crossed and most central first; they lie apart."""
-    ok = measured(candidates(lines), lines)
+    ok = cut_lineage(measured(candidates(lines), lines))
     order = [F.asc("cover"), F.asc(F.abs(F.col("b") - F.col("size") / 2)), F.asc("b")]
     key = F.struct("cover", F.abs(F.col("b") - F.col("size") / 2).alias("off"), "b", "x0", "x1", "x", "char")
     chosen = ok.groupBy(*PAGE).agg(F.min(key).alias("c")).select(*PAGE, F.col("c.x0").alias("g0"), F.col("c.x1").alias("g1"))
