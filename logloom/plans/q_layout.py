@@ -14,7 +14,7 @@ from ..sources import html as H
 from ..sources import versions as V
 from ..sources import words as Wd
 from ..streaming import streams as T
-from .registry import query, table
+from .registry import dealt, query, table
 
 # ------------------------------------------------------------------ payload ---
 
@@ -263,7 +263,7 @@ def sanitised_pages(spark, sf):
 
 
 def _words(spark, sf):
-    d = table(spark, sf, "documents")
+    d = dealt(spark, sf, "documents", "doc_id")
     ln = d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "t"))
     w = ln.select("doc", "n", F.posexplode(F.filter(F.split("t", r"\s+"), lambda x: x != "")).alias("k", "text"))
     size = F.when(F.col("n") == 0, 20.0).otherwise(10.0)

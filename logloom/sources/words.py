@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.intervals import marked
+
 GAP, LINE_HALF = 0.25, 0.5
 PARAGRAPH_GAP, PITCH_CAP, INDENT_CHARS, SIZE_CHANGE = 1.5, 1.25, 2.0, 0.15
 
@@ -31,8 +33,9 @@ def chars_to_words(chars: DataFrame) -> DataFrame:
 
 def reading_order(words: DataFrame, sizes: DataFrame) -> DataFrame:
     """Words on the page, clustered to lines by centre, top to bottom then left to right; ``pos`` renumbered per page."""
-    on = words.join(sizes, ["doc", "page"]).where(
-        (F.col("x1") > 0) & (F.col("y1") > 0) & (F.col("x0") < F.col("width")) & (F.col("y0") < F.col("height"))).drop("width", "height")
+    size = sizes.select("doc", "page", F.struct("width", "height").alias("_size"))
+    on = marked(words, size, ["doc", "page"], "_size").where((F.col("x1") > 0) & (F.col("y1") > 0) & (F.col("x0") < F.col("_size.width")) & (
+        F.col("y0") < F.col("_size.height"))).drop("_size")
     c = (F.col("y0") + F.col("y1")) / 2
     w = Window.partitionBy("doc", "page").orderBy(c, F.col("x0"))
     new = F.coalesce(c - F.lag(c).over(w) > LINE_HALF * (F.col("y1") - F.col("y0")), F.lit(True))
