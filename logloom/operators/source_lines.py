@@ -12,11 +12,12 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .intervals import marked, within
 
 SIDE = ["doc", "side"]
-HITS = "array<struct<id:bigint,at:int,end:int,way:int>>"
+HITS = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("at", "end", "way")]]))
 
 
 def _words(text: Column) -> Column:
