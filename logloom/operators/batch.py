@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..functions.core import label
+from ..session import by_merge
 from .ranking import first_spelling, last_by, top_per_group
 from .search import newest_first
 
@@ -505,18 +506,22 @@ def plan_cases(items: DataFrame, cases: DataFrame) -> DataFrame:
     ``items`` (ord, replace, key, variant, fdi, payload_sha); ``cases`` (case_id, key, variant, source_fdi, payload_sha).
     An added (key, variant) already taken, or repeated by an earlier item, fails alone.
     """
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_k", F.lower(F.trim("key"))).withColumn("_v", F.lower(F.trim("variant")))
+
+    # Items without a case to replace meet no case: they stay out of that join, where they would all be one key.
     c = cases.select(
         F.col("case_id").alias("replace"), F.col("source_fdi").alias("_fdi"), F.col("payload_sha").alias("_sha"), F.lit(True).alias("_has"))
-    taken = cases.select(F.lower(F.trim("key")).alias("_k"), F.lower(F.trim("variant")).alias("_v")).distinct().withColumn("_taken", F.lit(True))
-    it = items.withColumn("_k", F.lower(F.trim("key"))).withColumn("_v", F.lower(F.trim("variant")))
-    firsts = it.where(F.col("replace").isNull()).groupBy("_k", "_v").agg(F.min("ord").alias("_first"))
-    j = it.join(c, "replace", "left").join(taken, ["_k", "_v"], "left").join(firsts, ["_k", "_v"], "left")
     same = F.col("fdi").eqNullSafe(F.col("_fdi")) & (F.col("payload_sha") == F.col("_sha"))
-    result = (
-        F.when(F.col("replace").isNotNull() & F.col("_has").isNull(), "failed")
-        .when(F.col("replace").isNotNull(), F.when(same, "unchanged").otherwise("replaced"))
-        .when(F.col("_taken").isNotNull() | (F.col("ord") > F.col("_first")), "failed").otherwise("added"))
-    return j.withColumn("result", result).select(*items.columns, "result")
+    swapped = items.where(F.col("replace").isNotNull()).join(by_merge(c), "replace", "left").withColumn(
+        "result", F.when(F.col("_has").isNull(), "failed").when(same, "unchanged").otherwise("replaced"))
+    new = keyed(items.where(F.col("replace").isNull()))
+    known = new.select("_k", "_v", F.col("ord").alias("_first"), F.lit(False).alias("_taken")).unionByName(
+        keyed(cases).select("_k", "_v", F.lit(True).alias("_taken")), allowMissingColumns=True).groupBy("_k", "_v").agg(
+        F.min("_first").alias("_first"), F.max("_taken").alias("_taken"))
+    added = new.join(known, ["_k", "_v"], "left").withColumn(
+        "result", F.when(F.col("_taken") | (F.col("ord") > F.col("_first")), "failed").otherwise("added"))
+    return swapped.select(*items.columns, "result").unionByName(added.select(*items.columns, "result"))
 
 
 def free_variants(wanted: DataFrame, taken: DataFrame) -> DataFrame:
