@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..operators import review as V
-from .registry import query, table
+from .registry import dealt, query, table
 
 BASE = """
 WITH ln AS (SELECT l_orderkey AS c, l_linenumber AS ln, max(l_partkey) AS pk, max(l_suppkey) AS sk, CAST(max(l_quantity) AS INTEGER) AS q FROM lineitem GROUP BY 1, 2),
@@ -44,9 +44,13 @@ sm AS (SELECT cs.c, count_if(coalesce(verdict='fatta', false)) AS fatte, count_i
 """
 
 
+#: For each part the reader makes: its lines are short, and become a review of many columns.
+PARTS = 32
+
+
 def _lines(spark, sf):
-    li = table(spark, sf, "lineitem")
-    ln = li.groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("pos")).agg(
+    # Lines are dealt by order once: all that follows goes by case, so nothing wider is shuffled. Parts do not merge, as a review takes many times their room.
+    ln = dealt(spark, sf, "lineitem", "l_orderkey", PARTS).groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("pos")).agg(
         F.max("l_partkey").alias("pk"), F.max("l_suppkey").alias("sk"), F.max("l_quantity").cast("int").alias("q"))
     pk, sk, q = F.col("pk"), F.col("sk"), F.col("q")
     g = lambda n: F.concat(F.lit("g"), n.cast("string"))
