@@ -1,7 +1,8 @@
 """Lexical retrieval packing: a sharded BM25 index gives each seed document unused neighbours, which fill its window.
 
-1. ``tokenised``: documents become ids where they are read, and every task counts in how many of its documents a term
-   stands. ``statistics`` adds the counts up: idf and mean length are those of the whole corpus.
+1. ``tokenised``: documents become ids where they are read (those of the ``tokenizers`` library, by ``MergeTokenizer``), and every
+   task counts in how many of its documents a term stands. ``statistics`` adds the counts up: idf and mean length are those of the
+   whole corpus.
 2. Documents are dealt to shards by their rarest terms: ordered by the ranks of the eight rarest terms that another document
    holds too, so documents that share rare terms come together from anywhere in the table. The order is a range partitioning, and
    equal keys are ordered by a hash, so a group of copies of any size is cut like everything else.
@@ -23,9 +24,11 @@ ignored. Very long texts are cut over many windows. An empty table gives an empt
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +47,12 @@ LAST = 0xFFFFFFFF
 #: White space other than the space and the line end: texts with it are cut with more care.
 _RARE = re.compile(r"[^\S \n]")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
+#: What a byte-level BPE cuts texts at, and the same for texts in which no two white spaces stand side by side.
+_CUTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+_PLAIN_CUTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
+_NOT_PLAIN = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n")]
+#: Runs of white space that are too long for a look-ahead.
+_LONG_RUN = re.compile(r"\s{10000}")
 
 
 class Remembered:
@@ -158,10 +167,68 @@ class ChunkTokenizer:
         return out
 
 
+def merge_ranks(path: str, tokenizer) -> dict[bytes, int] | None:
+    """Ids by bytes, where the lowest id that two neighbours make is the merge ``tokenizer`` does next; else None.
+
+    That holds for a byte-level BPE and nothing else beside it, if merges make ids in rising order and every piece, encoded alone,
+    is itself: a merge of two neighbours that is not in the file would then never come up.
+    """
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, cuts = whole["model"], whole.get("pre_tokenizer") or {}
+    if (whole.get("normalizer") or cuts.get("type") != "ByteLevel" or cuts.get("add_prefix_space") or not cuts.get("use_regex", True)
+            or model.get("type") != "BPE" or not all(t["special"] for t in whole.get("added_tokens") or [])
+            or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+    vocabulary = model["vocab"]
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if not all(p in vocabulary for p in [*byte, *made]):
+        return None
+    ids = [vocabulary[p] for p in made]
+    if any(a >= b for a, b in zip(ids, ids[1:])) or any([t.id for t in tokenizer.model.tokenize(p)] != [i] for p, i in zip(made, ids)):
+        return None
+    return {bytes(byte[c] for c in p): vocabulary[p] for p in [*byte, *made]}
+
+
+class MergeTokenizer(ChunkTokenizer):
+    """Token ids of whole texts, the same as the ``tokenizers`` library's, by tiktoken over the merges of its file.
+
+    Where the file is not one that ``merge_ranks`` can state, or tiktoken is not installed, ids come as in ``ChunkTokenizer``.
+    """
+
+    def __init__(self, path: str, cache_bytes: int = 64 << 20):
+        super().__init__(path, cache_bytes)
+        try:
+            import tiktoken
+        except ModuleNotFoundError:
+            ranks = None
+        else:
+            ranks = merge_ranks(path, self.inner)
+        self.cut = ranks and tiktoken.Encoding("merges", pat_str=_CUTS, mergeable_ranks=ranks, special_tokens={})
+        self.plain = ranks and tiktoken.Encoding("plain merges", pat_str=_PLAIN_CUTS, mergeable_ranks=ranks, special_tokens={})
+        self.code = "H" if self.size <= 1 << 16 else "I"
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        if self.cut is None:
+            return super().encode_batch(texts)
+        out = []
+        for t in texts:
+            if not any(c in t for c in _NOT_PLAIN):
+                ids = self.plain.encode_ordinary(t)
+            elif len(t) < 100_000 or not _LONG_RUN.search(t):
+                ids = self.cut.encode_ordinary(t)
+            else:
+                ids = self.inner.encode(t, add_special_tokens=False).ids
+            out.append(np.frombuffer(array(self.code, ids), self.code))
+        return out
+
+
 @functools.lru_cache(2)
 def shared_tokenizer(path: str) -> ChunkTokenizer:
-    """One per worker process, so that its cache serves all tasks there."""
-    return ChunkTokenizer(path)
+    """One per worker process, for all tasks there."""
+    return MergeTokenizer(path)
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
@@ -184,18 +251,23 @@ class ShardIndex:
         term, self.doc = key >> 32, key & 0xFFFFFFFF
         self.part = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1e-9)))
         self.start = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, np.int64)
-        self.terms = term[self.start]
+        terms = term[self.start]
         self.stop = np.r_[self.start[1:], len(term)]
+        self.place = np.zeros(int(terms[-1]) + 1 if len(terms) else 0, np.int64)
+        self.place[terms] = np.arange(len(terms))
+        self.last = np.zeros(len(self.place), np.int64)
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """Score of every document for ``query``, whose terms count once each; only their postings are read."""
-        at = np.searchsorted(self.terms, np.unique(query))
+        query, order = query.astype(np.int64), np.arange(len(query))
+        self.last[query] = order
+        at = np.sort(self.place[query[self.last[query] == order]])
         lo, n = self.start[at], self.stop[at] - self.start[at]
         ends = np.cumsum(n)
         if not len(n):
             return np.zeros(self.n)
         read = np.repeat(lo - (ends - n), n) + np.arange(ends[-1])
-        return np.bincount(self.doc[read], self.part[read], self.n)
+        return np.bincount(self.doc.take(read), self.part.take(read), self.n)
 
 
 class Packer:
@@ -276,7 +348,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = shared_tokenizer(tokenizer_path)
         df, n, total, id_type = np.zeros(tokenizer.size, np.int64), 0, 0, None
-        end = np.array([END_ID], np.uint32)
+        kind = width(tokenizer.size)
+        end, last = np.array([END_ID], kind), np.zeros(tokenizer.size, np.int64)
 
         def rows(ids: pa.Array, tokens: list, terms: list, counts: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.binary()), pa.array(terms, pa.list_(pa.int32())),
@@ -286,13 +359,15 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
             id_type = batch.schema.field(0).type
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [np.concatenate([ids, end]) for ids in tokenizer.encode_batch([t or "" for t in part.column(1).to_pylist()])]
-                length = [len(x) for x in found]
-                held = np.unique(np.repeat(np.arange(len(found)), length) << 32 | np.concatenate(found).astype(np.int64))
-                df += np.bincount(held & 0xFFFFFFFF, minlength=len(df))
-                n, total = n + len(found), total + sum(length)
+                found = [np.concatenate([ids, end]).astype(kind, copy=False)
+                         for ids in tokenizer.encode_batch([t or "" for t in part.column(1).to_pylist()])]
+                for x in found:  # a term counts where it stands last
+                    term, at = x.astype(np.int64), np.arange(len(x))
+                    last[term] = at
+                    df[term[last[term] == at]] += 1
+                n, total = n + len(found), total + sum(map(len, found))
                 none = [None] * len(found)
-                yield rows(part.column(0), [x.astype(width(tokenizer.size)).tobytes() for x in found], none, none)
+                yield rows(part.column(0), [x.tobytes() for x in found], none, none)
         if n:
             there = np.flatnonzero(df)
             yield rows(pa.nulls(1, id_type), [None], [np.r_[there, -1, -2]], [np.r_[df[there], n, total]])
@@ -323,7 +398,15 @@ def statistics(table: DataFrame) -> tuple[np.ndarray, int, float]:
 
 def rarest(ids: np.ndarray, length: np.ndarray, rank: np.ndarray, most: int = 8) -> np.ndarray:
     """By document the ``most`` smallest ranks of its terms, ascending; missing ones are the largest number."""
-    held = np.unique(np.repeat(np.arange(len(length)), length) << 32 | rank[ids].astype(np.int64))
+    ranks, row = rank[ids], np.repeat(np.arange(len(length)), length)
+    some = np.sort(ranks[::64])
+    # low ranks first; the others only of documents that have too few of them
+    low = ranks <= (some[len(some) // 8] if len(some) else 0)
+    held = np.unique(row[low] << 32 | ranks[low].astype(np.int64))
+    few = np.bincount(held >> 32, minlength=len(length)) < most
+    rest = np.flatnonzero(few[row] & ~low)
+    if len(rest):
+        held = np.unique(np.concatenate([held, row[rest] << 32 | ranks[rest].astype(np.int64)]))
     lo = np.searchsorted(held, np.arange(len(length) + 1) << 32)
     at = lo[:-1, None] + np.arange(most)
     return np.where(at < lo[1:, None], held[np.minimum(at, max(len(held) - 1, 0))] & 0xFFFFFFFF, LAST) if len(held) else (

@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import json
 import random
 import re
 import time
@@ -27,6 +28,46 @@ def test_tokenizer_equals_the_library():
     assert [list(x) for x in t.encode_batch(texts)] == want  # from the cache
 
 
+def test_merges_equal_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = packing.MergeTokenizer(path, cache_bytes=20_000)
+    rng = random.Random(7)
+    signs = [" ", " ", "\n", "a", "th", "Bc", "1", ".", "\t", "é", "'s", "'LL", "東", "\x1c", "\u00a0", "\u3000", "ing", "🙂"]
+    texts = TEXTS + ["".join(rng.choice(signs) for _ in range(rng.randrange(80))) for _ in range(2000)]
+    texts += [" " * 120_000 + "a" + "\n " * 20_000 + "b", "x" * 120_000]
+    want = [e.ids for e in t.inner.encode_batch(texts, add_special_tokens=False)]
+    assert t.cut is not None and [x.tolist() for x in t.encode_batch(texts)] == want
+    t.cut = None  # without the merges: by the library
+    assert [list(x) for x in t.encode_batch(texts)] == want
+
+
+def test_merges_of_other_files_are_left_to_the_library(tmp_path):
+    t = packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = json.loads(t.inner.to_str())
+    merges = whole["model"]["merges"]
+    other = [whole | {"normalizer": {"type": "Lowercase"}}, whole | {"model": whole["model"] | {"merges": [merges[1], merges[0], *merges[2:]]}}]
+    for i, x in enumerate(other):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(x))
+        t = packing.MergeTokenizer(str(path))
+        texts = ["The tea at THE table", "a b"]
+        assert t.cut is None
+        assert [list(x) for x in t.encode_batch(texts)] == [e.ids for e in t.inner.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_new_words_cost_less_than_in_the_library():
+    t = packing.shared_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["th", "er", "in", "o", "an", "ti"]) for _ in range(rng.randrange(1, 7)))
+    texts = [" ".join(word() for _ in range(400)) for _ in range(200)]
+    spent = []
+    for run in (lambda: t.encode_batch(texts), lambda: t.inner.encode_batch_fast(texts, add_special_tokens=False)):
+        at = time.process_time()
+        run()
+        spent.append(time.process_time() - at)
+    assert spent[0] < 0.6 * spent[1]
+
+
 def plain_statistics(docs):
     """idf by term and mean length, counted one by one."""
     df = np.zeros(1000, np.int64)
@@ -121,6 +162,19 @@ def test_rarest_terms_of_documents():
     assert got.tolist() == [[1, 5], [none, none], [0, 2], [none, none]]
 
 
+def test_rarest_terms_by_force():
+    rng = np.random.default_rng(4)
+    rank = rng.permutation(3000).astype(np.uint32)
+    rank[rng.integers(0, 3000, 200)] = packing.LAST
+    # some documents hold frequent terms only, some are short or empty
+    docs = [rng.integers(0, 3000, n) if i % 3 else np.argsort(rank)[2000 + rng.integers(0, 900, n)] for i, n in enumerate(rng.integers(0, 300, 90))]
+    docs += [np.full(50, 7), np.empty(0, np.int64)]
+    got = packing.rarest(np.concatenate(docs).astype(np.uint16), np.array([len(d) for d in docs]), rank)
+    for d, g in zip(docs, got):
+        want = sorted(set(rank[d].tolist()))[:8]
+        assert g.tolist() == want + [packing.LAST] * (8 - len(want))
+
+
 def repeat_words(words):
     grams = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
     inside = set()
