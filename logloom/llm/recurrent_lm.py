@@ -19,6 +19,7 @@ rows of their own. An empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -215,136 +216,280 @@ def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return c + z * (h - c), z, r, c, un
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
-
-
-def output(p: dict, v: Vocabulary, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Natural log probabilities of targets ``y`` without the tail words' share, and what the gradient needs."""
-    cls = np.where(y < v.heads, y // v.per_class, v.head_classes + y - v.heads)
-    lc = log_softmax(h @ p["C"] + p["cb"])
-    lp = lc[np.arange(len(y)), cls].copy()
-    inside = []
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(v.head_classes + 1))
-    for c in range(v.head_classes):
-        at = order[cuts[c]:cuts[c + 1]]
-        if len(at):
-            n = v.sizes[c]
-            lw = log_softmax(h[at] @ p["W"][c][:, :n] + p["wb"][c][:n])
-            w = y[at] - c * v.per_class
-            lp[at] += lw[np.arange(len(at)), w]
-            inside.append((c, at, lw, w))
-    return lp, cls, lc, inside
-
-
-def train_windows(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float, memory: dict) -> np.ndarray:
-    """One truncated-backpropagation step over windows (rows, steps) from states ``h``; weights change in place (Adagrad)."""
+class Weights(dict):
+    """Arrays that lie in one flat array, so that an update is one pass over all of them."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.flat = np.concatenate([a.ravel() for a in arrays.values()])
+        ends = np.cumsum([a.size for a in arrays.values()]).tolist()
+        super().__init__((n, self.flat[end - a.size:end].reshape(a.shape)) for end, (n, a) in zip(ends, arrays.items()))
+
+
+class Space(dict):
+    """Arrays that windows write into again, so that none asks the system for new memory."""
+
+    def room(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        n = math.prod(shape)
+        a = self.get(name)
+        if a is None or a.size < n or a.dtype != kind:
+            a = self[name] = np.empty(n, kind)
+        return a[:n].reshape(shape)
+
+    def cells(self, symbols: int, k: int) -> np.ndarray:
+        """Places in the flat input weights: a row of units for each symbol and gate."""
+        a = self.get("cells")
+        if a is None or a.shape != (3 * symbols, k):
+            a = self["cells"] = np.arange(3 * symbols * k).reshape(-1, k)
+        return a
+
+
+def by_gate(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs, a row for each symbol and gate, and recurrent weights (gate, unit, unit); both gates' negated for ``advance``."""
+    k = len(p["U"])
+    e = p["E"] + p["b"]
+    np.negative(e[:, :2 * k], out=e[:, :2 * k])
+    u = p["U"].reshape(k, 3, k).transpose(1, 0, 2).copy()
+    np.negative(u[:2], out=u[:2])
+    return e.reshape(-1, k), u
+
+
+def advance(g: np.ndarray, u: np.ndarray, h: np.ndarray, hu: np.ndarray, out: np.ndarray, spare: np.ndarray) -> None:
+    """``step`` without new arrays: inputs ``g`` (gate, row, unit) become the gates and the candidate, ``hu`` h @ U, ``out`` the state."""
+    np.matmul(h, u, out=hu)
+    zr, c = g[:2], g[2]
+    zr += hu[:2]
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    np.multiply(zr[1], hu[2], out=spare)
+    c += spare
+    np.tanh(c, out=c)
+    np.subtract(h, c, out=spare)
+    spare *= zr[0]
+    np.add(c, spare, out=out)
+
+
+def softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Columns of ``x`` become probabilities, in place; the log probabilities of the targets, which stand at ``at`` of the flat ``x``."""
+    x -= x.max(0)
+    lp = x.ravel()[at]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    x /= total
+    lp -= np.log(total)
+    return lp
+
+
+def output(p: dict, v: Vocabulary, h: np.ndarray, y: np.ndarray, space: Space | None = None) -> tuple[np.ndarray, ...]:
+    """Natural log probabilities of targets ``y`` (-1: none, 0) without the tail words' share, and what the gradient needs.
+
+    That is: the targets' order (so by class, tails last), the states in it with a column of ones, where head classes begin, the
+    distributions over classes and over the words of the own class (a column each), the places of the targets in both, and the
+    weights of the words (class, word, unit and bias). Words that a class does not have get no probability.
+    """
+    space = Space() if space is None else space
+    k, kind = h.shape[1], h.dtype
+    order = np.argsort(y.astype(code_type(v)), kind="stable")[:np.count_nonzero(y >= 0)]
+    if len(order) and y[order[0]] < 0:
+        order = np.argsort(y, kind="stable")[-len(order):]
+    y = y[order]
+    cls = np.where(y < v.heads, y // v.per_class, y + (v.head_classes - v.heads))
+    cuts = np.searchsorted(cls, np.arange(v.head_classes + 1)).tolist()
+    own = space.room("own", (len(y), k + 1), kind)
+    own[:, :k] = h[order]
+    own[:, k] = 1
+    c1 = np.concatenate([p["C"], p["cb"][None]])
+    lc = np.matmul(c1.T, own.T, out=space.room("lc", (v.classes, len(y)), kind))
+    n = cuts[-1]
+    w1 = space.room("w1", (v.head_classes, v.per_class, k + 1), kind)
+    w1[:, :, :k] = p["W"].transpose(0, 2, 1)
+    w1[:, :, k] = p["wb"]
+    w1[-1, v.sizes[-1]:, k] = -np.inf
+    lw = space.room("lw", (v.per_class, n), kind)
+    for c, (a, b) in enumerate(itertools.pairwise(cuts)):
+        if a < b:
+            np.matmul(w1[c], own[a:b].T, out=lw[:, a:b])
+    place = np.arange(len(y))
+    at_c = cls * len(y) + place
+    at_w = (y[:n] % v.per_class) * n + place[:n]
+    lp = softmax(lc, at_c)
+    if n:
+        lp[:n] += softmax(lw, at_w)
+    out = np.zeros(len(h), kind)
+    out[order] = lp
+    return out, order, own, cuts, lc, lw, at_c, at_w, w1
+
+
+def adagrad(a: np.ndarray, grad: np.ndarray, memory: np.ndarray, rate: float, space: Space) -> None:
+    """Moves the weights ``a`` against ``grad``, which is used up."""
+    square = space.room("square", grad.shape, grad.dtype)
+    np.maximum(grad, -1, out=grad)
+    np.minimum(grad, 1, out=grad)
+    memory += np.multiply(grad, grad, out=square)
+    np.sqrt(memory, out=square)
+    square += 1e-6
+    grad *= rate
+    grad /= square
+    a -= grad
+
+
+def train_windows(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float, memory: dict,
+                  space: Space | None = None) -> np.ndarray:
+    """One truncated-backpropagation step over windows (rows, steps) from states ``h``; weights change in place (Adagrad).
+
+    Arrays hold gate, step, row, unit, so that what a step touches lies together; all that need not wait for the states is done
+    for the window at once.
+    """
+    space = Space() if space is None else space
     rows, steps = x.shape
-    k = h.shape[1]
-    states, gates = [h], []
+    k, kind = h.shape[1], p["E"].dtype
+    e, u = by_gate(p)
+    place = x.T[:, None] * 3 + np.arange(3)[:, None]
+    g = np.take(e, place, axis=0, out=space.room("g", (steps, 3, rows, k), kind), mode="clip")
+    hu = space.room("hu", (steps, 3, rows, k), kind)
+    states = space.room("states", (steps + 1, rows, k), kind)
+    spare = space.room("spare", (rows, k), kind)
+    states[0] = h
     for t in range(steps):
-        h, *g = step(p, x[:, t], h)
-        states.append(h)
-        gates.append(g)
-    hs = np.stack(states[1:], 1).reshape(-1, k)
-    ys = y.reshape(-1)
-    ok = ys >= 0
-    g = {n: np.zeros_like(a) for n, a in p.items()}
-    dh_out = np.zeros_like(hs)
-    if ok.any():
-        at_ok = np.flatnonzero(ok)
-        hv, yv = hs[ok], ys[ok]
-        _, cls, lc, inside = output(p, v, hv, yv)
-        d = np.exp(lc)
-        d[np.arange(len(yv)), cls] -= 1
-        g["C"], g["cb"] = hv.T @ d, d.sum(0)
-        dv = d @ p["C"].T
-        for c, at, lw, w in inside:
-            e = np.exp(lw)
-            e[np.arange(len(at)), w] -= 1
-            n = v.sizes[c]
-            g["W"][c][:, :n] = hv[at].T @ e
-            g["wb"][c][:n] = e.sum(0)
-            dv[at] += e @ p["W"][c][:, :n].T
-        dh_out[at_ok] = dv
-    dh_out = dh_out.reshape(rows, steps, k)
-    dh = np.zeros((rows, k), np.float32)
-    dgs = np.zeros((rows, steps, 3 * k), p["E"].dtype)
+        advance(g[t], u, states[t], hu[t], states[t + 1], spare)
+    _, order, own, cuts, d, dw, at_c, at_w, w1 = output(p, v, states[1:].reshape(-1, k), y.T.ravel(), space)
+    n = max(1, len(order))
+    grads = {}
+    d.ravel()[at_c] -= 1
+    d /= n
+    both = d @ own
+    grads["C"], grads["cb"] = both[:, :k].T, both[:, k]
+    dv = d.T @ p["C"].T
+    dw.ravel()[at_w] -= 1
+    dw /= n
+    both = np.zeros(w1.shape, kind)
+    inside = space.room("inside", (cuts[-1], k), kind)
+    for c, (a, b) in enumerate(itertools.pairwise(cuts)):
+        if a < b:
+            np.matmul(dw[:, a:b], own[a:b], out=both[c])
+            np.matmul(dw[:, a:b].T, w1[c, :, :k], out=inside[a:b])
+    grads["W"], grads["wb"] = both[:, :, :k].transpose(0, 2, 1), both[:, :, k]
+    dv[:cuts[-1]] += inside
+    dh_out = space.room("dh_out", (steps * rows, k), kind)
+    dh_out.fill(0)
+    dh_out[order] = dv
+    dh_out = dh_out.reshape(steps, rows, k)
+    z, r, c, prev = g[:, 0], g[:, 1], g[:, 2], states[:-1]
+    to_cz = space.room("to_cz", (2, steps, rows, k), kind)
+    to_c, to_z = to_cz
+    np.subtract(1, z, out=to_c)
+    np.subtract(prev, c, out=to_z)
+    to_z *= z
+    to_z *= to_c
+    np.multiply(c, c, out=c)
+    np.subtract(1, c, out=c)
+    to_c *= c
+    to_r = hu[:, 2]
+    to_r *= r
+    np.subtract(1, r, out=c)
+    to_r *= c
+    ds = space.room("ds", (4, steps, rows, k), kind)  # of both gates, of the candidate, of h @ Un
+    back = p["U"].reshape(k, 3, k).transpose(1, 2, 0)[[0, 1, 2]].copy()
+    three = space.room("three", (3, rows, k), kind)
+    dh = np.zeros((rows, k), kind)
     for t in range(steps - 1, -1, -1):
-        z, r, c, un = gates[t]
-        prev = states[t]
-        dh = dh + dh_out[:, t]
-        dz = dh * (prev - c) * z * (1 - z)
-        dc = dh * (1 - z) * (1 - c * c)
-        dr = dc * un * r * (1 - r)
-        dg = np.concatenate([dz, dr, dc], 1)
-        du = np.concatenate([dz, dr, dc * r], 1)
-        dgs[:, t] = dg
-        g["U"] += prev.T @ du
-        dh = dh * z + du @ p["U"].T
-    dgs = dgs.reshape(-1, 3 * k)
-    order = np.argsort(x.ravel(), kind="stable")
-    symbols = x.ravel()[order]
-    cuts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-    g["E"][symbols[cuts]] += np.add.reduceat(dgs[order], cuts)
-    g["b"] += dgs.sum(0)
-    n = max(1, int(ok.sum()))
-    for name, grad in g.items():
-        grad /= n
-        np.clip(grad, -1, 1, out=grad)
-        memory[name] += grad * grad
-        p[name] -= rate * grad / (np.sqrt(memory[name]) + 1e-6)
-    return states[-1]
-
-
-def training_codes(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """(codes): all symbols of each training document, packed as ``code_type``."""
+        one = ds[:, t]
+        dh += dh_out[t]
+        np.multiply(dh, to_cz[:, t], out=one[:2])
+        np.multiply(one[0], to_r[t], out=one[2])
+        np.multiply(one[0], r[t], out=one[3])
+        dh *= z[t]
+        np.matmul(one[1:], back, out=three)
+        dh += three[0]
+        dh += three[1]
+        dh += three[2]
+    ds = ds.reshape(4, -1, k)
+    grads["U"] = (prev.reshape(-1, k).T @ ds[1:]).transpose(1, 0, 2).reshape(k, 3 * k)
+    # ds has the candidate first, the weights have it last
+    cells = np.take(space.cells(len(p["E"]), k), place.transpose(1, 0, 2)[[2, 0, 1]], axis=0, out=space.room("at", (3, steps, rows, k), np.int64), mode="clip")
+    grads["E"] = np.zeros_like(p["E"])
+    np.add.at(grads["E"].ravel(), cells.ravel(), ds[:3].ravel())
+    grads["b"] = grads["E"].sum(0)
+    if isinstance(p, Weights):
+        adagrad(p.flat, np.concatenate([grads[name].ravel() for name in p]), memory.flat, rate, space)
+    else:
+        for name in p:
+            adagrad(p[name], grads[name].copy(), memory[name], rate, space)
+    return states[-1].copy()
+
+
+def all_codes(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(row, trained, codes): all symbols of each document, packed as ``code_type``."""
     kind = code_type(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(v)
         for batch in batches:
-            keep = in_training(batch.column(1).to_pylist())
-            out = [(v.encode(tokens_of(t), codes).astype(kind).tobytes(),) for t, k in zip(utf8(batch.column(2)), keep) if k]
-            yield batch_of(out, [pa.binary()], ["codes"])
+            out = [v.encode(tokens_of(t), codes).astype(kind).tobytes() for t in utf8(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(in_training(batch.column(1).to_pylist())), pa.array(out, pa.binary())],
+                                             names=["row", "trained", "codes"])
 
-    return docs.mapInArrow(run, "codes binary")
+    return docs.mapInArrow(run, "row long, trained boolean, codes binary")
 
 
 def code_type(v: Vocabulary) -> type:
     return np.uint16 if v.heads + v.tails < 1 << 16 else np.int32
 
 
-def training_steps(docs: Iterable[np.ndarray], rows: int, steps: int, start: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def training_steps(docs: Iterable[np.ndarray], rows: int, steps: int, start: int, ahead: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
     """(keep, x, y) per training step: the next ``steps`` symbols of up to ``rows`` documents; -1 is no target.
 
     A document takes part from its first symbol to its last, window after window; where it has ended, the next one takes its
-    place. ``keep`` names the rows of the step before that go on, in order; new documents follow them.
+    place. ``keep`` names the rows of the step before that go on, in order; new documents follow them. Documents are cut into
+    windows together, some ``ahead`` symbols at a time.
     """
     docs = iter(docs)
-    now: list[list] = []  # document, place
+    xs = ys = np.zeros((0, steps), np.int32)  # windows read ahead
+    at, end = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the rows: the next window, the one after the last
+    ready: tuple[np.ndarray, np.ndarray] = (at, end)  # the same of documents that wait
     while True:
-        keep = [i for i, (d, at) in enumerate(now) if at < len(d)]
-        now = [now[i] for i in keep] + [[d, 0] for d in itertools.islice(docs, rows - len(keep))]
-        if not now:
+        keep = np.flatnonzero(at < end)
+        at, end = at[keep], end[keep]
+        while len(at) < rows:
+            n = rows - len(at)
+            at, end = np.append(at, ready[0][:n]), np.append(end, ready[1][:n])
+            ready = ready[0][n:], ready[1][n:]
+            if len(at) == rows:
+                break
+            more, held = [], 0
+            for d in docs:
+                more.append(d)
+                held += len(d)
+                if held >= ahead:
+                    break
+            if not more:
+                break
+            # windows that rows still need, then those of the new documents
+            left = end - at
+            used = np.repeat(at - (np.cumsum(left) - left), left) + np.arange(left.sum())
+            length = np.array([len(d) for d in more])
+            parts = -(-length // steps)
+            first = np.cumsum(parts) - parts
+            flat = np.concatenate(more)
+            to = np.repeat(first * steps - (np.cumsum(length) - length), length) + np.arange(len(flat))
+            y = np.full(int(parts.sum()) * steps, -1, np.int32)
+            y[to] = flat
+            x = np.full_like(y, start)
+            x[1:] = y[:-1]
+            x[first * steps] = start
+            x[x < 0] = start
+            xs, ys = np.concatenate([xs[used], x.reshape(-1, steps)]), np.concatenate([ys[used], y.reshape(-1, steps)])
+            at = np.cumsum(left) - left
+            end = at + left
+            first += len(used)
+            ready = first, first + parts
+        if not len(at):
             return
-        x = np.full((len(now), steps), start, np.int32)
-        y = np.full((len(now), steps), -1, np.int32)
-        for i, one in enumerate(now):
-            d, at = one
-            own = d[at:at + steps]
-            y[i, :len(own)] = own
-            if at:
-                x[i, :len(own)] = d[at - 1:at - 1 + len(own)]
-            else:
-                x[i, 1:len(own)] = own[:-1]
-            one[1] = at + steps
-        yield keep, x, y
-
-
-def fit(texts: DataFrame, v: Vocabulary, scratch: Scratch, hidden: int, steps: int, rounds: int, rate: float, batch_rows: int,
+        yield keep, xs[at], ys[at]
+        at = at + 1
+
+
+def fit(texts: DataFrame, v: Vocabulary, hidden: int, steps: int, rounds: int, rate: float, batch_rows: int,
         seed: int) -> dict[str, np.ndarray]:
     """Weights averaged over all tasks, ``rounds`` times over; a task starts each round from the average."""
     p = fresh(v, hidden, seed)
@@ -355,9 +500,9 @@ def fit(texts: DataFrame, v: Vocabulary, scratch: Scratch, hidden: int, steps: i
 
     def one_round(start: dict, rate: float) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = {n: a.copy() for n, a in start.items()}
-            memory = {n: np.full(a.shape, 1e-4, np.float32) for n, a in own.items()}
-            seen, h = 0, np.zeros((0, hidden), np.float32)
+            own = Weights(start)
+            memory = Weights({n: np.full(a.shape, 1e-4, np.float32) for n, a in own.items()})
+            seen, h, space = 0, np.zeros((0, hidden), np.float32), Space()
 
             def documents() -> Iterator[np.ndarray]:
                 for batch in batches:  # the longest first, so that few steps have few rows
@@ -366,10 +511,10 @@ def fit(texts: DataFrame, v: Vocabulary, scratch: Scratch, hidden: int, steps: i
 
             for keep, x, y in training_steps(documents(), batch_rows, steps, v.heads + v.tails):
                 h = np.concatenate([h[keep], np.zeros((len(x) - len(keep), hidden), np.float32)])
-                h = train_windows(own, v, x, y, h, rate, memory)
+                h = train_windows(own, v, x, y, h, rate, memory, space)
                 seen += int((y >= 0).sum())
             if seen:
-                flat = np.concatenate([own[n].ravel() for n in shapes]).astype(np.float64) * seen
+                flat = own.flat.astype(np.float64) * seen
                 rows = [(i // chunk, flat[i:i + chunk].tobytes(), seen) for i in range(0, size, chunk)]
                 yield batch_of(rows, [pa.int64(), pa.binary(), pa.int64()], ["part", "weights", "seen"])
 
@@ -394,56 +539,61 @@ def fit(texts: DataFrame, v: Vocabulary, scratch: Scratch, hidden: int, steps: i
     return p
 
 
-def score_batch(p: dict, v: Vocabulary, docs: list[np.ndarray], hidden: int) -> np.ndarray:
-    """Natural log probability of whole documents (symbols), without the tail words' share."""
+def score_batch(p: dict, v: Vocabulary, docs: list[np.ndarray], hidden: int, space: Space | None = None, states: int = 1 << 12) -> np.ndarray:
+    """Natural log probability of whole documents (symbols), without the tail words' share; ``states`` are judged together."""
     total = np.zeros(len(docs))
     if not docs:
         return total
+    space = Space() if space is None else space
+    kind = p["E"].dtype
     order = np.argsort([-len(d) for d in docs], kind="stable")
     length = np.array([len(docs[i]) for i in order])
-    h = np.zeros((len(docs), hidden), np.float32)
-    x = np.full(len(docs), v.heads + v.tails, np.int64)
     flat = np.concatenate([docs[i] for i in order])
     first = np.cumsum(length) - length
-    alive = len(docs) - np.searchsorted(length[::-1], np.arange(int(length[0])), "right")
-    hs, ys, who, held = [], [], [], 0
-    for t in range(int(length[0])):
-        n = int(alive[t])
-        h = step(p, x[:n], h[:n])[0]
-        y = flat[first[:n] + t]
-        hs.append(h)
-        ys.append(y)
-        who.append(order[:n])
-        held += n
-        x = y
-        if held >= 1 << 16 or t + 1 == length[0]:
-            lp = output(p, v, np.concatenate(hs), np.concatenate(ys).astype(np.int64))[0]
-            total += np.bincount(np.concatenate(who), lp, len(docs))
-            hs, ys, who, held = [], [], [], 0
-    return total
-
-
-def scores(docs: DataFrame, p: dict, v: Vocabulary, hidden: int, tail_logs: np.ndarray, long: int = 1500, flush: int = 6_000_000) -> DataFrame:
+    alive = (len(docs) - np.searchsorted(length[::-1], np.arange(length[0]), "right")).tolist()
+    e, u = by_gate(p)
+    gates = np.arange(3)[:, None]
+    room = states + len(docs)
+    hs, ys, who = space.room("hs", (room, hidden), kind), space.room("ys", (room,), np.int64), space.room("who", (room,), np.int64)
+    h, x, held = np.zeros((len(docs), hidden), kind), np.full(len(docs), v.heads + v.tails), 0
+    names = np.arange(len(docs))
+    for t, n in enumerate(alive):
+        g = np.take(e, x[:n] * 3 + gates, axis=0, out=space.room("g", (3, n, hidden), kind), mode="clip")
+        stop = held + n
+        advance(g, u, h[:n], space.room("hu", (3, n, hidden), kind), hs[held:stop], space.room("spare", (n, hidden), kind))
+        ys[held:stop] = flat[first[:n] + t]
+        who[held:stop] = names[:n]
+        h, x, held = hs[held:stop], ys[held:stop], stop
+        if held >= states or t + 1 == len(alive):
+            lp = output(p, v, hs[:held], ys[:held], space)[0]
+            total += np.bincount(who[:held], lp, len(docs))
+            h, x, held = h.copy(), x.copy(), 0
+    back = np.empty_like(total)
+    back[order] = total
+    return back
+
+
+def scores(codes: DataFrame, p: dict, v: Vocabulary, hidden: int, tail_logs: np.ndarray, long: int = 1500, flush: int = 6_000_000) -> DataFrame:
     """(row, tokens, part): part is the log10 probability without the sum of log10(c + 0.1) of tail words."""
+    kind = code_type(v)
+    # the caller adds log10(c + 0.1) of every token: take those of head words off again
+    off = np.concatenate([v.logs, tail_logs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(v)
+        space = Space()
         names, kinds = ["row", "tokens", "part"], [pa.int64(), pa.int64(), pa.float64()]
 
         def result(rows: list, own: list) -> pa.RecordBatch:
-            part = score_batch(p, v, own, hidden) / np.log(10)
+            part = score_batch(p, v, own, hidden, space) / np.log(10)
             for i, d in enumerate(own):
-                tail = np.bincount(d[d >= v.heads] - v.heads, minlength=v.tails)
-                inside = d[d < v.heads]
-                # the caller adds log10(c + 0.1) of every token: take those of head words off again
-                part[i] -= (tail * tail_logs).sum() + v.logs[inside].sum()
+                part[i] -= off[d].sum()
             return batch_of(list(zip(rows, map(len, own), part.tolist())), kinds, names)
 
         late_rows, late, held = [], [], 0
         for batch in batches:
             rows, own = [], []
-            for r, t in zip(batch.column(0).to_pylist(), utf8(batch.column(2))):
-                d = v.encode(tokens_of(t), codes)
+            for r, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                d = np.frombuffer(t, kind)
                 if len(d) > long:  # long documents go together, so that steps have many rows
                     late_rows.append(r)
                     late.append(d)
@@ -457,7 +607,7 @@ def scores(docs: DataFrame, p: dict, v: Vocabulary, hidden: int, tail_logs: np.n
             yield result(rows, own)
         yield result(late_rows, late)
 
-    return docs.mapInArrow(run, "row long, tokens long, part double")
+    return codes.mapInArrow(run, "row long, tokens long, part double")
 
 
 def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", head: int = 512, tails: int = 16, hidden: int = 16,
@@ -488,9 +638,9 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
             tail_v[cls] -= 1
     tail_logs = np.log10(tail_n + SMOOTH * (tail_v + 1))
     base = np.log10(n_all + SMOOTH * (v_all + 1))
-    texts = scratch.write(training_codes(rows, v), "codes")
-    p = fit(texts, v, scratch, hidden, steps, rounds, rate, batch_rows, seed)
-    scored = scratch.write(scores(rows, p, v, hidden, tail_logs), "scores")
+    codes = scratch.write(all_codes(rows, v), "codes")
+    p = fit(codes.where("trained").select("codes"), v, hidden, steps, rounds, rate, batch_rows, seed)
+    scored = scratch.write(scores(codes, p, v, hidden, tail_logs), "scores")
     crc = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")) % 10
     return scored.join(per_doc, "row").join(rows.select("row", "id"), "row").select(
         F.col("id").alias(id_col), (crc == 0).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),

@@ -5,6 +5,7 @@ import io
 import json
 import random
 import re
+import sys
 import time
 import zlib
 
@@ -449,6 +450,73 @@ def test_training_reads_every_token_of_every_document():
     assert read == [d.tolist() for d in docs]
 
 
+def test_training_step_of_many_documents_against_its_slope():
+    """Rows that end at different places and a last class that is not full, by differences of the loss."""
+    v = recurrent_lm.Vocabulary([(b"w%d" % i, 100 - i) for i in range(6)], tails=3, per_class=4)
+    rng = np.random.default_rng(8)
+    p = {n: 0.5 * rng.standard_normal(a.shape) for n, a in recurrent_lm.fresh(v, 5, 1).items()}
+    p["W"][1, :, 2:] = p["wb"][1, 2:] = 0
+    x, y, h = rng.integers(0, 10, (7, 4)), rng.integers(0, 9, (7, 4)), rng.standard_normal((7, 5))
+    for row, end in enumerate((4, 4, 1, 3, 4, 2, 4)):
+        y[row, end:] = -1
+
+    def loss(q):
+        s, out = h, 0.0
+        for t in range(4):
+            s = recurrent_lm.step(q, x[:, t], s)[0]
+            ok = y[:, t] >= 0
+            out -= recurrent_lm.output(q, v, s[ok], y[ok, t])[0].sum() / (y >= 0).sum()
+        return out
+
+    plain = {n: a.copy() for n, a in p.items()}
+    memory = {n: np.zeros(a.shape) for n, a in p.items()}
+    state = recurrent_lm.train_windows(plain, v, x, y, h, 0.1, memory)
+    packed, packed_memory = recurrent_lm.Weights(p), recurrent_lm.Weights({n: np.zeros(a.shape) for n, a in p.items()})
+    space = recurrent_lm.Space()
+    for other in (1, 0):  # what another window has left in the arrays does not matter
+        packed, packed_memory = recurrent_lm.Weights(p), recurrent_lm.Weights({n: np.zeros(a.shape) for n, a in p.items()})
+        again = recurrent_lm.train_windows(packed, v, x[other:], y[other:], h[other:], 0.1, packed_memory, space)
+    assert again == pytest.approx(state)
+    for name in p:
+        assert packed[name] == pytest.approx(plain[name]) and packed_memory[name] == pytest.approx(memory[name])
+        for flat in rng.choice(p[name].size, min(12, p[name].size), replace=False):
+            up, down = ({n: a.copy() for n, a in p.items()} for _ in range(2))
+            up[name].flat[flat] += 1e-5
+            down[name].flat[flat] -= 1e-5
+            slope = (loss(up) - loss(down)) / 2e-5
+            assert np.sqrt(memory[name].flat[flat]) == pytest.approx(min(1, abs(slope)), rel=1e-3, abs=1e-8)
+            assert plain[name].flat[flat] - p[name].flat[flat] == pytest.approx(-0.1 * np.sign(slope) if abs(slope) > 1e-7 else 0, rel=0.2, abs=0.11 * (abs(slope) < 1e-4))
+
+
+def test_calls_of_a_training_step_do_not_grow_with_its_rows():
+    docs = [np.arange(n).astype(np.uint16) % 9 for n in range(1, 600)]
+    called = []
+    for rows in (8, 96):
+        count = 0
+
+        def seen(frame, event, arg):
+            nonlocal count
+            count += event in ("call", "c_call")
+
+        sys.setprofile(seen)
+        try:
+            steps = sum(1 for _ in recurrent_lm.training_steps(docs, rows, 16, 9))
+        finally:
+            sys.setprofile(None)
+        called.append((count - len(docs)) / steps)
+    assert called[1] < 2 * called[0] + 20
+
+
+def test_windows_do_not_depend_on_how_far_is_read_ahead():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 9, n).astype(np.uint16) for n in (40, 1, 500, 3, 16, 17, 32, 1, 7, 130, 15)]
+    want = list(recurrent_lm.training_steps(docs, 4, 16, 9))
+    for ahead in (1, 20, 600):
+        got = list(recurrent_lm.training_steps(docs, 4, 16, 9, ahead))
+        assert len(got) == len(want) and all((a == b).all() for g, w in zip(got, want) for a, b in zip(g, w))
+    assert list(recurrent_lm.training_steps([], 4, 16, 9)) == []
+
+
 def test_state_is_carried_over_whole_documents():
     v = recurrent_lm.Vocabulary([(b"w%d" % i, 100 - i) for i in range(6)], tails=3, per_class=4)
     p = recurrent_lm.fresh(v, 5, 1)
