@@ -269,19 +269,18 @@ def advance(g: np.ndarray, u: np.ndarray, h: np.ndarray, hu: np.ndarray, out: np
     np.add(c, spare, out=out)
 
 
-def softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Columns of ``x`` become probabilities, in place; the log probabilities of the targets, which stand at ``at`` of the flat ``x``."""
+def softmax(x: np.ndarray, at: np.ndarray | None = None) -> np.ndarray | None:
+    """Columns of ``x`` become probabilities, in place; the log probabilities of targets, if they stand at ``at`` of the flat ``x``."""
     x -= x.max(0)
-    lp = x.ravel()[at]
+    lp = None if at is None else x.ravel()[at]
     np.exp(x, out=x)
     total = x.sum(0)
     x /= total
-    lp -= np.log(total)
-    return lp
+    return None if lp is None else lp - np.log(total)
 
 
-def output(p: dict, v: Vocabulary, h: np.ndarray, y: np.ndarray, space: Space | None = None) -> tuple[np.ndarray, ...]:
-    """Natural log probabilities of targets ``y`` (-1: none, 0) without the tail words' share, and what the gradient needs.
+def output(p: dict, v: Vocabulary, h: np.ndarray, y: np.ndarray, space: Space | None = None, logs: bool = True) -> tuple[np.ndarray | None, ...]:
+    """Natural log probabilities (``logs``) of targets ``y`` (-1: none, 0) without the tail words' share, and what the gradient needs.
 
     That is: the targets' order (so by class, tails last), the states in it with a column of ones, where head classes begin, the
     distributions over classes and over the words of the own class (a column each), the places of the targets in both, and the
@@ -312,11 +311,14 @@ def output(p: dict, v: Vocabulary, h: np.ndarray, y: np.ndarray, space: Space |
     place = np.arange(len(y))
     at_c = cls * len(y) + place
     at_w = (y[:n] % v.per_class) * n + place[:n]
-    lp = softmax(lc, at_c)
-    if n:
-        lp[:n] += softmax(lw, at_w)
-    out = np.zeros(len(h), kind)
-    out[order] = lp
+    lp = softmax(lc, at_c if logs else None)
+    inside = softmax(lw, at_w if logs else None) if n else None
+    out = None
+    if logs:
+        if n:
+            lp[:n] += inside
+        out = np.zeros(len(h), kind)
+        out[order] = lp
     return out, order, own, cuts, lc, lw, at_c, at_w, w1
 
 
@@ -352,14 +354,14 @@ def train_windows(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.nd
     states[0] = h
     for t in range(steps):
         advance(g[t], u, states[t], hu[t], states[t + 1], spare)
-    _, order, own, cuts, d, dw, at_c, at_w, w1 = output(p, v, states[1:].reshape(-1, k), y.T.ravel(), space)
+    _, order, own, cuts, d, dw, at_c, at_w, w1 = output(p, v, states[1:].reshape(-1, k), y.T.ravel(), space, logs=False)
     n = max(1, len(order))
     grads = {}
     d.ravel()[at_c] -= 1
     d /= n
     both = d @ own
     grads["C"], grads["cb"] = both[:, :k].T, both[:, k]
-    dv = d.T @ p["C"].T
+    dv = d.T @ p["C"].T.copy()
     dw.ravel()[at_w] -= 1
     dw /= n
     both = np.zeros(w1.shape, kind)
