@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.intervals import marked
 
@@ -52,14 +58,89 @@ def has_text(words: DataFrame, images: DataFrame, documents: DataFrame) -> DataF
 
 
 def lines(words: DataFrame) -> DataFrame:
-    """Adds ``line``: words whose bottoms are within half a height of the word before on the page.
+    """Adds ``line``: a word, by (y1, x0) on its page, joins the line of the word before where its bottom is within half a height of the
+    bottom of the horizontally nearest word of that line.
 
-    A second pass rejoins a word to the line of its horizontally nearest word.
+    Where the bottoms alone decide, whichever word is the nearest, Spark tells; only stretches where they do not (columns on other
+    baselines) are gone through word by word. A word without a bottom is a line of its own.
     """
-    w = Window.partitionBy("doc", "page").orderBy("y1", "x0")
-    h = F.greatest(F.col("y1") - F.col("y0"), F.lag(F.col("y1") - F.col("y0")).over(w))
-    new = F.coalesce(F.col("y1") - F.lag("y1").over(w) > LINE_HALF * h, F.lit(True))
-    return words.withColumn("line", F.sum(new.cast("int")).over(w))
+    w = Window.partitionBy("doc", "page").orderBy("y1", "x0", "x1")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = F.col("y1") - F.col("y0")
+    # Below all words before by more than half of the tallest of them: a new line for sure.
+    apart = F.coalesce(F.col("y1") - F.lag("y1").over(w) > LINE_HALF * F.max(h).over(upto), F.lit(True))
+    d = words.withColumn("_no", F.row_number().over(w)).withColumn("_apart", apart)
+    # Within half of its own height of all since: no new line for sure.
+    start = F.last(F.when(F.col("_apart"), F.col("y1")), ignorenulls=True).over(upto)
+    d = d.withColumn("_doubt", ~F.col("_apart") & ~F.coalesce(F.col("y1") - start <= LINE_HALF * h, F.lit(False)))
+    return d.withColumn("line", line_numbers("_no", "_apart", "_doubt", *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")])).drop("_no", "_apart", "_doubt")
+
+
+class _Line:
+    """The words of the line in hand, sorted by their left edges: (right, bottom, height)."""
+
+    def __init__(self):
+        self.xs: list[float] = []
+        self.placed: list[tuple] = []
+
+    def takes(self, left: float, top: float, right: float, bottom: float) -> bool:
+        """Whether the bottom is within half a height of that of the nearest word; none is near a word without a bottom."""
+        k = bisect.bisect_left(self.xs, left)
+        near = self.placed[k - 1 if k else 0]
+        if 0 < k < len(self.xs) and self.xs[k] - right < left - near[0]:
+            near = self.placed[k]
+        return bool(bottom - near[1] <= LINE_HALF * np.fmax(bottom - top, near[2]))
+
+    def add(self, left: float, top: float, right: float, bottom: float) -> None:
+        k = bisect.bisect_left(self.xs, left)
+        self.xs.insert(k, left)
+        self.placed.insert(k, (right, bottom, bottom - top))
+
+
+def _numbered(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    """The line of each word in its page, of pages that follow each other, each by (y1, x0): word number, flags, box."""
+    before = n = 0  # number and line of the last word
+    hand: _Line | None = None  # the line in hand, where it is needed
+    held: list[np.ndarray] = []  # its words so far, where it is not
+    for no, apart, doubt, *box in batches:
+        no, apart, doubt = (s.to_numpy() for s in (no, apart, doubt))
+        if len(no) and ((no != np.r_[before + 1, no[:-1] + 1]) & (no != 1)).any():
+            raise ValueError("the words of a page are not in order")
+        x0, y0, x1, y1 = (s.to_numpy(dtype=float, na_value=np.nan) for s in box)
+        x0 = np.where(np.isnan(x0), -np.inf, x0)
+        boxes = np.column_stack([x0, y0, np.where(np.isnan(x1), x0, x1), y1])
+        new = apart.astype(bool).copy()
+        # stretches begin where a new line is sure; the first one may go on from the batch before
+        starts = np.flatnonzero(new)
+        for a, b in zip(np.r_[0, starts], np.r_[starts, len(no)]):
+            if a < b and new[a]:
+                hand, held = None, []
+            if hand is None and not doubt[a:b].any():
+                held.append(boxes[a:b])
+                continue
+            if hand is None:
+                hand = _Line()
+                for row in np.concatenate([*held, boxes[:0]]).tolist():
+                    hand.add(*row)
+                held = []
+            for i, row in zip(range(a, b), boxes[a:b].tolist()):
+                if hand.xs and not hand.takes(*row):
+                    new[i], hand = True, _Line()
+                hand.add(*row)
+        line = np.cumsum(new)
+        # counted from the first word of the page
+        firsts = np.flatnonzero(no == 1)
+        base = np.zeros(len(no), np.int64) - n
+        for a, b in zip(firsts, np.r_[firsts[1:], len(no)]):
+            base[a:b] = line[a] - 1
+        line = line - base
+        if len(no):
+            before, n = int(no[-1]), int(line[-1])
+        yield pd.Series(line)
+
+
+#: It knows the words before, so a filter must not be moved to before it.
+line_numbers = F.pandas_udf(_numbered, T.LongType()).asNondeterministic()
 
 
 def line_table(words: DataFrame) -> DataFrame:
