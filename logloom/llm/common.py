@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import by_merge, ensure_checkpoint_dir
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; also what ``bytes.split()`` splits at.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -92,7 +92,8 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     """Connected components of ``edges`` (a long, b long): rows (id, component), component the smallest id.
 
     Alternating large-star and small-star rounds: every vertex is tied to the smallest vertex it sees, until no edge
-    changes. A round is two group-by minima and joins on the vertex; no vertex's neighbours are gathered in one row.
+    changes. A round is two group-by minima and joins on the vertex; no vertex's neighbours are gathered in one row, and no
+    side of a join goes through the driver.
     Only vertices of an edge come out; null ends and loops are ignored; no edges give no rows.
     """
     cur = scratch.write(
@@ -102,11 +103,11 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = (both.join(low, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
+        large = (both.join(by_merge(low), "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: the smaller neighbours of a vertex, and the vertex, go to the smallest of them
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(small_min, "u").where(F.col("v") != F.col("m"))
+        small = (large.join(by_merge(small_min), "u").where(F.col("v") != F.col("m"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(small_min.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         nxt = scratch.write(small, "edges")

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import by_merge
 from .common import Scratch, components, free_name, mix64, shuffle_partitions, utf8, with_columns_checked
 
 #: Words of a shingle, similarity in percent.
@@ -417,9 +418,9 @@ def verified(sets: DataFrame, cluster_of: DataFrame, block: int = 512) -> DataFr
     mine = F.floor(F.col("no") / block).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine)))
-    placed = numbered.join(sizes, "component").select("cls", "component", mine.alias("mine"), other.alias("other")).select(
+    placed = numbered.join(by_merge(sizes), "component").select("cls", "component", mine.alias("mine"), other.alias("other")).select(
         "cls", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    keyed = placed.join(sets, "cls").select(F.xxhash64("component", "i", "j").alias("k"), "component", "i", "j", "cls", "shingles")
+    keyed = placed.join(by_merge(sets), "cls").select(F.xxhash64("component", "i", "j").alias("k"), "component", "i", "j", "cls", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, own = None, [], []
@@ -459,15 +460,15 @@ def join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     firsts = scratch.write(named.groupBy("cls").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-int(total * 0.6) // sigs_per_bucket))
-    wanted = scratch.write(candidates(docs, id_col, text_col, buckets).join(firsts, "cls").select("id", "cls"), "wanted")
+    wanted = scratch.write(candidates(docs, id_col, text_col, buckets).join(by_merge(firsts), "cls").select("id", "cls"), "wanted")
     sets = scratch.write(sets_of(docs, wanted, id_col, text_col), "sets")
     cluster_of = scratch.write(components(clusters(sets, buckets), scratch), "clusters")
     links = scratch.write(components(verified(sets, cluster_of), scratch), "links")
-    of_class = firsts.join(links.select(F.col("id").alias("cls"), "component"), "cls", "left").select(
+    of_class = firsts.join(by_merge(links.select(F.col("id").alias("cls"), "component")), "cls", "left").select(
         "cls", "id", F.coalesce("component", "cls").alias("component"))
     least = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
-    final = scratch.write(of_class.join(least, "component").select(F.col("cls").alias("_cls"), "component_id"), "final")
-    return table.join(final, F.col("cls") == F.col("_cls"), "left").select(
+    final = scratch.write(of_class.join(by_merge(least), "component").select(F.col("cls").alias("_cls"), "component_id"), "final")
+    return table.join(by_merge(final), F.col("cls") == F.col("_cls"), "left").select(
         F.col("id").alias(id_col), "n_shingles",
         F.when(F.col("cls").isNull(), F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -499,7 +500,7 @@ def one_per_group(docs: DataFrame, joined: DataFrame, scratch: Scratch, id_col:
         return keyed.mapInArrow(run, docs.schema)
 
     removed = found.where(F.col("least") != F.col(id_col)).select(F.col(id_col).alias(gone))
-    maybe = split(True).join(removed, F.col(id_col) == F.col(gone), "left_anti")
+    maybe = split(True).join(by_merge(removed), F.col(id_col) == F.col(gone), "left_anti")
     first = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(*docs.columns))
     repeated = maybe.where(F.col(id_col).isNotNull()).withColumn(no, F.row_number().over(first)).where(F.col(no) == 1).select(*docs.columns)
     return split(False).unionByName(repeated).unionByName(maybe.where(F.col(id_col).isNull()))
