@@ -13,8 +13,8 @@ similarity of their sets is at least ``PERCENT`` / 100.
   and more tokens to 2: their one-deletion neighbourhoods are indexed too. What is short even then meets in one list.
 * **Filter.** A set with more than H segments that nobody else has links with nothing. Most documents go here, after one
   shuffle of signatures packed per task and bucket (16 bytes each) and counted in numpy.
-* **Verify.** Among the remaining sets, those that share signatures form clusters; each cluster is verified exactly, in blocks
-  of ``block`` sets, and a block pair returns a spanning forest of its links, never all pairs.
+* **Verify.** Among the remaining sets, pairs that share as many signatures as a link needs form clusters; each cluster is verified
+  exactly, in blocks of ``block`` sets, and a block pair returns a spanning forest of its links, never all pairs.
 
 Equal sets are collapsed to a class before anything is joined, so copies cost nothing. Null, empty and wordless texts have the
 empty set and link with nothing; with fewer than five words the whole sequence is one shingle. A null id has a count but
@@ -356,8 +356,46 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
     return texts.mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
 
 
-def clusters(sets: DataFrame, buckets: int) -> DataFrame:
-    """Edges (a, b) between classes that share a signature: a forest per bucket."""
+#: Signatures of more sets than this tie their sets to one of them; those of fewer are counted pair by pair.
+FEW = 8
+#: What ``clusters`` takes from the buckets: demands, counted pairs, members of large runs, ties.
+NEED, PAIR, MEMBER, TIE = range(4)
+
+
+def pairs_of_runs(run: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, runs that hold both) of sorted runs of at most ``FEW``; two sets of the group above theirs are left to their own group."""
+    who, at = np.unique(ident, return_inverse=True)
+    keys = []
+    for d in range(1, FEW):
+        i = np.flatnonzero(run[:-d] == run[d:]) if len(run) > d else np.empty(0, np.int64)
+        i = i[(ident[i] & ident[i + d] & 1) == 0]
+        keys.append(at[i] * len(who) + at[i + d])
+    pair, n = np.unique(np.concatenate(keys), return_counts=True)
+    return who[pair // max(1, len(who))], who[pair % max(1, len(who))], n
+
+
+def distinct_runs(run: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, set, runs with the same sets) of sorted runs: what copies share counts once, so many times."""
+    if not len(run):
+        return run, ident, np.empty(0, np.int64)
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    size = np.diff(np.r_[first, len(run)])
+    _, one, of, n = np.unique(np.column_stack([np.add.reduceat(mix64(ident.view(np.uint64)), first), size.astype(np.uint64)]),
+                              axis=0, return_index=True, return_inverse=True, return_counts=True)
+    keep = np.zeros(len(first), bool)
+    keep[one] = True
+    return run[np.repeat(keep, size)], ident[np.repeat(keep, size)], np.repeat(n[of.ravel()], size)[np.repeat(keep, size)]
+
+
+def clusters(sets: DataFrame, buckets: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between classes that share as many signatures as linked ones of their sizes must.
+
+    A linked pair shares at least full - H of the signatures of either set, in the group of the smaller one. Signatures of at most
+    ``FEW`` sets are counted for each pair, so a pair must have full - H less the signatures that each has in larger runs; a pair that has
+    none of them may only be one of two sets with full - H signatures in larger runs, which are tied to one of the run. Without
+    that count, sets that share any signature make one cluster of a growing part of all sets, and its verification is quadratic.
+    Sets without a demand meet by one-deletion signatures.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,23 +403,49 @@ def clusters(sets: DataFrame, buckets: int) -> DataFrame:
             for a, b in slices(raw):
                 ids, own = every[a:b], [np.frombuffer(x, np.uint64) for x in raw[a:b]]
                 size, band, _, value, _, parts = signatures(own)
-                key = np.concatenate([p[0] for p in parts])
-                whose = np.concatenate([p[1] for p in parts])
+                rows = []
+                for below, (key, whose, _, full_n, m, *_) in enumerate(parts):
+                    rows += packed(key, ids[whose] | below, buckets)
+                    some = m > 0
+                    rows.append((-1 - int(ids[0] % buckets), (ids[some] | below).tobytes(), (full_n - most_apart(size, bool(below)))[some].tobytes(), b""))
                 more, of, _ = deletions(own, size, band, value, parts)
-                yield batch_of(list(packed(np.concatenate([key, more]), ids[np.concatenate([whose, of])], buckets)),
-                               [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "sigs", "sets", "sizes"])
+                rows += [(*r[:3], b"deletions") for r in packed(more, ids[of], buckets)]
+                yield batch_of(rows, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "sigs", "sets", "sizes"])
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_bucket(batches):
-            run, ident = shared_runs(*unpacked(rows))
+        def out(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], names=["kind", "a", "b", "n"])
+
+        for bucket, rows in by_bucket(batches):
+            if bucket < 0:
+                ident, need = (np.frombuffer(b"".join(r[i] for r in rows), np.int64) for i in range(2))
+                yield out(NEED, ident, ident, need)
+                continue
+            run, ident = shared_runs(*unpacked([r for r in rows if r[2]]))
             who, at = np.unique(ident, return_inverse=True)
             head = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, int)
             low = forest(at, at[np.repeat(head, np.diff(np.r_[head, len(run)]))], len(who))
             moved = low != np.arange(len(who))
-            yield pa.RecordBatch.from_arrays([pa.array(who[moved]), pa.array(who[low[moved]])], names=["a", "b"])
-
-    return (sets.mapInArrow(pack, PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(tie, "a long, b long").distinct())
+            yield out(TIE, who[moved], who[low[moved]], np.ones(int(moved.sum()), np.int64))
+            run, ident = shared_runs(*unpacked([r for r in rows if not r[2]]))
+            few = np.bincount(run)[run] <= FEW if len(run) else np.empty(0, bool)
+            yield out(PAIR, *pairs_of_runs(run[few], ident[few]))
+            run, ident, n = distinct_runs(run[~few], ident[~few])
+            yield out(MEMBER, ident, run + (bucket << 40), n)
+
+    found = scratch.write(sets.mapInArrow(pack, PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+                          .mapInArrow(tie, "kind int, a long, b long, n long"), "signatures")
+    of = lambda kind: found.where(F.col("kind") == kind)
+    large = of(MEMBER).groupBy("a").agg(F.sum("n").alias("large"))
+    need = scratch.write(of(NEED).select("a", F.col("n").alias("all")).join(by_merge(large), "a", "left").select(
+        "a", "all", (F.col("all") - F.coalesce("large", F.lit(0))).alias("need")), "needs")
+    other = need.select(F.col("a").alias("b"), F.col("all").alias("all_b"), F.col("need").alias("need_b"))
+    pairs = of(PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")).join(by_merge(need), "a").where("n >= need").join(by_merge(other), "b").where(
+        (F.col("n") >= F.col("need_b")) & (F.greatest("all", "all_b") > 0))
+    members = of(MEMBER).join(by_merge(need.where("need <= 0").select("a")), "a").select("a", "b")
+    stars = members.join(by_merge(members.groupBy("b").agg(F.min("a").alias("head"))), "b").where("a <> head").select("a", F.col("head").alias("b"))
+    whole = lambda c: F.col(c).bitwiseAND(F.lit(-2)).alias(c)
+    return pairs.select("a", "b").unionByName(stars).unionByName(of(TIE).select("a", "b")).select(whole("a"), whole("b")).distinct()
 
 
 def linked(own: list[np.ndarray]) -> np.ndarray:
@@ -462,7 +526,7 @@ def join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     buckets = max(shuffle_partitions(spark), -(-int(total * 0.6) // sigs_per_bucket))
     wanted = scratch.write(candidates(docs, id_col, text_col, buckets).join(by_merge(firsts), "cls").select("id", "cls"), "wanted")
     sets = scratch.write(sets_of(docs, wanted, id_col, text_col), "sets")
-    cluster_of = scratch.write(components(clusters(sets, buckets), scratch), "clusters")
+    cluster_of = scratch.write(components(clusters(sets, buckets, scratch), scratch), "clusters")
     links = scratch.write(components(verified(sets, cluster_of), scratch), "links")
     of_class = firsts.join(by_merge(links.select(F.col("id").alias("cls"), "component")), "cls", "left").select(
         "cls", "id", F.coalesce("component", "cls").alias("component"))
