@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import by_merge, cut_lineage
+from ..session import by_merge, cut_lineage, stored
 from . import diff as D
 from .intervals import within
 from .noise import LINE_CAP
@@ -138,7 +138,7 @@ def compare_pairs(words: DataFrame, blocks: DataFrame, rules: Sequence[tuple[str
     text = F.col("key").alias("text")
     both = words.where(F.col("side") == "L").select(*words.columns, text).unionByName(
         right.withColumn("pos", read.cast("bigint")).select(*words.columns, text))
-    both = cut_lineage(both)
+    both = stored(both)
     w = Window.partitionBy(*SIDE).orderBy("pos")
     lined = both.withColumn("ends_line", F.coalesce("ends_line", F.lit(False)) | (F.lead("block").over(w) != F.col("block")))
     final = noise_over_keys(lined.select(*SIDE, "pos", "key", "ends_line"), rules, by=SIDE, cap=cap)
@@ -148,7 +148,7 @@ def compare_pairs(words: DataFrame, blocks: DataFrame, rules: Sequence[tuple[str
     keys = parts.groupBy(*SIDE, "n", "_key").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"),
         *[F.min_by(c, "pos").alias(c) for c in facts]).withColumnRenamed("n", "pos").withColumnRenamed("_key", "key")
-    keys = cut_lineage(keys)
+    keys = stored(keys)
 
     final_blocks = keys.groupBy(*SIDE, "block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"), F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
